@@ -39,3 +39,9 @@ def released(spark: SparkSession, action: Callable[[], None]) -> None:
         action()
     finally:
         spark.conf.set(key, before or "false")
+
+
+def sampled(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """All rows, or where there are more than ``most``, about ``most`` of them: those of the lowest crc32 of the key."""
+    n = df.count()
+    return df if n <= most else df.where(bucket(id_col, 1 << 32) < int((1 << 32) * most / n))

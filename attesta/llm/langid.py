@@ -4,7 +4,7 @@ Texts are read as lower-cased letters; anything else is a word boundary, and con
 symbol has 6 bits, so a 4-gram is a 24-bit hash and a table has at most 2**24 entries per language however large
 the corpus is. Grams of all languages lie in one sorted hash array with a column of log probabilities for each
 language; other grams back off to trigram and context tables. A text gets the language of the lowest
-cross-entropy per symbol. Scores are calibrated on ``calibrate`` training rows (the lowest crc32 of the key), as is
+cross-entropy per symbol. Scores are calibrated on about ``calibrate`` training rows (the lowest crc32 of the key), as is
 the cross-entropy beyond which ``rejected`` is true.
 
 Null texts and texts without letters get ``und``, score 0 and ``rejected``. With nothing to learn from every row is
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bucket, mapped
+from .frames import mapped, sampled
 from .text import raw, slices, strings
 
 ORDER, BITS = 4, 6
@@ -210,7 +210,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     index, codes, n = names.indices.to_numpy(zero_copy_only=False), got.column("code").to_numpy(), got.column("n").to_numpy()
     for k, lang in enumerate(names.dictionary.to_pylist()):
         by.append((lang, codes[index == k], n[index == k]))
-    some = docs.where(F.col(lang_col).isNotNull()).orderBy(bucket(id_col, 1 << 32), id_col).limit(calibrate)
+    some = sampled(docs.where(F.col(lang_col).isNotNull()), id_col, calibrate)
     return calibrated(fit(by), [(str(r[0]), r[1]) for r in some.select(lang_col, text_col).collect() if r[1]])
 
 

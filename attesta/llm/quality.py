@@ -3,8 +3,8 @@
 Tokens are runs of letters and digits or runs of other signs; unigrams and bigrams hash into ``2**bits`` slots.
 A feature's value is its share of the document's n-grams, times ``SCALE``, so length alone says nothing.
 
-Learning reads only labelled rows outside the held-out fold, at most ``max_train`` of them (the lowest crc32 of the
-key first, so the choice does not depend on order); everything is scored. Null and empty texts get the score of the
+Learning reads only labelled rows outside the held-out fold, at most about ``max_train`` of them (the lowest crc32 of
+the key, so the choice does not depend on order); everything is scored. Null and empty texts get the score of the
 bias alone, 0 to 1. Rows with a null or missing label, and keys labelled in two ways, are not learnt from. With no
 rows to learn from every score is 0.5. Repeated rows get equal scores; other columns are not read.
 """
@@ -18,33 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bucket, mapped
+from .frames import bucket, mapped, sampled
 from .ftrl import Ftrl, sigmoid
 from .text import BY_KIND, hash_words, mix, slices, strings, sums
 
 SCALE = 16.0
 
 
+#: A bigram of one token twice also counts under a slot of its own, whatever the token: a back-off for repetition.
+TWICE = np.uint64(0x7E9EA7)
+
+
 def features(words: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all unigrams and bigrams in document order, and each document's first slot."""
+    """Slots of all unigrams, bigrams and repetitions in document order, and each document's first slot."""
     n = np.diff(first)
     shift = np.uint64(64 - bits)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(len(first), np.int64)
-    pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> shift
-    out = np.empty(2 * len(words), np.int64)
-    out[0::2] = words >> shift
-    out[1:-1:2] = pairs
-    keep = np.ones(len(out), bool)
-    keep[2 * first[1:][n > 0] - 1] = False  # no pair over a document's end
-    return out[keep], np.concatenate([[0], np.cumsum(np.maximum(2 * n - 1, 0))])
+    out = np.zeros((len(words), 3), np.int64)
+    keep = np.ones((len(words), 3), bool)
+    out[:, 0] = words >> shift
+    out[:-1, 1] = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> shift
+    out[:, 2] = mix(np.array([TWICE]))[0] >> shift
+    keep[-1, 2] = False
+    keep[:-1, 2] = words[1:] == words[:-1]
+    keep[first[1:][n > 0] - 1, 1:] = False  # nothing reaches over a document's end
+    return out[keep], np.concatenate([[0], np.cumsum(keep.sum(1))])[first]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_train: int, id_col: str, text_col: str) -> DataFrame:
-    """``y, text`` of at most ``max_train`` labelled rows outside the held-out fold."""
+    """``y, text`` of about ``max_train`` labelled rows outside the held-out fold."""
     known = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select(id_col, "y")
-    key = bucket(id_col, 1 << 32)
-    chosen = known.where(bucket(id_col, folds) != held_out).orderBy(key, id_col).limit(max_train)
+    chosen = sampled(known.where(bucket(id_col, folds) != held_out), id_col, max_train)
     return F.broadcast(chosen).join(docs.select(id_col, text_col), id_col).select(F.col("y").cast("double"), F.col(text_col).alias("text"))
 
 
@@ -73,7 +78,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, bits: int = 18, folds: int = 5, held_out: int = 0, max_train: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Weights and bias learnt from ``labels.quality``."""
     rows = labelled(docs, labels, "quality", folds, held_out, max_train, id_col, text_col)
-    return learn(((r.y, r.text) for r in rows.toLocalIterator()), bits, tokens)
+    return learn(((r.y, r.text) for r in rows.toLocalIterator()), bits, tokens, alpha=1.0, l1=0.1, l2=0.1)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ dashes or stars are one token whose separators may be dropped (spacing). A Viter
 under a character trigram model of the corpus plus channel costs. A plain token has one path and is only lower-cased.
 
 Scoring. Restored words feed a hashed word n-gram logistic regression with FTRL updates, learnt from labelled rows
-outside the held-out fold, at most ``max_train`` (the lowest crc32 of the key). The character model counts all rows
+outside the held-out fold, about ``max_train`` at most (the lowest crc32 of the key). The character model counts all rows
 outside that fold; its 32**3 cells do not grow with the corpus.
 
 Null and empty texts get the score of the bias alone. With no labels every score is 0.5. Ties in the search go to
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .frames import bucket, mapped
 from .ftrl import Ftrl, sigmoid
 from .quality import labelled
-from .text import hash_words, raw, slices, strings
+from .text import mix, raw, slices, strings, token_hashes, tokens
 
 #: Letters that signs imitate. Fixed values.
 IMITATES = {
@@ -36,10 +36,10 @@ IMITATES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "&": "a", "#": "h", "%": "x", "?": "", "*": "aeiou", "^": "a", "¥": "y", "§": "s",
 }
 #: Costs in nats of channel events.
-IMITATION, DROP, REPEAT, KEEP_SIGN = 1.0, 2.5, 0.7, 9.0
+IMITATION, DROP, DROP_DIGIT, REPEAT, KEEP_SIGN = 1.0, 2.5, 8.0, 0.7, 9.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CELLS = 32
-SPACED = regex.compile(r"(?<![\p{L}\p{N}@$!*])(?:[\p{L}\p{N}@$!*][ .\-_*]{1,2}){3,}[\p{L}\p{N}@$!*](?![\p{L}\p{N}@$!*])")
+SPACED = regex.compile(r"(?<![\p{L}\p{N}@$!])[\p{L}\p{N}@$!]([ .\-_*]{1,2})(?:[\p{L}\p{N}@$!]\1){2,}[\p{L}\p{N}@$!](?![\p{L}\p{N}@$!])")
 LONGEST = 64
 
 
@@ -101,7 +101,8 @@ class Restorer(dict):
         """The cheapest reading of a lower-cased token. State: the last two symbols and the last letter read."""
         costs = self.costs
         best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        for c in token:
+        long = {k for m in LONG_RUN.finditer(token) for k in range(m.start() + 1, m.end())}  # places that may repeat
+        for at, c in enumerate(token):
             sym = ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
             after: dict[tuple[int, int, str], tuple[float, str]] = {}
 
@@ -112,15 +113,15 @@ class Restorer(dict):
             for (a, b, last), (cost, out) in best.items():
                 if sym:
                     put((b, sym, c), cost + costs[a][b][sym], out + c)
-                    if c == last:
+                    if c == last and at in long:
                         put((a, b, last), cost + REPEAT, out)
                 else:
                     for x in IMITATES.get(c, ""):
                         k = ord(x) - 96
                         put((b, k, x), cost + IMITATION + costs[a][b][k], out + x)
-                        if x == last:
+                        if x == last and at in long:
                             put((a, b, last), cost + IMITATION + REPEAT, out)
-                    put((a, b, last), cost + DROP, out)
+                    put((a, b, last), cost + (DROP_DIGIT if c.isalnum() else DROP), out)
                     if b:
                         put((0, 0, ""), cost + costs[a][b][0] + (KEEP_SIGN if c.isalnum() else DROP), out + c)
                     else:
@@ -135,6 +136,7 @@ def squeeze(spaced: str) -> str:
 
 
 _TRIPLE = regex.compile(r"(\p{L})\1\1", regex.I)
+LONG_RUN = regex.compile(r"(.)\1\1+", regex.S)
 
 
 def restored(texts: pa.Array, restorer: Restorer) -> pa.Array:
@@ -178,9 +180,32 @@ WORDS = np.zeros(256, np.uint8)
 WORDS[48:58] = WORDS[65:91] = WORDS[97:123] = WORDS[128:] = 1
 
 
+#: Inflected and compound forms share the beginnings of words: these many bytes of a longer word are features too.
+BEGINNINGS = (4, 5, 6, 7, 8)
+
+
 def slots(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    words, first = hash_words(texts, WORDS, fold=True)
-    return (words >> np.uint64(64 - bits)).astype(np.int64), first
+    """Slots of all words and of their beginnings, and each document's first slot."""
+    data, off = raw(texts)
+    starts, ends, first = tokens(data, off, WORDS)
+    cols = [token_hashes(data, starts, ends, fold=True)]
+    cols += [mix(token_hashes(data, starts, np.minimum(starts + k, ends), fold=True) + np.uint64(k)) for k in BEGINNINGS]
+    return (np.stack(cols, axis=1) >> np.uint64(64 - bits)).astype(np.int64).ravel(), first * len(cols)
+
+
+#: Length of a document's feature vector.
+SCALE = 8.0
+
+
+def vectors(found: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse vectors of unit direction: document, slot and value, by ``log(1 + count)``."""
+    key = np.repeat(np.arange(len(first) - 1), np.diff(first)) << bits | found
+    key.sort()
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    value = np.log1p(np.diff(np.append(at, len(key))))
+    doc = key[at] >> bits
+    norm = np.sqrt(np.bincount(doc, value * value, len(first) - 1))
+    return doc, key[at] & ((1 << bits) - 1), SCALE * value / norm[doc]
 
 
 @dataclass
@@ -190,18 +215,20 @@ class Model:
     costs: np.ndarray
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 18, folds: int = 4, held_out: int = 2, max_train: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, bits: int = 18, folds: int = 4, held_out: int = 2, max_train: int = 12000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     costs = character_model(docs.where(bucket(id_col, folds) != held_out), text_col)
     rows = sorted(((r.y, r.text or "") for r in labelled(docs, labels, "toxic", folds, held_out, max_train, id_col, text_col).toLocalIterator()), key=lambda r: (r[1], r[0]))
     data, ys, restorer = [], [], Restorer(costs)
     for at in range(0, len(rows), 256):
         part = rows[at : at + 256]
         found, first = slots(restored(strings(pa.array([t for _, t in part])), restorer), bits)
+        doc, slot, value = vectors(found, first, bits)
+        edges = np.searchsorted(doc, np.arange(len(part) + 1))
         for k, (y, _) in enumerate(part):
-            own = np.unique(found[first[k] : first[k + 1]])
-            data.append((own, np.ones(len(own))))
+            own = slice(edges[k], edges[k + 1])
+            data.append((slot[own].astype(np.int32), value[own].astype(np.float32)))
             ys.append(y)
-    m = Ftrl(1 << bits, alpha=0.1, l1=1.0, l2=1.0).fit(data, np.array(ys))
+    m = Ftrl(1 << bits, alpha=0.3, l1=1.0, l2=1.0).fit(data, np.array(ys))
     return Model(*m.model(), costs)
 
 
@@ -213,12 +240,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
         restorer = Restorer(model.costs)
         for batch in batches:
             for rows, texts in slices(batch, text_col):
-                found, first = slots(restored(texts, restorer), bits)
-                docs_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                hit = np.flatnonzero(model.weights[found])  # each word counts once in a document
-                pair = np.unique(docs_of[hit] * (1 << bits) + found[hit])
-                total = np.bincount(pair >> bits, model.weights[pair & ((1 << bits) - 1)], len(rows)) if len(pair) else np.zeros(len(rows))
-                s = sigmoid(total + model.bias)
+                doc, slot, value = vectors(*slots(restored(texts, restorer), bits), bits)
+                s = sigmoid(np.bincount(doc, model.weights[slot] * value, len(texts)) + model.bias)
                 yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
