@@ -125,7 +125,7 @@ class Restorer(dict):
                     if b:
                         put((0, 0, ""), cost + costs[a][b][0] + (KEEP_SIGN if c.isalnum() else DROP), out + c)
                     else:
-                        put((0, 0, ""), cost + DROP, out + c)
+                        put((0, 0, ""), cost + (KEEP_SIGN if c.isalnum() else DROP), out + c)
             best = after
         end = min(((cost + (costs[a][b][0] if b else 0.0), out) for (a, b, _), (cost, out) in best.items()), key=lambda x: x[0])
         return end[1]
