@@ -181,8 +181,8 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     return mapped(df.select(id_col, ids_col), run, f"`{id_col}` {kind}, bytes binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text; ``id_col, n_tokens, ids_sha256, decoded_sha256``.
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text; ``id_col, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``.
 
     Both directions run in one pass, so the ids of a corpus are never written or shuffled just to be checked.
     """
@@ -195,18 +195,20 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 n = np.array([len(x) // 4 for x in got], np.int64)
                 data, ends = c.decode(np.frombuffer(b"".join(got), np.uint32))
                 cut = ends[np.concatenate([[0], np.cumsum(n)])]
+                ids = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(got), np.int32)))] * with_ids
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(id_col),
                         pa.array(n),
                         pa.array([hashlib.sha256(x).hexdigest() for x in got]),
                         pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]),
+                        *ids,
                     ],
-                    [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return mapped(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 __all__ = ["Codec", "PerfectHash", "codec", "decode", "encode", "read_ranks", "round_trip"]
