@@ -25,10 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.session import cut
+
 from .frames import mapped, released
 from .text import raw, slices
 
 BLOCK = 64
+#: Digests that a task remembers having sent (about 70 bytes each).
+SENT = 200_000
 GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -41,7 +45,7 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: np.ndarray, mask_bits: int = 12, least: int = 1024, most: int = 32768) -> list[int]:
+def cuts(data: np.ndarray, mask_bits: int = 13, least: int = 2048, most: int = 65536) -> list[int]:
     """Where the chunks of one payload end."""
     if len(data) <= least:
         return [len(data)]
@@ -74,6 +78,7 @@ def chunked(docs: DataFrame, frames: bool, text_col: str = "text", level: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=level, write_checksum=False)
+        sent: set[bytes] = set()  # frames that this task has sent lately need not be sent again
         for batch in batches:
             for _, texts in slices(batch, text_col):
                 cols = [[] for _ in names]
@@ -82,9 +87,16 @@ def chunked(docs: DataFrame, frames: bool, text_col: str = "text", level: int =
                     ends = cuts(np.frombuffer(p, np.uint8))
                     for seq, to in enumerate(ends):
                         piece = p[at:to]
-                        for c, v in zip(cols, (md, n, len(ends), seq, hashlib.sha256(piece).digest()[:20]) + ((pack.compress(piece),) if frames else ()), strict=True):
-                            c.append(v)
+                        digest = hashlib.sha256(piece).digest()[:20]
                         at = to
+                        if frames:
+                            if digest in sent:
+                                continue
+                            if len(sent) >= SENT:
+                                sent.clear()
+                            sent.add(digest)
+                        for c, v in zip(cols, (md, n, len(ends), seq, digest) + ((pack.compress(piece),) if frames else ()), strict=True):
+                            c.append(v)
                 types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
 
@@ -102,10 +114,17 @@ def store(docs: DataFrame, buckets: int, text_col: str = "text") -> str:
 
 
 def rebuilt(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """``payload_md, n_bytes, n_seq, frames``: each distinct payload with its ordered stored frames."""
-    lists = chunked(docs, False, text_col).select("payload_md", "n_bytes", "n_seq", "seq", "digest").distinct()
-    found = lists.hint("merge").join(docs.sparkSession.table(name), "digest", "left")
-    return found.groupBy("payload_md", "n_bytes", "n_seq").agg(F.sort_array(F.collect_list(F.struct("seq", "frame"))).alias("frames"))
+    """``payload_md, n_bytes, n_seq, frames``: each distinct payload with its ordered stored frames.
+
+    A payload of one chunk is complete as soon as its digest is joined; only longer lists are brought together.
+    """
+    table = docs.sparkSession.table(name)
+    lists = cut(chunked(docs, False, text_col).select("payload_md", "n_bytes", "n_seq", "seq", "digest").distinct())
+    key = ["payload_md", "n_bytes", "n_seq"]
+    one = lists.where("n_seq = 1").hint("merge").join(table, "digest", "left")
+    many = lists.where("n_seq > 1").hint("merge").join(table, "digest", "left")
+    parts = F.struct("seq", "frame")
+    return one.select(*key, F.array(parts).alias("frames")).union(many.groupBy(*key).agg(F.sort_array(F.collect_list(parts)).alias("frames")))
 
 
 def described(p: bytes) -> str:
