@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, media, passages, quality, toxicity
+from . import bpe, decontaminate, jaccard, langid, licenses, lmscore, media, passages, quality, toxicity
 from .frames import bucket, documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -49,6 +50,16 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(documents(spark, sf_dir))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(documents(spark, sf_dir, "doc_id", "text"), RANKS)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source and its id, so documents that are whole licence notices cover their source."""
+    found = licenses.scan(documents(spark, sf_dir), F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return licenses.inherit(found)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     out = toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir)))
@@ -56,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    found = {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
