@@ -1,15 +1,358 @@
-"""The library's named queries and the SQL that gives the same rows."""
+"""The library's named queries over the standard tables. :mod:`attesta.oracle` has the SQL that gives the same rows.
+
+Tables without replies get them from the rule in :mod:`attesta.sources.replies`, a synthetic stand-in for a model.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.functions import text as T
+from attesta.operators import checking, chunking, claims, report, scoring, spans
+from attesta.schemas import TYPES
+from attesta.sources.replies import ruled, ruled_claims
+
+CHUNK_TOKENS = 1000
+SYSTEM = "Extract every fact of the text with the words it rests on."
+GLEAN = "List the facts that were left out."
+
+_found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn):
+    _found[fn.__name__] = fn
+    return fn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from attesta.oracle import SQL
+
+    return {k: v for k, v in SQL.items() if k in _found}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def long(c: Column) -> Column:
+    return c.cast("bigint")
+
+
+# Scans, functions and chunks.
+
+
+@query
+def q_scan_nonblank(spark, sf_dir):
+    return texts(spark, sf_dir).where(~T.is_blank(F.col("text"))).select("doc_id", long(F.length(T.trim_ws(F.col("text")))).alias("n_chars"))
+
+
+@query
+def q_token_estimate(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def q_squash(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", F.md5(T.squash(F.col("text"))).alias("squashed"))
+
+
+@query
+def q_fold(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
+
+
+@query
+def q_paragraphs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    blocks = F.replace(F.col("html"), F.lit("</p>"), F.lit("\r\n\r\n"))
+    return pages.select("page_id", F.posexplode(chunking.paragraphs(blocks)).alias("n", "p")).select("page_id", long(F.col("n")).alias("n"), F.md5("p").alias("paragraph"))
+
+
+@query
+def q_sentences(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentences(T.trim_ws(F.col("text")))).alias("n", "sentence")).withColumn("n", long(F.col("n")))
+
+
+@query
+def q_hard_cuts(spark, sf_dir):
+    plain = T.trim_ws(F.regexp_replace("text", r"[.!?\n]", ""))
+    rows = texts(spark, sf_dir).select("doc_id", plain.alias("s")).where("s <> ''")
+    return rows.select("doc_id", F.posexplode(chunking.hard_cuts(F.col("s"), 100, T.estimate_tokens(F.col("s")))).alias("n", "piece")).select("doc_id", long(F.col("n")).alias("n"), F.md5("piece").alias("piece"))
+
+
+@query
+def q_units(spark, sf_dir):
+    rows = texts(spark, sf_dir).where(~T.is_blank(F.col("text")))
+    return rows.select("doc_id", F.posexplode(chunking.units(T.trim_ws(F.col("text")), CHUNK_TOKENS)).alias("k", "u")).select("doc_id", long(F.col("k")).alias("k"), F.md5("u.text").alias("unit"), F.col("u.n").alias("tokens"))
+
+
+def chunks_of(spark, sf_dir):
+    return chunking.chunks(texts(spark, sf_dir), CHUNK_TOKENS)
+
+
+@query
+def q_chunks(spark, sf_dir):
+    return chunks_of(spark, sf_dir).select("doc_id", long(F.col("chunk_no")).alias("chunk_no"), F.md5("chunk_text").alias("chunk"), T.estimate_tokens(F.col("chunk_text")).alias("tokens"))
+
+
+@query
+def q_chunk_stats(spark, sf_dir):
+    return chunks_of(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(T.estimate_tokens(F.col("chunk_text"))).alias("largest"))
+
+
+@query
+def q_budget_fit(spark, sf_dir):
+    return chunking.fits(chunks_of(spark, sf_dir), SYSTEM, GLEAN, 2500, passes=2)
+
+
+@query
+def q_writer_key(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.writer_key(F.col("text")).alias("key"))
+
+
+@query
+def q_checker_key(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.checker_key(F.col("text")).alias("key"))
+
+
+@query
+def q_shorten(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.shorten(F.col("text"), 70).alias("short"), T.took(F.col("turn") * 700).alias("took"))
+
+
+# Messages and replies.
+
+
+@query
+def q_thread(spark, sf_dir):
+    made = claims.thread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return made.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("thread"))
+
+
+@query
+def q_merge(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_no"), F.lit(1).alias("pass_no"), F.posexplode(chunking.sentences(T.trim_ws(F.col("text")))).alias("ord", "fact"))
+    return claims.merge(turns).select("doc_id", long(F.col("id")).alias("id"), long(F.col("chunk_no")).alias("chunk_no"), "fact")
+
+
+@query
+def q_guards(spark, sf_dir):
+    marks = F.array(F.lit(""), *map(F.lit, claims.TRACE_MARKERS))
+    turns = table(spark, sf_dir, "conversations")
+    content = F.concat(F.element_at(marks, (F.col("conv_id") % 4).cast("int") + 1), F.col("text"), F.element_at(marks, (F.col("turn") % 4).cast("int") + 1))
+    rows = turns.select("conv_id", "turn", content.alias("content"), F.when(F.col("turn") % 3 == 0, F.lit("length")).otherwise(F.lit("stop")).alias("done"))
+    return rows.select("conv_id", "turn", claims.truncated(F.col("done")).alias("truncated"), claims.leak(F.col("content")).alias("leak"))
+
+
+@query
+def q_parse_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+def replies_of(spark, sf_dir):
+    return ruled(chunks_of(spark, sf_dir))
+
+
+@query
+def q_parse_replies(spark, sf_dir):
+    return claims.parse(replies_of(spark, sf_dir)).select("doc_id", long(F.col("chunk_no")).alias("chunk_no"), "reason", long(F.size("facts")).alias("facts"))
+
+
+@query
+def q_token_accounting(spark, sf_dir):
+    return claims.accounting(replies_of(spark, sf_dir).withColumn("pass_no", F.col("chunk_no") % 2 + 1).withColumn("thinking", F.substring("content", 1, 40)))
+
+
+# Claims checked, merged, placed.
+
+
+def verified_of(spark, sf_dir):
+    """Claims of the rule's replies checked against their chunk, without the way through JSON."""
+    met = chunks_of(spark, sf_dir).withColumn("pass_no", F.lit(1)).withColumn("facts", ruled_claims(F.col("chunk_text"), F.col("doc_id") + F.col("chunk_no")))
+    return claims.exploded(met.withColumn("facts", F.transform("facts", lambda f: spans.verified(f, F.col("chunk_text")))))
+
+
+def placed_of(spark, sf_dir):
+    return report.located(claims.merge(verified_of(spark, sf_dir)), texts(spark, sf_dir))
+
+
+@query
+def q_verify(spark, sf_dir):
+    return verified_of(spark, sf_dir).select("doc_id", long(F.col("chunk_no")).alias("chunk_no"), long(F.col("ord")).alias("ord"), "status", "verbatim")
+
+
+@query
+def q_verify_replies(spark, sf_dir):
+    """The same claims by way of JSON replies, parsing and the join of replies to chunks."""
+    pieces = chunks_of(spark, sf_dir)
+    return claims.verify_counts(claims.verify(claims.parse(ruled(pieces)), pieces))
+
+
+@query
+def q_verify_counts(spark, sf_dir):
+    return claims.verify_counts(verified_of(spark, sf_dir))
+
+
+@query
+def q_null_matrix(spark, sf_dir):
+    state = F.when(F.col("verbatim").isNotNull(), "verified").when(report.failed(F.col("verbatim"), F.col("confidence")), "failed").otherwise("inference")
+    return verified_of(spark, sf_dir).groupBy("confidence", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_position(spark, sf_dir):
+    return placed_of(spark, sf_dir).where("position IS NOT NULL").select("doc_id", long(F.col("id")).alias("id"), long(F.col("position.line")).alias("line"), long(F.col("position.column")).alias("col"))
+
+
+@query
+def q_cited(spark, sf_dir):
+    return report.cited(placed_of(spark, sf_dir)).select("doc_id", long(F.col("id")).alias("id"), "type", "confidence", "verbatim", long(F.col("position.line")).alias("line"))
+
+
+@query
+def q_inferred(spark, sf_dir):
+    return report.inferred(placed_of(spark, sf_dir)).withColumn("id", long(F.col("id")))
+
+
+@query
+def q_summary(spark, sf_dir):
+    return report.summary(placed_of(spark, sf_dir), texts(spark, sf_dir))
+
+
+@query
+def q_type_histogram(spark, sf_dir):
+    return placed_of(spark, sf_dir).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_result_json(spark, sf_dir):
+    """Whole results as indented JSON; here its size and the summary read back from it."""
+    made = report.build(placed_of(spark, sf_dir), texts(spark, sf_dir)).select("doc_id", report.encode(F.col("result")).alias("json"))
+    return made.select("doc_id", *(F.get_json_object("json", f"$.summary.{k}").cast("bigint").alias(k) for k in ("total", "verbatim", "inferred", "failed_citations", "unlocated")))
+
+
+# Gold spans and scores.
+
+
+def gold_of(spark, sf_dir):
+    """Gold spans for every document: each tenth sentence upper-cased, and a benchmark item that most documents lack."""
+    docs = texts(spark, sf_dir).where(~T.is_blank(F.col("text")))
+    own = docs.select("doc_id", F.posexplode(chunking.sentences(T.trim_ws(F.col("text")))).alias("gold_no", "s")).where("gold_no % 10 = 0")
+    own = own.select("doc_id", "gold_no", T.shout(F.col("s")).alias("verbatim"), F.element_at(F.array(*map(F.lit, TYPES)), (F.col("gold_no") / 10 % 7).cast("int") + 1).alias("type"))
+    items = table(spark, sf_dir, "benchmark")
+    lacking = docs.select("doc_id").where("doc_id % 7 = 0").join(items, F.col("doc_id") / 7 == F.col("item_id")).select("doc_id", F.lit(1000000).alias("gold_no"), F.col("text").alias("verbatim"), F.lit(None).cast("string").alias("type"))
+    return own.union(lacking).withColumn("case", F.col("doc_id"))
+
+
+@query
+def q_anchors(spark, sf_dir):
+    made = scoring.anchored(gold_of(spark, sf_dir), texts(spark, sf_dir))
+    return made.select("doc_id", F.inline("gold")).select("doc_id", long(F.col("gold_no")).alias("gold_no"), "anchor")
+
+
+def scores_of(spark, sf_dir):
+    return scoring.score(scoring.matches(scoring.anchored(gold_of(spark, sf_dir), texts(spark, sf_dir)), claims.merge(verified_of(spark, sf_dir))))
+
+
+@query
+def q_score(spark, sf_dir):
+    return scores_of(spark, sf_dir)
+
+
+@query
+def q_run_totals(spark, sf_dir):
+    return scoring.run_totals(scores_of(spark, sf_dir))
+
+
+@query
+def q_scoreboard(spark, sf_dir):
+    orders = table(spark, sf_dir, "lineitem")
+    rows = orders.groupBy(F.col("l_orderkey").alias("case"), F.concat(F.lit("model "), F.col("l_linenumber").cast("string")).alias("model")).agg(F.sum(F.col("l_quantity") % 5).cast("bigint").alias("matched"), F.max(F.col("l_suppkey") % 10).cast("bigint").alias("tok_s"))
+    return scoring.scoreboard(rows)
+
+
+@query
+def q_locate_items(spark, sf_dir):
+    """Benchmark items in documents that share a sentence with them: found where, and at which line."""
+    docs = texts(spark, sf_dir)
+    first = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.get(chunking.sentences(T.trim_ws(F.col("text"))), F.lit(0)).alias("s"))
+    own = docs.select("doc_id", F.explode(chunking.sentences(T.trim_ws(F.col("text")))).alias("s"))
+    pairs = own.join(first, "s").select("doc_id", "item_id", "item").distinct()
+    found = pairs.join(docs, "doc_id").select("doc_id", "item_id", "text", spans.locate(F.col("text"), F.col("item")).alias("hit"))
+    return found.select("doc_id", "item_id", long(F.col("hit.at")).alias("spot"), long(spans.position(F.col("text"), F.col("hit.at"))["line"]).alias("line"))
+
+
+# The checker.
+
+
+def flawed_of(spark, sf_dir):
+    """Placed claims as a result's rows, with a flaw planted by document: a type, a number, a span, a position, a place."""
+    k = F.col("doc_id") % 6
+    first = F.col("id") == 1
+    rows = placed_of(spark, sf_dir)
+    cited = F.col("verbatim").isNotNull()
+    return rows.select(
+        "doc_id", (F.col("id") - 1 + F.when(cited, F.lit(0)).otherwise(F.lit(1000000))).alias("ord"), F.when((k == 1) & (F.col("id") == 2), F.lit(1)).otherwise(F.col("id")).alias("id"), "fact",
+        F.when((k == 2) & first, F.lit("guess")).otherwise(F.col("type")).alias("type"), "confidence",
+        F.when((k == 3) & first & cited, F.concat(F.lit("Zq "), "verbatim")).when((k == 4) & first & cited, T.shout(F.col("verbatim"))).otherwise(F.col("verbatim")).alias("verbatim"),
+        F.when((k == 5) & first, F.when(F.col("position").isNotNull(), F.struct((F.col("position.line") + 1000).alias("line"), F.col("position.column").alias("column")))).otherwise(F.col("position")).alias("position"), cited.alias("cited"),
+    )
+
+
+@query
+def q_check_findings(spark, sf_dir):
+    rows = checking.judged(flawed_of(spark, sf_dir), texts(spark, sf_dir))
+    return checking.findings(rows).groupBy("doc_id", "kind", "step").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message")).withColumn("step", long(F.col("step")))
+
+
+@query
+def q_check_spans(spark, sf_dir):
+    rows = checking.judged(flawed_of(spark, sf_dir), texts(spark, sf_dir))
+    return rows.where("span_class IS NOT NULL").groupBy("doc_id", "span_class", "position_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_check_ids(spark, sf_dir):
+    return checking.id_problems(flawed_of(spark, sf_dir))
+
+
+@query
+def q_check_duplicates(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("t"), F.posexplode(chunking.sentences(T.trim_ws(F.col("text")))).alias("k", "fact"))
+    rows = turns.select("doc_id", (F.col("t") * 10000 + F.col("k")).alias("ord"), (F.col("t") * 10000 + F.col("k")).alias("id"), "fact", F.lit("other").alias("type"), F.lit("low").alias("confidence"), F.lit(None).cast("string").alias("verbatim"), F.lit(None).cast("struct<line:int,column:int>").alias("position"), F.lit(False).alias("cited"))
+    return checking.judged(rows, None).where("duplicate_of IS NOT NULL").select("doc_id", long(F.col("ord")).alias("ord"), long(F.col("duplicate_of")).alias("duplicate_of"))
+
+
+@query
+def q_check_summary(spark, sf_dir):
+    """Stated counts against claims, where each fifth document states one claim too many."""
+    rows = flawed_of(spark, sf_dir)
+    stated = report.summary(placed_of(spark, sf_dir)).select("doc_id", F.struct((F.col("total") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("total"), "verbatim", "inferred", "failed_citations", "unlocated").alias("summary"))
+    decoded = stated.select("doc_id", F.struct("summary").alias("decoded"), F.lit(None).cast("string").alias("error"))
+    return checking.summary_problems(decoded, rows).withColumn("step", long(F.col("step")))
+
+
+@query
+def q_check_results(spark, sf_dir):
+    """Whole results encoded, strictly decoded and checked against their sources."""
+    made = report.build(placed_of(spark, sf_dir), texts(spark, sf_dir)).select("doc_id", report.encode(F.col("result")).alias("content"))
+    out = checking.check(made, texts(spark, sf_dir))
+    return out.select("doc_id", "facts", "checked", "null_inferred", "failed_citations", "unlocated", "error", "ok")
+
+
+@query
+def q_strict_decode(spark, sf_dir):
+    """Properties of events as would-be results: none is one."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("content"))
+    return checking.decode(rows).select("doc_id", "error")

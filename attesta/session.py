@@ -10,6 +10,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     return (
@@ -58,11 +61,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df, spark: SparkSession | None = None):
     """Materialise ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
-    The files survive the loss of any executor, unlike a local checkpoint.
+    The files survive the loss of any executor, unlike a local checkpoint. Shuffle files of the write are not needed
+    after it, so Spark is told to delete them at once.
     """
     spark = spark or df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before or "false")
     return spark.read.schema(df.schema).parquet(path)
 
 
