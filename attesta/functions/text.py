@@ -105,7 +105,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _classes(escaped: Column) -> Column:
     """Dashes, quotation marks and spaces of an escaped span as the classes that they stand for."""
     dashes = F.replace(escaped, F.lit("-"), F.lit(r"[\-" + DASHES[1:] + "]"))
-    return F.replace(F.replace(dashes, F.lit('"'), F.lit("[" + QUOTES + "]")), F.lit(" "), F.lit(WS + "+"))
+    letters = F.replace(dashes, F.lit("ß"), F.lit("[ß\u1e9e]"))  # the one pair that case-blind matching does not know
+    return F.replace(F.replace(letters, F.lit('"'), F.lit("[" + QUOTES + "]")), F.lit(" "), F.lit(WS + "+"))
 
 
 def wide_pattern(folded: Column) -> Column:
@@ -117,11 +118,15 @@ def strict_pattern(folded: Column) -> Column:
     """The same without the little more, letter by letter."""
 
     def one(c: Column) -> Column:
-        up = F.upper(c)
         made = F.when(c.isin(" ", '"', "-"), _classes(c))
         for low, forms in MORE_FORMS.items():
             made = made.when(c == low, F.lit(f"[{forms}]"))
-        both = (F.length(up) == 1) & (up != c) & (F.lower(up) == c)
-        return made.when(c.rlike(r"[^\p{L}\p{N}]"), F.concat(F.lit("\\"), c)).when(both, F.concat(F.lit("["), c, up, F.lit("]"))).otherwise(c)
+        plain = F.when(c.rlike(r"[^\p{L}\p{N}]"), F.concat(F.lit("\\"), c)).otherwise(c)
+
+        def cased(up: Column) -> Column:  # bound apart, as the optimizer takes lower(upper(c)) for lower(c)
+            pair = F.when((up != c) & (F.lower(up) == c), F.concat(F.lit("["), c, up, F.lit("]"))).otherwise(plain)
+            return F.when(F.length(up) > 1, F.concat(F.lit("(?iu:"), c, F.lit(")"))).otherwise(pair)
+
+        return made.otherwise(let(F.upper(c), cased))
 
     return F.array_join(F.transform(F.split(folded, ""), one), "")

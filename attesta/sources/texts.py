@@ -24,7 +24,7 @@ def read_gold(spark: SparkSession, folder: str) -> DataFrame:
     """
     rows = spark.read.schema(GOLD[len("struct<") : -1].replace("source:string,gold:", "source string, gold ")).json(f"{folder}/*.gold.json", multiLine=True).select("*", F.col("_metadata.file_name").alias("case"))
     bad = F.coalesce(F.col("source") == "", F.lit(True)) | (F.coalesce(F.size("gold"), F.lit(0)) < 1)
-    checked = rows.withColumn("case", F.when(bad, F.raise_error(F.concat(F.col("case"), F.lit(": no source or no gold spans")))).otherwise(F.col("case")))
+    checked = rows.withColumn("gold", F.when(bad, F.raise_error(F.concat(F.col("case"), F.lit(": no source or no gold spans")))).otherwise(F.col("gold")))
     return checked.select("case", F.element_at(F.split("source", r"[/\\]"), -1).alias("source"), F.posexplode("gold").alias("gold_no", "g")).select("case", "source", "gold_no", "g.verbatim", "g.type").orderBy("case", "gold_no")
 
 
