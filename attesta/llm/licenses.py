@@ -6,8 +6,8 @@ letters and digits, lower-cased, weighted ``(1 + log tf) * idf``; document frequ
 over all texts, and other terms weigh as the median template term. Only units with one of the heavy terms of a template
 are scored: a unit with none of them cannot reach the threshold, as the rest of that template's vector is too short.
 
-A row is a licence file if its name says so (LICENSE, LICENCE, COPYING, COPYRIGHT, NOTICE) or its whole text matches a
-template. Rows without a licence of their own take that of the licence file in the nearest directory above them: paths
+A row is a licence file if its name says so (LICENSE, LICENCE, COPYING, COPYRIGHT, NOTICE) or its whole text is
+a template but for a few words. Rows without a licence of their own take that of the licence file in the nearest directory above them: paths
 are joined on their ancestors, after the distinct directories alone. Several licence files in a directory: the best
 score, then the smallest path.
 
@@ -72,6 +72,10 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Parts that the rows of one directory are dealt to.
+PARTS = 16
+#: Cosine of a whole text from which it is a licence file whatever its name.
+FILE = 0.85
 _TERM = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice)[^/]*$"
@@ -149,6 +153,7 @@ class Scanner:
         """Score, licence, 1-based line of the best unit, and whether the whole text matches."""
         found: tuple[float, str, int] | None = None
         whole = self.best(text)
+        is_file = whole is not None and whole[0] >= FILE
 
         def offer(unit: str, line: int) -> None:
             nonlocal found
@@ -170,8 +175,8 @@ class Scanner:
                             offer(s, line + k)
             line += paragraph.count("\n")
         if whole and (found is None or whole[0] >= found[0]):
-            return (*whole, 1, True)
-        return (*found, whole is not None) if found else None
+            return (*whole, 1, is_file)
+        return (*found, is_file) if found else None
 
 
 def scan(docs: DataFrame, path: Column, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +208,9 @@ def inherit(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("above")).distinct()
     nearest = above.join(files, "above").groupBy("dir").agg(F.max_by(F.struct("file.license", F.col("file.s").alias("s")), F.length("above")).alias("near"))
-    out = rows.join(nearest, "dir", "left")
+    # rows of one directory may be a large share of all: they are dealt to parts, each with its copy of the directory's row
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int"))
+    out = rows.join(nearest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["dir", "part"], "left")
     own = F.col("own").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
