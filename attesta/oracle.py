@@ -199,3 +199,22 @@ SQL = {
     "q_result_json": f"WITH RECURSIVE {SUMMARY} SELECT documents.doc_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _names)} FROM documents LEFT JOIN summed USING (doc_id)",
     "q_verify_replies": f"WITH RECURSIVE {CLAIMS} SELECT doc_id, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'repaired') AS repaired, count(*) FILTER (status = 'dropped') AS dropped FROM judged GROUP BY doc_id",
 }
+
+
+def _escaped(x: str) -> str:
+    return f"replace({_quote.format(x)}, chr(10), '\\n')"
+
+
+_UNFLAWED = FLAWED.replace("doc_id % 6", "-1")
+_DUPLICATED = _dups + ", twice AS (SELECT doc_id, count(*) FILTER (k > 1) AS n FROM dups GROUP BY doc_id)"
+_content = (
+    """'{"facts":[' || string_agg('{"id":' || (ord + 1) || ',"fact":' || """ + _escaped("fact") + """ || ',"type":"' || type || '","confidence":"' || confidence || '","verbatim":' || coalesce("""
+    + _escaped("span") + """, 'null') || '}', ',' ORDER BY ord) || ']}'"""
+)
+SQL |= {
+    "q_strict_decode": "SELECT event_id AS doc_id, 'not a valid fact document: unknown field \"k\"' AS error FROM events",
+    "q_check_results": f"""WITH RECURSIVE {_UNFLAWED}, {_DUPLICATED}, counted AS (SELECT doc_id, count(*) AS facts, count(verbatim) AS checked, count(*) FILTER (verbatim IS NULL AND confidence = 'low') AS null_inferred, count(*) FILTER (verbatim IS NULL AND confidence <> 'low') AS failed_citations, count(*) FILTER (verbatim IS NOT NULL AND spot IS NULL) AS unlocated, bool_and(coalesce(span_class, 'exact') <> 'paraphrase' AND coalesce(position_class, 'none') IN ('none', 'right')) AS good FROM checked GROUP BY doc_id)
+SELECT documents.doc_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('facts', 'checked', 'null_inferred', 'failed_citations', 'unlocated'))}, CAST(NULL AS VARCHAR) AS error, coalesce(good AND n = 0, true) AS ok FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN twice USING (doc_id)""",
+    "q_token_accounting": f"""WITH RECURSIVE {CLAIMS}, sent AS (SELECT doc_id, chunk_no, chunk_no % 2 = 0 AS base, {_content} AS content FROM judged GROUP BY doc_id, chunk_no), sized_sent AS (SELECT doc_id, base, length(chunk_text) // 4 AS p, length(content) // 4 AS e, strlen(substr(content, 1, 40)) AS t FROM sent JOIN chunks USING (doc_id, chunk_no))
+SELECT doc_id, {', '.join(f"CAST(coalesce(sum({v}) FILTER ({'' if base else 'NOT '}base), 0) AS BIGINT) AS {n}" for v, n, base in (('p', 'prompt_tokens', True), ('e', 'eval_tokens', True), ('t', 'think_chars', True), ('p', 'extra_prompt_tokens', False), ('e', 'extra_eval_tokens', False), ('t', 'extra_think_chars', False)))}, count(*) FILTER (NOT base) AS extra_requests FROM sized_sent GROUP BY doc_id""",
+}
