@@ -2,7 +2,7 @@
 
 Ids are dealt to ``K`` clusters of ``M`` in id order; the probability of an id is that of its cluster times that of the
 id within it. Sequences are cut into windows of ``W`` positions that overlap by ``W - S``: a window's first ``W - S``
-positions are context alone (but for a sequence's first window), so each token is scored once.
+positions are context alone (before a sequence's start: the start id), so each token is scored once.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 W, S = 32, 24
-_MASK = np.triu(np.full((W, W), -1e9, np.float32), 1)
+#: Logits are held within this, so that exponentials need no row maximum, which numpy is slow to find in short rows.
+LIMIT = np.float32(60)
+_MASK = np.triu(np.full((W, W), -1e9, np.float32), 1)[W - S :]
 
 
 def fresh(vocabulary: int, d: int = 16, hidden: int = 32, members: int = 64, seed: int = 11) -> dict[str, np.ndarray]:
@@ -38,34 +40,61 @@ def with_counts(p: dict[str, np.ndarray], counts: np.ndarray) -> dict[str, np.nd
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows over sequences ``first[d]:first[d+1]``: places of each window's targets (-1: none), and which are scored."""
+    """Windows over sequences ``first[d]:first[d+1]``: places of their inputs' successors (before the sequence: -1), and which of the last ``S`` are scored."""
     n = np.diff(first)
-    many = np.where(n > 0, 1 + np.maximum(0, -(-(n - W) // S)), 0)
+    many = -(-n // S)
     doc = np.repeat(np.arange(len(n)), many)
     number = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(many)])[:-1], many)
-    at = (number * S)[:, None] + np.arange(W)
+    at = (number * S - (W - S))[:, None] + np.arange(W)
     inside = at < n[doc][:, None]
-    scored = inside & ((number == 0)[:, None] | (np.arange(W) >= W - S))
-    return np.where(inside, at + first[doc][:, None], -1), scored
+    return np.where(inside & (at >= 0), at + first[doc][:, None], -1), inside[:, W - S :]
+
+
+def shifted(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """The id before each place, the start id before a sequence; one more start id at the end, for place -1."""
+    before = np.concatenate([[start], ids]).astype(ids.dtype)
+    before[first[:-1]] = start
+    before[-1] = start
+    return before
 
 
 def hidden(p: dict[str, np.ndarray], inputs: np.ndarray, keep: bool = False):
-    """States before the softmax for windows of input ids, shape (windows, W, d)."""
+    """States before the softmax of the last ``S`` positions of windows of input ids, a row each."""
     d = p["E"].shape[1]
     x = p["E"][inputs] + p["P"]
-    flat = x.reshape(-1, d)
-    q, k, v = ((flat @ p[w]).reshape(x.shape) for w in ("Q", "Kw", "V"))
+    flat, own = x.reshape(-1, d), np.ascontiguousarray(x[:, W - S :])
+    last = own.reshape(-1, d)
+    k, v = ((flat @ p[w]).reshape(x.shape) for w in ("Kw", "V"))
+    q = last @ p["Q"]
+    held = longest(q) * longest(k.reshape(-1, d)) * d**-0.5 < LIMIT
+    q = q.reshape(own.shape)
     s = q @ k.transpose(0, 2, 1)
     s *= np.float32(d**-0.5)
+    if not held:
+        np.minimum(s, LIMIT, out=s)
     s += _MASK
-    s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s /= (s.reshape(-1, W) @ np.ones(W, s.dtype)).reshape(*s.shape[:2], 1)
     u = s @ v
-    y = flat + u.reshape(-1, d) @ p["A"]
-    r = np.maximum(y @ p["F"] + p["f"], 0)
+    y = last + u.reshape(-1, d) @ p["A"]
+    r = y @ p["F"]
+    r += p["f"]
+    np.maximum(r, 0, out=r)
     z = y + r @ p["G"]
-    return (z, (x, q, k, v, s, u, y, r)) if keep else z
+    return (z, (x, last, q, k, v, s, u, y, r)) if keep else z
+
+
+def bounded(logits: np.ndarray, safe: bool = False) -> np.ndarray:
+    return logits if safe else np.clip(logits, -LIMIT, LIMIT, out=logits)
+
+
+def longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
+
+
+def is_safe(x: float, weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit of a state no longer than ``x`` can reach the limit."""
+    return x * longest(weights) + float(np.abs(bias).max()) < LIMIT
 
 
 def log_probabilities(p: dict[str, np.ndarray], z: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -73,35 +102,40 @@ def log_probabilities(p: dict[str, np.ndarray], z: np.ndarray, targets: np.ndarr
     k = len(p["c"])
     members = len(p["o"]) // k
     cluster = targets // members
-    logits = z @ p["C"] + p["c"]
-    logits -= logits.max(axis=1, keepdims=True)
-    out = logits[np.arange(len(z)), cluster] - np.log(np.exp(logits, out=logits).sum(axis=1))
+    far = longest(z)
+    logits = z @ p["C"]
+    logits += p["c"]
+    logits = bounded(logits, is_safe(far, p["C"].T, p["c"]))
+    safe = is_safe(far, p["O"], p["o"])
+    out = logits[np.arange(len(z)), cluster]
+    out -= np.log(np.exp(logits, out=logits) @ np.ones(k, logits.dtype))
     order = np.argsort(cluster.astype(np.int16), kind="stable")
     edges = np.searchsorted(cluster[order], np.arange(k + 1))
     zs, ts = z[order], (targets - cluster * members)[order]
-    inner = np.empty(len(z), np.float32)
+    inner, one = np.empty(len(z), np.float32), np.ones(members, np.float32)
     for c in range(k):
         a, b = edges[c], edges[c + 1]
         if a < b:
             own = slice(c * members, (c + 1) * members)
-            g = zs[a:b] @ p["O"][own].T + p["o"][own]
-            g -= g.max(axis=1, keepdims=True)
-            inner[a:b] = g[np.arange(b - a), ts[a:b]] - np.log(np.exp(g, out=g).sum(axis=1))
+            g = zs[a:b] @ p["O"][own].T
+            g += p["o"][own]
+            g = bounded(g, safe)
+            inner[a:b] = g[np.arange(b - a), ts[a:b]]
+            inner[a:b] -= np.log(np.exp(g, out=g) @ one)
     out[order] += inner
     return out
 
 
-def score(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, start: int, at_once: int = 2048) -> np.ndarray:
+def score(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, start: int, at_once: int = 1024, within: int = 256) -> np.ndarray:
     """Natural log probability of every id given those before it in its sequence; ``start`` stands before each sequence."""
     out = np.zeros(len(ids), np.float32)
     places, scored = windows(first)
-    before = np.concatenate([[start], ids[:-1]]).astype(ids.dtype)
-    before[first[:-1][first[:-1] < len(ids)]] = start
+    before = shifted(ids, first, start)
     for k in range(0, len(places), at_once):
         at, use = places[k : k + at_once], scored[k : k + at_once]
-        z = hidden(p, before[np.maximum(at, 0)])
+        z = np.concatenate([hidden(p, before[at[j : j + within]]) for j in range(0, len(at), within)])  # the arrays of attention stay in the cache
         spots = np.flatnonzero(use.ravel())
-        to = at.ravel()[spots]
+        to = at[:, W - S :].ravel()[spots]
         out[to] = log_probabilities(p, z[spots], ids[to])
     return out
 
@@ -110,16 +144,14 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     """Mean loss over the used positions of some windows, and its gradients."""
     d, k = p["E"].shape[1], len(p["c"])
     members = len(p["o"]) // k
-    z, (x, q, kk, v, s, u, y, r) = hidden(p, inputs, keep=True)
+    z, (x, last, q, kk, v, s, u, y, r) = hidden(p, inputs, keep=True)
     spots = np.flatnonzero(use.ravel())
     n = len(spots)
     zs, ts = z[spots], targets.ravel()[spots]
     cluster = ts // members
     g = {}
-    logits = zs @ p["C"] + p["c"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    e /= e.sum(axis=1, keepdims=True)
+    e = np.exp(bounded(zs @ p["C"] + p["c"]))
+    e /= (e @ np.ones(k, e.dtype))[:, None]
     loss = -np.log(e[np.arange(n), cluster] + 1e-30).sum()
     e[np.arange(n), cluster] -= 1
     e /= n
@@ -132,10 +164,8 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         rows = order[edges[c] : edges[c + 1]]
         if len(rows):
             own = slice(c * members, (c + 1) * members)
-            m = zs[rows] @ p["O"][own].T + p["o"][own]
-            m -= m.max(axis=1, keepdims=True)
-            np.exp(m, out=m)
-            m /= m.sum(axis=1, keepdims=True)
+            m = np.exp(bounded(zs[rows] @ p["O"][own].T + p["o"][own]))
+            m /= (m @ np.ones(members, m.dtype))[:, None]
             pick = (np.arange(len(rows)), ts[rows] - c * members)
             loss -= np.log(m[pick] + 1e-30).sum()
             m[pick] -= 1
@@ -149,16 +179,18 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     g["F"], g["f"] = y.T @ dr, dr.sum(axis=0)
     dy = full + dr @ p["F"].T
     g["A"] = u.reshape(-1, d).T @ dy
-    du = (dy @ p["A"].T).reshape(x.shape)
+    du = (dy @ p["A"].T).reshape(u.shape)
     ds = du @ v.transpose(0, 2, 1)
     dv = s.transpose(0, 2, 1) @ du
     ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
     dq, dk = ds @ kk, ds.transpose(0, 2, 1) @ q
     flat = x.reshape(-1, d)
-    dx = dy.copy()
-    for name, w, dw in (("Q", "Q", dq), ("Kw", "Kw", dk), ("V", "V", dv)):
+    dx = np.zeros_like(flat)
+    for name, dw in (("Kw", dk), ("V", dv)):
         g[name] = flat.T @ dw.reshape(-1, d)
-        dx += dw.reshape(-1, d) @ p[w].T
+        dx += dw.reshape(-1, d) @ p[name].T
+    g["Q"] = last.T @ dq.reshape(-1, d)
+    dx.reshape(x.shape)[:, W - S :] += dy.reshape(q.shape) + (dq.reshape(-1, d) @ p["Q"].T).reshape(q.shape)
     g["P"] = dx.reshape(x.shape).sum(axis=0)
     ids = inputs.ravel()
     order = np.argsort(ids, kind="stable")
@@ -171,16 +203,18 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
 def fit(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, start: int, batch: int = 64, rate: float = 0.01, seed: int = 5) -> tuple[dict[str, np.ndarray], int]:
     """One pass of Adam over all windows in a random order; the new parameters and the number of windows."""
     places, scored = windows(first)
-    before = np.concatenate([[start], ids[:-1]]).astype(ids.dtype) if len(ids) else ids
-    before[first[:-1][first[:-1] < len(ids)]] = start
+    before = shifted(ids, first, start)
     p = {k: v.copy() for k, v in p.items()}
     m, v2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     order = np.random.default_rng(seed).permutation(len(places))
     for t, k in enumerate(range(0, len(order), batch), 1):
         at, use = places[order[k : k + batch]], scored[order[k : k + batch]]
-        _, g = gradients(p, before[np.maximum(at, 0)], ids[np.maximum(at, 0)], use)
+        touched = np.unique(before[at])
+        _, g = gradients(p, before[at], ids[np.maximum(at[:, W - S :], 0)], use)
         for name, x in g.items():
-            m[name] += 0.1 * (x - m[name])
-            v2[name] += 0.01 * (x * x - v2[name])
-            p[name] -= (rate / (1 - 0.9**t)) * m[name] / (np.sqrt(v2[name] / (1 - 0.99**t)) + 1e-6)
+            rows = touched if name == "E" else slice(None)  # of the embeddings, those in the batch alone
+            x = x[rows]
+            m[name][rows] += 0.1 * (x - m[name][rows])
+            v2[name][rows] += 0.01 * (x * x - v2[name][rows])
+            p[name][rows] -= (rate / (1 - 0.9**t)) * m[name][rows] / (np.sqrt(v2[name][rows] / (1 - 0.99**t)) + 1e-6)
     return p, len(places)

@@ -2,14 +2,16 @@
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; each text ends with an end token. A word is split
 into subwords of a public vocabulary (longest match first, single bytes always match); an id also says whether it
-begins a word, so ids and words determine each other. The model of :mod:`attention` is trained on executors: every
-``share``-th document outside the held-out fold gives windows, each task takes one pass of Adam per round from the
-same start, and weighted sums of parameters, added up by Spark, make the next start. What training and counting read
-grows with the corpus; the model's size does not.
+begins a word, so ids and words determine each other. The model of :mod:`attention` is trained on executors: of
+every ``share`` documents outside the held-out fold one gives windows, to one of the rounds; each task takes a pass of Adam over its own from the round's
+start, and weighted sums of parameters, added up by Spark, make the next start. Counts and the vocabulary cover the
+whole fold. ``share`` is twice the square root of the number of blocks, so what is trained on grows with the corpus, if
+slower; the model's size does not grow.
 
 A word's probability is the mean, with weights ``blend`` and ``1 - blend``, of the model's (the product over its
 subwords in context) and of the smoothed unigram of the whole training fold, ``(c + 0.5) / (N + 0.5 (V + 1))``, which
-is also the base score. Counts of any vocabulary size reach the documents by way of blocks: documents are dealt to
+is also the base score. ``blend`` is the value of ``BLENDS`` under which every ``share``-th block of the training fold
+(one at least) is likeliest, each word's own occurrence left out of its count. Counts of any vocabulary size reach the documents by way of blocks: documents are dealt to
 blocks of about ``BLOCK`` bytes, each block asks once for each of its words, and counts come back to the block.
 
 Null and empty texts are one end token. Repeated rows get equal scores. Unknown words have count 0. An empty training
@@ -18,8 +20,8 @@ fold scores all tokens alike. An empty table gives an empty result. Other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ BLOCK = 16 << 20
 PIECES, LONGEST, MEMBERS = 2047, 8, 64
 VOCABULARY = 2 * (PIECES + 1)
 END = VOCABULARY - 1
-END_HASH = np.uint64(0xE0D0E0D0E0D0E0D1)
+BLENDS = (0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
 class Subwords:
@@ -141,10 +143,11 @@ def spread(pool: np.ndarray, place: np.ndarray, which: np.ndarray, first: np.nda
 
 
 def train(docs: DataFrame, path: str, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """A model trained by rounds of local passes and averaged parameters over all rows of ``docs``."""
+    """A model trained by rounds of local passes and averaged parameters, each over its own part of the rows of ``docs``."""
     spark = docs.sparkSession
+    of = F.pmod(F.xxhash64(id_col, F.lit("round")), F.lit(rounds))
 
-    def summed(fn) -> dict[str, np.ndarray]:
+    def summed(fn, rows=docs) -> dict[str, np.ndarray]:
         """Sums over tasks of the arrays that ``fn`` makes of a task's ids: added in two steps, never all in one place."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def train(docs: DataFrame, path: str, rounds: int = 3, id_col: str = "doc_id", t
                     flat = x.ravel().astype(np.float64)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(flat)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["name", "at", "x"])
 
-        got = mapped(docs.select(text_col), run, "name string, at int, x double").groupBy("name", "at").agg(F.sum("x").alias("x")).toArrow()
+        got = mapped(rows.select(text_col), run, "name string, at int, x double").groupBy("name", "at").agg(F.sum("x").alias("x")).toArrow()
         out = {}
         names = got.column("name").combine_chunks().dictionary_encode()
         index, at, x = names.indices.to_numpy(zero_copy_only=False), got.column("at").to_numpy(), got.column("x").to_numpy()
@@ -180,21 +183,24 @@ def train(docs: DataFrame, path: str, rounds: int = 3, id_col: str = "doc_id", t
         shared = spark.sparkContext.broadcast(params)
 
         def local(ids, first, k=k, shared=shared):
-            new, n = attention.fit(shared.value, ids, first, END, rate=0.01 / (k + 1), seed=k)
+            new, n = attention.fit(shared.value, ids, first, END, rate=0.02 / (k + 1), seed=k)
             return {name: x * n for name, x in new.items()} | {"weight": np.array([n])}
 
-        total = summed(local)
+        total = summed(local, docs.where(of == k))
+        if not total:
+            continue
         params = {name: (total[name] / total["weight"][0]).astype(np.float32).reshape(x.shape) for name, x in params.items()}
         shared.unpersist()
     return params
 
 
-def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, share: int = 8, blend: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, model_score`` for every row."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = int(max(1, -(-size // BLOCK)))
+    share = math.ceil(2 * math.sqrt(blocks))  # so what is trained on grows as the square root of the corpus
     own = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(blocks)).cast("int")
     dealt = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (bucket(id_col, folds) == held_out).alias("held"), own.alias("block"))
     dealt = cut(dealt.repartition("block").sortWithinPartitions("block"))
@@ -240,52 +246,71 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, share:
     total, distinct = (n_words or 0) + n_docs, v_words + (n_docs > 0)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    bottom = total + 0.5 * (distinct + 1)
+    end_base = math.log10((n_docs + 0.5) / bottom)
+
+    def tokens_of(left: pa.Table, right: pa.Table):
+        """For slices of a block: its rows, the bounds of documents among tokens, the tokens' counts and log probabilities."""
         p, sub = shared.value, subwords(path)
         known = right.column("h").to_numpy().view(np.uint64)
         order = np.argsort(known)
         known, count = known[order], right.column("c").to_numpy()[order]
-        bottom = total + 0.5 * (distinct + 1)
-        base_of = np.log10((count + 0.5) / bottom)
-        end_base = log10((n_docs + 0.5) / bottom)
         place, size = np.full(len(known), -1, np.int64), np.zeros(len(known), np.int64)
         pool, used = np.zeros(1 << 16, np.int16), 0
-        out = []
         for batch in left.to_batches():
             for rows, texts in slices(batch, "text"):
                 data, starts, ends, first, h = word_hashes(texts)
-                which = np.searchsorted(known, h)
-                fresh, one = np.unique(np.where(place[which] < 0, which, -1), return_index=True)
-                one, fresh = one[fresh >= 0], fresh[fresh >= 0]
-                if len(fresh):
-                    ids, n = sub.split(data, starts[one], ends[one])
+                kinds, one, back = np.unique(h, return_index=True, return_inverse=True)
+                which = np.searchsorted(known, kinds)
+                new = np.flatnonzero(place[which] < 0)
+                if len(new):
+                    ids, n = sub.split(data, starts[one[new]], ends[one[new]])
                     while used + len(ids) > len(pool):
                         pool = np.concatenate([pool, np.zeros_like(pool)])
                     pool[used : used + len(ids)] = ids
-                    size[fresh] = n
-                    place[fresh] = used + np.cumsum(n) - n
+                    size[which[new]] = n
+                    place[which[new]] = used + np.cumsum(n) - n
                     used += len(ids)
-                kinds, back = np.unique(which, return_inverse=True)
-                ends_at = np.cumsum(size[kinds])
-                inner = np.arange(ends_at[-1] if len(kinds) else 0) - np.repeat(ends_at - size[kinds], size[kinds])
-                local = pool[np.repeat(place[kinds], size[kinds]) + inner]
+                n = size[which]
+                ends_at = np.cumsum(n)
+                inner = np.arange(ends_at[-1] if len(kinds) else 0) - np.repeat(ends_at - n, n)
+                local = pool[np.repeat(place[which], n) + inner]
                 ids, docs_at, token_at = spread(local, np.concatenate([[0], ends_at]), back, first)
-                lp = attention.score(p, ids, docs_at, END)
-                by_token = np.add.reduceat(lp, token_at[:-1]) / np.log(10) if len(lp) else lp
+                by_token = np.add.reduceat(attention.score(p, ids, docs_at, END), token_at[:-1]).astype(np.float64) / np.log(10)
                 docs_n = len(first) - 1
-                word_at = np.arange(len(which)) + np.repeat(np.arange(docs_n), np.diff(first))
-                base, seen = np.full(len(which) + docs_n, end_base), np.full(len(which) + docs_n, n_docs > 0)
-                base[word_at], seen[word_at] = base_of[which], count[which] > 0
-                high = np.maximum(base, by_token)
-                both = high + np.log10(blend * 10 ** (by_token - high) + (1 - blend) * 10 ** (base - high)) if total else by_token
-                at = (first + np.arange(docs_n + 1)).astype(np.int64)
-                sums = [np.add.reduceat(x.astype(np.float64), at[:-1]) for x in (seen, base, both, by_token)]
-                out.append(pa.RecordBatch.from_arrays([rows.column("key"), rows.column("held"), pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(docs_n, total, np.int64)), *map(pa.array, sums[1:])], names))
+                word_at = np.arange(len(back)) + np.repeat(np.arange(docs_n), np.diff(first))
+                c = np.full(len(back) + docs_n, n_docs, np.int64)
+                c[word_at] = count[which][back]
+                yield rows, (first + np.arange(docs_n + 1)).astype(np.int64), c, by_token
+
+    def blended(model_part: np.ndarray, base: np.ndarray, blend: float) -> np.ndarray:
+        high = np.maximum(base, model_part)
+        return high + np.log10(blend * 10 ** (model_part - high) + (1 - blend) * 10 ** (base - high))
+
+    def try_blends(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums = np.zeros(len(BLENDS))
+        for _, _, c, by_token in tokens_of(left, right):
+            base = np.log10((np.maximum(c - 1, 0) + 0.5) / bottom)
+            sums += [blended(by_token, base, b).sum() for b in BLENDS]
+        return pa.table({"k": pa.array(np.arange(len(BLENDS), dtype=np.int32)), "x": pa.array(sums)})
+
+    left, right = dealt.select("key", "text", "held", "block"), answers.select("block", "h", "c")
+    few = F.col("block") < max(1, blocks // share)
+    tried = left.where(few & ~F.col("held")).groupBy("block").cogroup(right.where(few).groupBy("block")).applyInArrow(try_blends, "k int, x double")
+    by_blend = {r["k"]: r["x"] for r in tried.groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    blend = BLENDS[max(by_blend, key=by_blend.get)] if by_blend and total else BLENDS[0]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for rows, at, c, by_token in tokens_of(left, right):
+            base = np.log10((c + 0.5) / bottom)
+            both = blended(by_token, base, blend) if total else by_token
+            seen, base, both, by_token = (np.add.reduceat(x.astype(np.float64), at[:-1]) for x in (c > 0, base, both, by_token))
+            out.append(pa.RecordBatch.from_arrays([rows.column("key"), rows.column("held"), pa.array(np.diff(at)), pa.array(seen.astype(np.int64)), pa.array(np.full(len(seen), total, np.int64)), *map(pa.array, (base, both, by_token))], names))
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "model_score"]
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = pa.schema([(n, t) for n, t in zip(names, [to_arrow_type(docs.schema[id_col].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()], strict=True)])
-    left, right = dealt.select("key", "text", "held", "block").groupBy("block"), answers.select("block", "h", "c").groupBy("block")
-    return left.cogroup(right).applyInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, model_score double")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, model_score double")
