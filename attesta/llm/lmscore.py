@@ -2,20 +2,23 @@
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; each text ends with an end token. A word is split
 into subwords of a public vocabulary (longest match first, single bytes always match); an id also says whether it
-begins a word, so ids and words determine each other. The model of :mod:`attention` is trained on executors: of
-every ``share`` documents outside the held-out fold one gives windows, to one of the rounds; each task takes a pass of Adam over its own from the round's
-start, and weighted sums of parameters, added up by Spark, make the next start. Counts and the vocabulary cover the
-whole fold. ``share`` is twice the square root of the number of blocks, so what is trained on grows with the corpus, if
-slower; the model's size does not grow.
+begins a word, so ids and words determine each other.
+
+The model of :mod:`attention` is trained on executors. One in ``share`` documents outside the held-out fold gives
+windows, to one of the rounds; each task takes a pass of Adam over its own from the round's start, and weighted sums of
+parameters, added up by Spark, make the next start. ``share`` is twice the square root of the number of blocks, so what
+is trained on grows with the corpus, if slower; the model's size does not grow.
 
 A word's probability is the mean, with weights ``blend`` and ``1 - blend``, of the model's (the product over its
 subwords in context) and of the smoothed unigram of the whole training fold, ``(c + 0.5) / (N + 0.5 (V + 1))``, which
 is also the base score. ``blend`` is the value of ``BLENDS`` under which every ``share``-th block of the training fold
-(one at least) is likeliest, each word's own occurrence left out of its count. Counts of any vocabulary size reach the documents by way of blocks: documents are dealt to
-blocks of about ``BLOCK`` bytes, each block asks once for each of its words, and counts come back to the block.
+(one at least) is likeliest, each word's own occurrence left out of its count.
+
+Counts of any vocabulary size reach the documents by way of blocks: documents are dealt to blocks of about ``BLOCK``
+bytes, each block asks once for each of its words, and counts come back to the block.
 
-Null and empty texts are one end token. Repeated rows get equal scores. Unknown words have count 0. An empty training
-fold scores all tokens alike. An empty table gives an empty result. Other columns are not read.
+Null and empty texts are one end token. Repeated rows get equal scores. Unknown words have count 0. With an empty
+training fold all tokens score alike. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -147,8 +150,8 @@ def train(docs: DataFrame, path: str, rounds: int = 3, id_col: str = "doc_id", t
     spark = docs.sparkSession
     of = F.pmod(F.xxhash64(id_col, F.lit("round")), F.lit(rounds))
 
-    def summed(fn, rows=docs) -> dict[str, np.ndarray]:
-        """Sums over tasks of the arrays that ``fn`` makes of a task's ids: added in two steps, never all in one place."""
+    def summed(fn, rows: DataFrame) -> np.ndarray | None:
+        """The sum over tasks of the vector that ``fn`` makes of a task's ids: added by place, never all in one task."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sub, ids, firsts, base = subwords(path), [], [np.zeros(1, np.int64)], 0
@@ -159,37 +162,34 @@ def train(docs: DataFrame, path: str, rounds: int = 3, id_col: str = "doc_id", t
                     firsts.append(first[1:] + base)
                     base += len(got)
             if base:
-                for name, x in fn(np.concatenate(ids).astype(np.int32), np.concatenate(firsts)).items():
-                    flat = x.ravel().astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(flat)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["name", "at", "x"])
-
-        got = mapped(rows.select(text_col), run, "name string, at int, x double").groupBy("name", "at").agg(F.sum("x").alias("x")).toArrow()
-        out = {}
-        names = got.column("name").combine_chunks().dictionary_encode()
-        index, at, x = names.indices.to_numpy(zero_copy_only=False), got.column("at").to_numpy(), got.column("x").to_numpy()
-        for k, name in enumerate(names.dictionary.to_pylist()):
-            own = index == k
-            flat = np.zeros(int(at[own].max()) + 1)
-            flat[at[own]] = x[own]
-            out[name] = flat
+                x = fn(np.concatenate(ids).astype(np.int32), np.concatenate(firsts)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], ["at", "x"])
+
+        # few tasks with longer passes: each sends a whole vector
+        fewer = rows.select(text_col).coalesce(max(1, rows.rdd.getNumPartitions() // 4))
+        got = mapped(fewer, run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        if not got.num_rows:
+            return None
+        out = np.zeros(got.num_rows)
+        out[got.column("at").to_numpy()] = got.column("x").to_numpy()
         return out
 
     params = attention.fresh(VOCABULARY, members=MEMBERS)
-    counts = summed(lambda ids, first: {"n": np.bincount(ids, minlength=VOCABULARY)})
-    if not counts:
+    counts = summed(lambda ids, first: np.bincount(ids, minlength=VOCABULARY), docs)
+    if counts is None:
         return params
-    params = attention.with_counts(params, counts["n"])
+    params = attention.with_counts(params, counts)
+    bounds = np.cumsum([0, *(x.size for x in params.values())])
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(params)
 
         def local(ids, first, k=k, shared=shared):
             new, n = attention.fit(shared.value, ids, first, END, rate=0.02 / (k + 1), seed=k)
-            return {name: x * n for name, x in new.items()} | {"weight": np.array([n])}
+            return np.concatenate([*(x.ravel() * np.float64(n) for x in new.values()), [n]])
 
         total = summed(local, docs.where(of == k))
-        if not total:
-            continue
-        params = {name: (total[name] / total["weight"][0]).astype(np.float32).reshape(x.shape) for name, x in params.items()}
+        if total is not None:
+            params = {name: (total[a:b] / total[-1]).astype(np.float32).reshape(x.shape) for (name, x), a, b in zip(params.items(), bounds[:-1], bounds[1:], strict=True)}
         shared.unpersist()
     return params
 
