@@ -9,7 +9,8 @@ that of the whole item, 1 for an exact copy; pairs of at least ``threshold`` are
 
 The items are a query set, taken in blocks of bounded size against all documents, so the lookup sent to workers never
 outgrows ``BLOCK_WORDS``. Items of fewer than ``n`` words cannot be told from chance and are never reported; neither are
-null or empty texts. Equal items are aligned once and reported for each id. Repeated documents give repeated rows for
+null or empty texts, nor documents
+without a key. Equal items are aligned once and reported for each id. Repeated documents give repeated rows for
 each (key, item) once. An empty table on either side gives an empty result. Other columns are not read.
 """
 

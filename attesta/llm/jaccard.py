@@ -13,7 +13,8 @@ n-gram of all of them). Two documents are linked if the Jaccard similarity of th
 
 Result: one row per input row with ``class_id`` (the smallest key of the class) and ``n_links`` (rows linked to it, the
 copies of its own set included). Null, empty and white-space texts have no n-grams: they link to nothing, not even each
-other. Repeated rows count as copies. An empty table gives an empty result. Other columns are not read.
+other. Repeated rows count as copies. A row without a key gets the class of the rows
+with its set that have one. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
