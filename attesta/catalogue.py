@@ -97,8 +97,13 @@ def q_units(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(chunking.units(T.trim_ws(F.col("text")), CHUNK_TOKENS)).alias("k", "u")).select("doc_id", long(F.col("k")).alias("k"), F.md5("u.text").alias("unit"), F.col("u.n").alias("tokens"))
 
 
+def dealt(spark, sf_dir):
+    """Texts dealt out by document before the costly steps: all that follows stays with its document, and a file of one row group keeps no core idle."""
+    return texts(spark, sf_dir).repartition("doc_id")
+
+
 def chunks_of(spark, sf_dir):
-    return chunking.chunks(texts(spark, sf_dir), CHUNK_TOKENS)
+    return chunking.chunks(dealt(spark, sf_dir), CHUNK_TOKENS)
 
 
 @query
@@ -184,7 +189,7 @@ def verified_of(spark, sf_dir):
 
 
 def placed_of(spark, sf_dir):
-    return report.located(claims.merge(verified_of(spark, sf_dir)), texts(spark, sf_dir))
+    return report.located(claims.merge(verified_of(spark, sf_dir), together=True), texts(spark, sf_dir))
 
 
 @query
@@ -262,7 +267,7 @@ def q_anchors(spark, sf_dir):
 
 
 def scores_of(spark, sf_dir):
-    return scoring.score(scoring.matches(scoring.anchored(gold_of(spark, sf_dir), texts(spark, sf_dir)), claims.merge(verified_of(spark, sf_dir))))
+    return scoring.score(scoring.matches(scoring.anchored(gold_of(spark, sf_dir), texts(spark, sf_dir)), claims.merge(verified_of(spark, sf_dir), together=True)))
 
 
 @query

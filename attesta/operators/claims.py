@@ -110,13 +110,15 @@ def verify_counts(claims: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return claims.groupBy(id_col).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("exact", "repaired", "dropped")))
 
 
-def merge(claims: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def merge(claims: DataFrame, id_col: str = "doc_id", together: bool = False) -> DataFrame:
     """Claims in order of chunk, pass and place, the first of each statement alone, numbered from 1.
 
-    Both windows partition by document first, so one shuffle serves them.
+    Both windows partition by document first, so one shuffle serves them, or none where ``claims`` are ``together``
+    by document already.
     """
     order = ["chunk_no", "pass_no", "ord"]
-    keyed = claims.withColumn("__key", writer_key(F.col("fact"))).where(F.col("__key") != "").repartition(id_col)
+    keyed = claims.withColumn("__key", writer_key(F.col("fact"))).where(F.col("__key") != "")
+    keyed = keyed if together else keyed.repartition(id_col)
     first = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(*order))).where("__n = 1").drop("__n", "__key")
     return first.withColumn("id", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
 
