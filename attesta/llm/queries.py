@@ -71,5 +71,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: All pairs that share an n-gram, in full: for small tables only. MinHash may lose a pair in a thousand at the threshold.
+JACCARD_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM split),
+grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 10 * c >= 8 * (n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT reach.x AS doc_id, min(reach.y) AS class_id, coalesce(any_value(counts.n), 0) AS n_links FROM reach LEFT JOIN counts ON counts.x = reach.x GROUP BY reach.x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_jaccard": JACCARD_SQL}
