@@ -1,10 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are runs of letters and digits, upper-case A-Z folded. One pass over the documents finds the item n-grams that
-occur and cuts a passage around each (as word hashes), wide enough for the longest item with that n-gram. The document
-frequency of an n-gram over all documents decides which of an item's n-grams are its seeds: those not above the item's
-median, or not above ``RARE``. A passage with copies in every document keeps its seeds, because they are chosen within
-the item. Seeds join passages to items; each pair is aligned over whole passages. ``score`` is the alignment score over
+occur and cuts a passage around each (as word hashes), wide enough for the longest item with that n-gram. A passage meets
+every item that it shares an n-gram with, however common that n-gram is, so whether an edited copy is found does not
+depend on the rest of the corpus. An item fewer of whose words occur in the passage than the threshold asks for cannot
+reach it and is not aligned; all others are, over the whole passage. ``score`` is the alignment score over
 that of the whole item, 1 for an exact copy; pairs of at least ``threshold`` are reported with the words they span.
 
 The items are a query set, taken in blocks of bounded size against all documents, so the lookup sent to workers never
@@ -29,9 +29,10 @@ from .frames import mapped
 from .text import hash_words, shingles, slices
 from .toxicity import WORDS
 
-RARE = 16
-#: Item words in one block (8 bytes each in the lookup that workers get).
+#: Item words in one block (about 40 bytes each in the lookup that workers get).
 BLOCK_WORDS = 4 << 20
+#: Item words compared with a passage at once, and cells of an alignment's row.
+AT_ONCE, CELLS = 1 << 20, 1 << 18
 #: Smith-Waterman: gain of a match, costs of a mismatch and of a skipped word.
 MATCH, MISMATCH, GAP = 2, 1, 1
 
@@ -48,28 +49,91 @@ def words_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return mapped(df.select(id_col, text_col), run, f"item {df.schema[id_col].dataType.simpleString()}, words binary")
 
 
-def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """``md, gram, at, size`` for the n-grams of distinct items."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for md, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = np.frombuffer(raw, np.uint64)
-                g, at, _ = shingles(w, np.array([0, len(w)]), n)
-                yield pa.RecordBatch.from_arrays([pa.array([md] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(np.full(len(g), len(w), np.int32))], ["md", "gram", "at", "size"])
+def align(item: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignment score of the item with each row of ``many`` (padded with 0), and where it ends in the row and the item.
 
-    return mapped(items.select("md", "words"), run, "md string, gram bigint, at int, size int")
+    Rows may have an item each (rows of ``item``, padded with 1).
+    """
+    p, w = many.shape
+    step = np.arange(w + 1, dtype=np.int32) * GAP
+    row = np.zeros((p, w + 1), np.int32)
+    best, end, top = np.zeros(p, np.int32), np.zeros(p, np.int64), np.zeros(p, np.int64)
+    for i, x in enumerate(np.atleast_2d(item).T):
+        new = np.zeros_like(row)
+        new[:, 1:] = np.where(many == x[:, None], MATCH, -MISMATCH) + row[:, :-1]
+        np.maximum(new, row - GAP, out=new)
+        np.maximum(new, 0, out=new)
+        new = np.maximum.accumulate(new + step, axis=1) - step  # skipped words of the row
+        at = new.argmax(axis=1)
+        score = new[np.arange(p), at]
+        more = score > best
+        best[more], end[more], top[more] = score[more], at[more], i + 1
+        row = new
+    return best, end, top
 
 
-def passages(docs: DataFrame, grams: np.ndarray, reach: np.ndarray, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``key, start, words, hits`` for each passage with item n-grams; ``grams`` is sorted, ``reach`` is its longest item."""
+class Items:
+    """Items as words ``words[first[i]:first[i+1]]``; their sorted n-grams, the longest item and (``owner``) all items of each."""
+
+    def __init__(self, table: pa.Table, n: int):
+        self.md = table.column("md").to_pylist()
+        raw = table.column("words").to_pylist()
+        self.words = np.frombuffer(b"".join(raw), np.uint64)
+        self.first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
+        g, _, first = shingles(self.words, self.first, n)
+        item = np.repeat(np.arange(len(raw), dtype=np.int32), np.diff(first))
+        order = np.argsort(g, kind="stable")
+        g, self.owner = g[order], item[order]
+        self.grams, begin = np.unique(g, return_index=True)
+        self.begin = np.append(begin, len(g))
+        self.reach = np.maximum.reduceat(np.diff(self.first)[self.owner], begin)
+
+    def likely(self, places: np.ndarray, passage: np.ndarray, threshold: float) -> Iterator[int]:
+        """Items with one of the n-grams ``places`` so many of whose words occur in the passage that they may reach the threshold."""
+        own = np.unique(np.concatenate([self.owner[self.begin[k] : self.begin[k + 1]] for k in np.unique(places).tolist()]))
+        size = np.diff(self.first)[own]
+        known = np.unique(passage)
+        part = (np.cumsum(size) - size) // AT_ONCE
+        for piece in np.split(np.arange(len(own)), np.flatnonzero(np.diff(part)) + 1):
+            n = size[piece]
+            begin = np.cumsum(n) - n
+            w = self.words[np.arange(n.sum()) + np.repeat(self.first[own[piece]] - begin, n)]
+            held = known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w
+            yield from own[piece[MATCH * np.add.reduceat(held, begin, dtype=np.int64) / (MATCH * n) >= threshold]].tolist()
+
+
+def padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), fill, np.uint64)
+    for k, x in enumerate(rows):
+        out[k, : len(x)] = x
+    return out
+
+
+def aligned(docs: DataFrame, items: Items, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``key, md, score, start_word, end_word`` for each passage and item that reach the threshold."""
     flags = np.zeros(1 << 20, bool)
-    flags[(grams >> np.uint64(44)).astype(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((grams, reach, np.packbits(flags)))
+    flags[(items.grams >> np.uint64(44)).astype(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast((items, np.packbits(flags)))
+
+    def scored(pairs: list[tuple[int, int, int, int]], words: np.ndarray) -> Iterator[tuple[int, str, float, int, int]]:
+        """Rows of the pairs (document, passage's first word and end, item) that reach the threshold; words count from the passage."""
+        items = shared.value[0]
+        pairs.sort(key=lambda x: (x[2] - x[1], x[3]))
+        while pairs:
+            wide = pairs[-1][2] - pairs[-1][1]
+            k = max(1, min(64, CELLS // wide))
+            part, pairs[-k:] = pairs[-k:], []
+            own = [items.words[items.first[i] : items.first[i + 1]] for *_, i in part]
+            many = padded([words[a:b] for _, a, b, _ in part], 0)
+            score, end, top = align(padded(own, 1), many)
+            for r, (d, a, _, i) in enumerate(part):
+                if (s := score[r] / (MATCH * len(own[r]))) >= threshold:
+                    back = align(own[r][: top[r]][::-1], many[r : r + 1, : end[r]][:, ::-1])[1][0]
+                    yield d, items.md[i], float(s), int(a + end[r] - back), int(a + end[r])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wide, bits = shared.value
-        may = np.unpackbits(bits).astype(bool)
+        items, bits = shared.value
+        known, wide, may = items.grams, items.reach, np.unpackbits(bits).astype(bool)
         for batch in batches:
             for rows, texts in slices(batch, text_col):
                 words, first = hash_words(texts, WORDS, fold=True)
@@ -87,76 +151,23 @@ def passages(docs: DataFrame, grams: np.ndarray, reach: np.ndarray, n: int, id_c
                 new = np.concatenate([[True], (low[1:] > top[:-1]) | (doc[1:] != doc[:-1])])
                 begin = np.flatnonzero(new)
                 end = np.append(begin[1:], len(hit))
-                start = np.minimum.reduceat(low, begin)
-                stop = np.maximum.reduceat(high, begin)
-                hits = pa.StructArray.from_arrays([pa.array(g[hit].view(np.int64)), pa.array((at[hit] - np.repeat(start, end - begin)).astype(np.int32))], ["gram", "at"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(id_col).take(pa.array(doc[begin])),
-                        pa.array(start - first[doc[begin]]),
-                        pa.array([words[a:b].tobytes() for a, b in zip(start, stop, strict=True)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.append(begin, len(hit)).astype(np.int32)), hits),
-                    ],
-                    ["key", "start", "words", "hits"],
-                )
+                start = np.minimum.reduceat(low, begin).tolist()
+                stop = np.maximum.reduceat(high, begin).tolist()
+                pairs = [
+                    (d, a, b, i)
+                    for d, a, b, x, y in zip(doc[begin].tolist(), start, stop, begin.tolist(), end.tolist(), strict=True)
+                    for i in items.likely(place[x:y], words[a:b], threshold)
+                ]
+                out = list(scored(pairs, words))
+                if out:
+                    d = np.array([o[0] for o in out])
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(id_col).take(pa.array(d)), pa.array([o[1] for o in out]), pa.array([o[2] for o in out]), *(pa.array(np.array([o[k] for o in out]) - first[d]) for k in (3, 4))],
+                        ["key", "md", "score", "start_word", "end_word"],
+                    )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(id_col, text_col), run, f"key {kind}, start bigint, words binary, hits array<struct<gram:bigint,at:int>>")
-
-
-def align(item: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best local alignment score of the item with each row of ``many`` (padded with 0), and where it ends in the row and the item."""
-    p, w = many.shape
-    step = np.arange(w + 1, dtype=np.int32) * GAP
-    row = np.zeros((p, w + 1), np.int32)
-    best, end, top = np.zeros(p, np.int32), np.zeros(p, np.int64), np.zeros(p, np.int64)
-    for i, x in enumerate(item):
-        new = np.zeros_like(row)
-        new[:, 1:] = np.where(many == x, MATCH, -MISMATCH) + row[:, :-1]
-        np.maximum(new, row - GAP, out=new)
-        np.maximum(new, 0, out=new)
-        new = np.maximum.accumulate(new + step, axis=1) - step  # skipped words of the row
-        at = new.argmax(axis=1)
-        score = new[np.arange(p), at]
-        more = score > best
-        best[more], end[more], top[more] = score[more], at[more], i + 1
-        row = new
-    return best, end, top
-
-
-def aligned(pairs: DataFrame, threshold: float) -> DataFrame:
-    """``key, md, score, start_word, end_word`` from ``key, start, words, md, item_words``."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, start, raw, md, item = (batch.column(k) for k in range(5))
-            raw, md, item = raw.to_pylist(), md.to_pylist(), item.to_pylist()
-            out = []
-            order = sorted(range(len(md)), key=lambda k: (md[k], len(raw[k])))
-            for at in range(0, len(order), 64):
-                part = order[at : at + 64]
-                for one in dict.fromkeys(md[k] for k in part):
-                    own = [k for k in part if md[k] == one]
-                    x = np.frombuffer(item[own[0]], np.uint64)
-                    many = np.zeros((len(own), max(len(raw[k]) for k in own) // 8), np.uint64)
-                    for r, k in enumerate(own):
-                        w = np.frombuffer(raw[k], np.uint64)
-                        many[r, : len(w)] = w
-                    score, end, top = align(x, many)
-                    for r, k in enumerate(own):
-                        if (s := score[r] / (MATCH * len(x))) >= threshold:
-                            back = align(x[: top[r]][::-1], many[r : r + 1, : end[r]][:, ::-1])[1][0]
-                            out.append((k, one, float(s), int(end[r] - back), int(end[r])))
-            if out:
-                rows = pa.array([o[0] for o in out])
-                first = start.take(rows).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [key.take(rows), pa.array([o[1] for o in out]), pa.array([o[2] for o in out]), pa.array(first + np.array([o[3] for o in out])), pa.array(first + np.array([o[4] for o in out]))],
-                    ["key", "md", "score", "start_word", "end_word"],
-                )
-
-    kind = pairs.schema["key"].dataType.simpleString()
-    return mapped(pairs.select("key", "start", "words", "md", "item_words"), run, f"key {kind}, md string, score double, start_word bigint, end_word bigint")
+    return mapped(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col), run, f"key {kind}, md string, score double, start_word bigint, end_word bigint")
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -169,21 +180,10 @@ def find(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float = 0.5,
     found = None
     for b in range(blocks):
         block = once.where(F.pmod(F.xxhash64("md"), F.lit(blocks)) == b)
-        grams = cut(item_grams(block, n))
-        table = grams.groupBy("gram").agg(F.max("size").alias("size")).toArrow()
-        known = table.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        if not len(order):
+        table = block.toArrow()
+        if not table.num_rows:
             continue
-        cutouts = cut(passages(docs, known[order], table.column("size").to_numpy()[order].astype(np.int64), n, id_col, text_col))
-        hits = cutouts.select("key", "start", F.explode("hits").alias("hit")).select("key", "start", "hit.gram", F.col("hit.at").alias("place"))
-        df = hits.select("gram", "key").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        own = grams.join(df, "gram")
-        middle = own.groupBy("md").agg(F.percentile_approx("df", F.lit(0.5)).alias("middle"))
-        seeds = own.join(middle, "md").where((F.col("df") <= F.col("middle")) | (F.col("df") <= RARE)).select("gram", "md").distinct()
-        pairs = hits.join(seeds, "gram").select("key", "start", "md").distinct()
-        full = pairs.join(cutouts.select("key", "start", "words"), ["key", "start"]).join(block.select("md", F.col("words").alias("item_words")), "md")
-        part = cut(aligned(full, threshold))
+        part = cut(aligned(docs, Items(table, n), n, threshold, id_col, text_col))
         found = part if found is None else found.union(part)
     if found is None:
         kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_id)))

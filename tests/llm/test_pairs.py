@@ -197,6 +197,19 @@ def test_decontamination(spark):
     assert decontaminate.find(docs, table.limit(0)).collect() == [] and decontaminate.find(docs.limit(0), table).collect() == []
 
 
+def test_edited_copies_among_many_exact_ones(spark):
+    r = random.Random(12)
+    item, other = prose(40, r), prose(40, r)
+    fifth = " ".join("zzz" + str(k) if k % 5 == 4 else w for k, w in enumerate(item.split()))
+    half = " ".join(w if k < 24 else "zzz" + str(k) for k, w in enumerate(other.split()))
+    texts = [*[item] * 20, fifth, *[half] * 30, *[other] * 3, prose(100, r)]
+    docs = docs_of(spark, [prose(30, r) + " " + t + " " + prose(30, r) for t in texts])
+    table = spark.createDataFrame([(0, item), (1, other)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.score, x.start_word) for x in decontaminate.find(docs, table).collect()}
+    assert set(got) == {*((k, 0) for k in range(21)), *((k, 1) for k in range(21, 54))}
+    assert got[20, 0] == (0.7125, 30) and got[21, 1] == (0.6, 30)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     r = random.Random(8)
     items = [prose(30, r) for _ in range(12)]
