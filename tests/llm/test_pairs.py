@@ -150,6 +150,33 @@ def test_passages(spark):
     assert passages.find(docs_of(spark, [])).collect() == []
 
 
+def in_tasks(spark, *parts):
+    """Rows ``doc_id, text`` in one task a part, in the order given."""
+    rdd = spark.sparkContext.parallelize(list(parts), len(parts)).flatMap(lambda part: part)
+    return spark.createDataFrame(rdd, "doc_id long, text string")
+
+
+def test_passages_out_of_key_order(spark):
+    r = random.Random(21)
+    shared = prose(80, r)
+    rows = [(k, prose(60, r) + " " + shared + " " + prose(60, r)) for k in (1, 9, 5, 7)]
+    docs = in_tasks(spark, rows[:1], rows[1:])
+    got = {(x.doc_id, x.source_id) for x in passages.find(docs).collect()}
+    assert {(5, 1), (7, 1), (9, 1)} <= got
+    left = {x.doc_id: x.text for x in passages.cut_out(docs).collect()}
+    assert [k for k, t in left.items() if shared in t] == [1]
+
+
+def test_passage_twice_in_a_later_document(spark):
+    r = random.Random(22)
+    shared = prose(80, r)
+    texts = [prose(60, r) + " " + shared + " " + prose(60, r), prose(60, r) + " " + shared + " " + prose(2000, r) + " " + shared + " " + prose(60, r)]
+    docs = in_tasks(spark, *([row] for row in enumerate(texts)))
+    starts = {x.start_word for x in passages.find(docs).collect() if x.doc_id == 1}
+    assert starts == {60, 2140}
+    assert [shared in x.text for x in passages.cut_out(docs).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_cut_out(spark):
     texts = passage_corpus(random.Random(5))
     docs = docs_of(spark, texts)
