@@ -177,6 +177,19 @@ def test_passage_twice_in_a_later_document(spark):
     assert [shared in x.text for x in passages.cut_out(docs).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_passages_around_a_frequent_line(spark):
+    r = random.Random(23)
+    line = prose(30, r)
+    passages_of = [prose(15, r) + " " + line + " " + prose(15, r) for _ in range(12)]
+    texts = [prose(80, r) + " " + line + " " + prose(80, r) for _ in range(30)]
+    texts += [prose(80, r) + " " + passages_of[k % 12] + " " + prose(80, r) for k in range(36)]
+    got = defaultdict(set)
+    for x in passages.find(docs_of(spark, texts)).collect():
+        got[x.doc_id].update(range(x.start_word, x.end_word))
+    want = repeats(texts)
+    assert len(want) == 24 and all(words <= got[i] for i, words in want.items())
+
+
 def test_cut_out(spark):
     texts = passage_corpus(random.Random(5))
     docs = docs_of(spark, texts)
