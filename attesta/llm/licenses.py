@@ -1,6 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-Every text is read whole, as lines and their sentences, blank-line paragraphs, and the text itself. A unit's licence is
+Every text is read whole, as lines and their sentences, runs of consecutive ones of these (up to the longest template's
+number of terms between the first and the last), blank-line paragraphs, and the text itself. A unit's licence is
 the template of the highest cosine of at least ``threshold``; a text's is that of its best unit. Terms are runs of
 letters and digits, lower-cased, weighted ``(1 + log tf) * idf``; document frequencies of template terms are counted
 over all texts, and other terms weigh as the median template term. Only units with one of the heavy terms of a template
@@ -128,6 +129,7 @@ class Scanner:
                 heavy.add(t)
                 rest -= v[t] * v[t]
         self.heavy = frozenset(heavy)
+        self.longest = max(len(_TERM.findall(text)) for texts in templates.values() for text in texts)
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         for k, (_, v) in enumerate(self.templates):
             for t, w in v.items():
@@ -149,6 +151,40 @@ class Scanner:
         k = max(range(len(score)), key=lambda k: (score[k], -k))
         return (min(1.0, score[k]), self.templates[k][0]) if score[k] >= self.threshold else None
 
+    def best_run(self, pieces: list[list[str]]) -> tuple[float, int, int]:
+        """Cosine, first and last of those consecutive pieces (lists of terms), two at least, that come closest to a template."""
+        total = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).tolist()
+        cover, held = [0.0] * len(self.templates), {}  # of each template, what the terms in reach of a start are of its squared length
+        best, last = (0.0, 0, 0), -1
+        for i, own in enumerate(pieces):
+            while last + 1 < len(pieces) and (last <= i or total[last + 1] - total[i + 1] <= self.longest):
+                last += 1
+                for t in pieces[last]:
+                    if t in self.by_term:
+                        held[t] = held.get(t, 0) + 1
+                        if held[t] == 1:
+                            for k, w in self.by_term[t]:
+                                cover[k] += w * w
+            if own and max(cover) >= self.threshold * self.threshold - 1e-6:  # else no run from here can reach the threshold
+                count, score, norm = {}, [0.0] * len(self.templates), 0.0
+                for j in range(i, last + 1):
+                    for t in pieces[j]:
+                        c = count[t] = count.get(t, 0) + 1
+                        x = self.idf.get(t, self.other)
+                        old, new = x * (1 + math.log(c - 1)) if c > 1 else 0.0, x * (1 + math.log(c))
+                        norm += new * new - old * old
+                        for k, w in self.by_term.get(t, ()):
+                            score[k] += w * (new - old)
+                    if j > i and pieces[j] and (s := max(score) / math.sqrt(norm)) > best[0] + 1e-12:
+                        best = (s, i, j)
+            for t in own:
+                if t in self.by_term:
+                    held[t] -= 1
+                    if not held[t]:
+                        for k, w in self.by_term[t]:
+                            cover[k] -= w * w
+        return best
+
     def scan(self, text: str) -> tuple[float, str, int, bool] | None:
         """Score, licence, 1-based line of the best unit, and whether the whole text matches."""
         found: tuple[float, str, int] | None = None
@@ -161,7 +197,7 @@ class Scanner:
             if got and (found is None or got[0] > found[0] + 1e-12):
                 found = (*got, line)
 
-        line = 1
+        line, pieces = 1, []
         for paragraph in re.split(r"(\n[ \t\r]*\n)", text):
             if paragraph.strip():
                 lines = paragraph.split("\n")
@@ -170,10 +206,14 @@ class Scanner:
                 for k, one in enumerate(lines):
                     offer(one, line + k)
                     sentences = _SENTENCE.split(one)
+                    pieces += [(s, line + k) for s in sentences]
                     if len(sentences) > 1:
                         for s in sentences:
                             offer(s, line + k)
             line += paragraph.count("\n")
+        s, a, b = self.best_run([_TERM.findall(x.lower()) for x, _ in pieces])
+        if s >= self.threshold - 1e-9:
+            offer("\n".join(x for x, _ in pieces[a : b + 1]), pieces[a][1])
         if whole and (found is None or whole[0] >= found[0]):
             return (*whole, 1, is_file)
         return (*found, is_file) if found else None

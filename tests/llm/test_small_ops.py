@@ -185,6 +185,35 @@ def test_licences(spark):
     assert got[0].line == 2 and licenses.inherit(licenses.scan(docs.limit(0), F.col("path"))).collect() == []
 
 
+def wrapped(text, width, mark):
+    lines = [mark]
+    for w in text.split():
+        lines = [*lines, mark + " " + w] if len(lines[-1]) + len(w) > width else [*lines[:-1], lines[-1] + " " + w]
+    return "\n".join(lines)
+
+
+def test_licences_of_wrapped_notices(spark):
+    code = "\nimport os\n" + "\n".join(f"def f{k}(x): return os.path.join(x, str({k}))" for k in range(60))
+    notices = ["MIT", "AGPL-3.0", "ISC", "MPL-2.0", "GPL-2.0"]
+    rows = [(k, f"{k}/f.py", "#!/usr/bin/env python\n" + wrapped(licenses.TEMPLATES[n][0], 78, "#") + code) for k, n in enumerate(notices)]
+    rows += [(10 + k, f"{10 + k}/g.py", f"plain words number {k} of a text" + code) for k in range(40)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).withColumnRenamed("id", "doc_id"))
+    assert [got[k].own for k in range(len(notices))] == notices and all(got[k].line == 2 and got[k].own_score > 0.9 for k in range(len(notices)))
+    assert all(got[10 + k].own is None for k in range(40))
+
+
+def test_best_run_equals_all_runs():
+    r = random.Random(3)
+    words = sorted({t for texts in licenses.TEMPLATES.values() for x in texts for t in licenses.terms(x)})
+    scanner = licenses.Scanner({t: r.randrange(900) for t in words}, 1000, 0.6)
+    for name in ("MIT", "AGPL-3.0", "Apache-2.0"):
+        own = licenses.TEMPLATES[name][0].lower().replace(",", "").split()
+        text = [*(r.choice(["x", "y", "the", "of", "software"]) for _ in range(50)), *own, *(r.choice(["x", "z", "license"]) for _ in range(60))]
+        pieces = [[t for w in text[k : k + 7] for t in licenses.terms(w)] for k in range(0, len(text), 7)]
+        every = [scanner.best(" ".join(t for p in pieces[i : j + 1] for t in p)) for i in range(len(pieces)) for j in range(i + 1, len(pieces)) if sum(map(len, pieces[i + 1 : j])) <= scanner.longest]
+        assert scanner.best_run(pieces)[0] == pytest.approx(max(s for s, _ in filter(None, every)))
+
+
 @pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES])
 def test_heavy_terms_are_no_shortcut(name):
     vocabulary = {t for texts in licenses.TEMPLATES.values() for x in texts for t in licenses.terms(x)}
