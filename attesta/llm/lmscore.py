@@ -4,15 +4,14 @@ Words are runs of bytes other than ASCII white space, A-Z lower-cased; each text
 into subwords of a public vocabulary (longest match first, single bytes always match); an id also says whether it
 begins a word, so ids and words determine each other.
 
-The model of :mod:`attention` is trained on executors. One in ``share`` documents outside the held-out fold gives
-windows, to one of the rounds; each task takes a pass of Adam over its own from the round's start, and weighted sums of
-parameters, added up by Spark, make the next start. ``share`` is twice the square root of the number of blocks, so what
-is trained on grows with the corpus, if slower; the model's size does not grow.
+The model of :mod:`attention` is trained on executors. Every document outside the held-out fold gives its windows, to
+one of the rounds; each task takes a pass of Adam over its own from the round's start, and weighted sums of
+parameters, added up by Spark, make the next start. The model's size does not grow with the corpus.
 
 A word's probability is the mean, with weights ``blend`` and ``1 - blend``, of the model's (the product over its
 subwords in context) and of the smoothed unigram of the whole training fold, ``(c + 0.5) / (N + 0.5 (V + 1))``, which
-is also the base score. ``blend`` is the value of ``BLENDS`` under which every ``share``-th block of the training fold
-(one at least) is likeliest, each word's own occurrence left out of its count.
+is also the base score. ``blend`` is the value of ``BLENDS`` under which the training fold is likeliest, each word's own
+occurrence left out of its count.
 
 Counts of any vocabulary size reach the documents by way of blocks: documents are dealt to blocks of about ``BLOCK``
 bytes, each block asks once for each of its words, and counts come back to the block.
@@ -200,11 +199,10 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = int(max(1, -(-size // BLOCK)))
-    share = math.ceil(2 * math.sqrt(blocks))  # so what is trained on grows as the square root of the corpus
     own = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(blocks)).cast("int")
     dealt = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (bucket(id_col, folds) == held_out).alias("held"), own.alias("block"))
     dealt = cut(dealt.repartition("block").sortWithinPartitions("block"))
-    model = train(dealt.where(~F.col("held") & (F.pmod(F.xxhash64("key", F.lit("lm")), F.lit(share)) == 0)), path, id_col="key", text_col="text")
+    model = train(dealt.where(~F.col("held")), path, id_col="key", text_col="text")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -295,8 +293,7 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col:
         return pa.table({"k": pa.array(np.arange(len(BLENDS), dtype=np.int32)), "x": pa.array(sums)})
 
     left, right = dealt.select("key", "text", "held", "block"), answers.select("block", "h", "c")
-    few = F.col("block") < max(1, blocks // share)
-    tried = left.where(few & ~F.col("held")).groupBy("block").cogroup(right.where(few).groupBy("block")).applyInArrow(try_blends, "k int, x double")
+    tried = left.where(~F.col("held")).groupBy("block").cogroup(right.groupBy("block")).applyInArrow(try_blends, "k int, x double")
     by_blend = {r["k"]: r["x"] for r in tried.groupBy("k").agg(F.sum("x").alias("x")).collect()}
     blend = BLENDS[max(by_blend, key=by_blend.get)] if by_blend and total else BLENDS[0]
 

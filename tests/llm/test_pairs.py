@@ -330,6 +330,16 @@ def test_lm_base_scores(spark):
     assert lmscore.score(docs.limit(0), RANKS).collect() == []
 
 
+def test_lm_learns_from_every_training_row(spark, monkeypatch):
+    r = random.Random(5)
+    docs = docs_of(spark, [prose(20, r) for _ in range(60)])
+    seen, train = [], lmscore.train
+    monkeypatch.setattr(lmscore, "train", lambda rows, *a, **k: seen.extend(x.key for x in rows.select("key").collect()) or train(rows, *a, **k))
+    monkeypatch.setattr(lmscore, "BLOCK", 2000)
+    assert lmscore.score(docs, RANKS).count() == 60
+    assert sorted(seen) == [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = [x for x in lmscore.score(docs, RANKS).collect() if x.held_out]
