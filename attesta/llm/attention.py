@@ -1,220 +1,310 @@
-"""A small causal self-attention language model in numpy: one block, two-level softmax, manual gradients.
+"""A small causal self-attention language model over subword ids in numpy: one block, two-level softmax, manual gradients.
 
-Ids are dealt to ``K`` clusters of ``M`` in id order; the probability of an id is that of its cluster times that of the
-id within it. Sequences are cut into windows of ``W`` positions that overlap by ``W - S``: a window's first ``W - S``
-positions are context alone (before a sequence's start: the start id), so each token is scored once.
+An id belongs to a cluster; its probability is that of its cluster times that of the id within it. In either half of the
+vocabulary (ids that continue a word, ids that begin one or end the text) the ``HEAD`` most frequent ids share clusters
+of ``M`` with weights of their own; the rest are one more cluster within which ids have their smoothed relative frequency.
+Sequences are cut into windows of ``W`` positions that overlap by ``W - S``: a window's first ``W - S`` positions are
+context alone (before a sequence's start: the start id), so each id is scored once, in batches of masked attention.
+
+Parameters are one flat vector of fixed size, whatever the corpus, so tasks' results can be added and sent around.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
 import numpy as np
 
 W, S = 32, 24
+#: Width of states and of the hidden layer; ids of one cluster; frequent ids of either half; rows shared by the other ids.
+D, HIDDEN, M, HEAD, SHARED = 16, 16, 24, 384, 128
+#: Clusters of one half (the last holds its rare ids), and rows of a block of states that are compared with one cluster.
+HALF_CLUSTERS, R = HEAD // M + 1, 64
+CLUSTERS, ROWS = 2 * HALF_CLUSTERS, 2 * HEAD + SHARED
 #: Logits are held within this, so that exponentials need no row maximum, which numpy is slow to find in short rows.
 LIMIT = np.float32(60)
 _MASK = np.triu(np.full((W, W), -1e9, np.float32), 1)[W - S :]
+SHAPES = {
+    "E": (ROWS, D), "P": (W, D), "K": (D, D), "A": (D, D), "F": (D, HIDDEN), "f": (HIDDEN,), "G": (HIDDEN, D),
+    "C": (D, CLUSTERS), "c": (CLUSTERS,), "O": (2 * HEAD // M, M, D), "o": (2 * HEAD // M, M),
+}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def fresh(vocabulary: int, d: int = 16, hidden: int = 32, members: int = 64, seed: int = 11) -> dict[str, np.ndarray]:
-    """Initial parameters for a vocabulary that ``members`` divides."""
-    rng = np.random.default_rng(seed)
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters as named views into the flat vector."""
+    out, at = {}, 0
+    for name, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
+    return out
+
 
-    def normal(*shape, scale):
-        return (rng.standard_normal(shape) * scale).astype(np.float32)
+@dataclass
+class Net:
+    """Parameters, and what the ids' counts fix: rows, clusters and the log probabilities of rare ids within theirs."""
 
-    k = vocabulary // members
-    return {
-        "E": normal(vocabulary, d, scale=0.3), "P": normal(W, d, scale=0.1),
-        "Q": normal(d, d, scale=d**-0.5), "Kw": normal(d, d, scale=d**-0.5), "V": normal(d, d, scale=d**-0.5), "A": normal(d, d, scale=0.5 * d**-0.5),
-        "F": normal(d, hidden, scale=d**-0.5), "f": np.zeros(hidden, np.float32), "G": normal(hidden, d, scale=0.5 * hidden**-0.5),
-        "C": normal(d, k, scale=d**-0.5), "c": np.zeros(k, np.float32), "O": normal(vocabulary, d, scale=d**-0.5), "o": np.zeros(vocabulary, np.float32),
-    }
+    flat: np.ndarray
+    row: np.ndarray  # of the embedding, by id
+    cluster: np.ndarray  # by id
+    member: np.ndarray  # place within a cluster of frequent ids
+    block: np.ndarray  # which of the weighted clusters; -1: a rare id
+    rare: np.ndarray  # log probability within the cluster of rare ids, else 0
+    start: int  # the id before a sequence
+    p: dict[str, np.ndarray] = field(init=False)
 
+    def __post_init__(self):
+        self.p = views(self.flat)
 
-def with_counts(p: dict[str, np.ndarray], counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Biases set to the log frequencies of ids."""
-    n = counts + 0.5
-    k = len(p["c"])
-    by = n.reshape(k, -1)
-    return p | {"c": np.log(by.sum(1) / n.sum()).astype(np.float32), "o": np.log(by / by.sum(1, keepdims=True)).ravel().astype(np.float32)}
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "p"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.p = views(self.flat)
+
+    def having(self, flat: np.ndarray) -> Net:
+        return Net(flat, self.row, self.cluster, self.member, self.block, self.rare, self.start)
+
+
+def fresh(counts: np.ndarray, start: int, seed: int = 11) -> Net:
+    """An untrained model whose biases are the log frequencies of ids; the second half of ids are those that begin a word."""
+    v = len(counts)
+    half, n = v // 2, counts + 0.5
+    row, cluster, member, block = (np.zeros(v, np.int64) for _ in range(4))
+    rare, block[:] = np.zeros(v, np.float32), -1
+    rng = np.random.default_rng(seed)
+    flat = np.zeros(SIZE, np.float32)
+    p = views(flat)
+    for name, scale in (("E", 0.3), ("P", 0.1), ("K", D**-0.5), ("A", 0.5 * D**-0.5), ("F", D**-0.5), ("G", 0.5 * HIDDEN**-0.5), ("C", 0.5 * D**-0.5), ("O", 0.5 * D**-0.5)):
+        p[name][:] = rng.standard_normal(p[name].shape) * scale
+    p["o"][:] = -20.0  # places of clusters that no id takes
+    for side, low in ((0, half), (1, 0)):  # ids that begin a word come first in the clusters
+        order = low + np.argsort(-counts[low : low + half], kind="stable")
+        head, rest = order[:HEAD], order[HEAD:]
+        rank = np.arange(len(head))
+        row[head], block[head], member[head] = side * HEAD + rank, side * (HEAD // M) + rank // M, rank % M
+        cluster[head] = side * HALF_CLUSTERS + rank // M
+        row[rest], cluster[rest] = 2 * HEAD + rest % SHARED, side * HALF_CLUSTERS + HALF_CLUSTERS - 1
+        if len(rest):
+            rare[rest] = np.log(n[rest] / n[rest].sum())
+    by = np.bincount(cluster, n, CLUSTERS)
+    p["c"][:] = np.where(by > 0, np.log(np.maximum(by, 0.5) / by.sum()), -40.0)  # the last: clusters without ids
+    head = np.flatnonzero(block >= 0)
+    p["o"][block[head], member[head]] = np.log(n[head] / by[cluster[head]])
+    return Net(flat, row, cluster, member, block, rare, start)
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows over sequences ``first[d]:first[d+1]``: places of their inputs' successors (before the sequence: -1), and which of the last ``S`` are scored."""
-    n = np.diff(first)
-    many = -(-n // S)
-    doc = np.repeat(np.arange(len(n)), many)
-    number = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(many)])[:-1], many)
-    at = (number * S - (W - S))[:, None] + np.arange(W)
-    inside = at < n[doc][:, None]
-    return np.where(inside & (at >= 0), at + first[doc][:, None], -1), inside[:, W - S :]
+class Windows:
+    """The windows over sequences ``ids[first[d]:first[d+1]]``, cut out a batch at a time."""
 
+    def __init__(self, ids: np.ndarray, first: np.ndarray, start: int):
+        size = np.diff(first)
+        many = -(-size // S)
+        doc = np.repeat(np.arange(len(size)), many)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        self.low, self.high = first[doc], first[doc + 1]
+        self.at = self.low + number * S - (W - S)
+        self.ids = ids
+        self.before = np.concatenate([[start], ids]).astype(np.int64)  # the id before each place; at the end one for places outside
+        self.before[first[:-1]] = start
+        self.before[-1] = start
 
-def shifted(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
-    """The id before each place, the start id before a sequence; one more start id at the end, for place -1."""
-    before = np.concatenate([[start], ids]).astype(ids.dtype)
-    before[first[:-1]] = start
-    before[-1] = start
-    return before
+    def __len__(self) -> int:
+        return len(self.at)
 
+    def batch(self, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input ids, the places of the last ``S`` positions, and which of these are scored."""
+        places = self.at[which][:, None] + np.arange(W)
+        inside = places < self.high[which][:, None]
+        inputs = self.before.take(np.where(inside & (places >= self.low[which][:, None]), places, -1))
+        return inputs, places[:, W - S :], inside[:, W - S :]
 
-def hidden(p: dict[str, np.ndarray], inputs: np.ndarray, keep: bool = False):
+
+def bounded(logits: np.ndarray) -> np.ndarray:
+    """Logits within the limits, in place."""
+    if not logits.size or (logits.max() < LIMIT and logits.min() > -LIMIT):
+        return logits
+    return np.clip(logits, -LIMIT, LIMIT, out=logits)
+
+
+def hidden(net: Net, inputs: np.ndarray, keep: bool = False):
     """States before the softmax of the last ``S`` positions of windows of input ids, a row each."""
-    d = p["E"].shape[1]
-    x = p["E"][inputs] + p["P"]
-    flat, own = x.reshape(-1, d), np.ascontiguousarray(x[:, W - S :])
-    last = own.reshape(-1, d)
-    k, v = ((flat @ p[w]).reshape(x.shape) for w in ("Kw", "V"))
-    q = last @ p["Q"]
-    held = longest(q) * longest(k.reshape(-1, d)) * d**-0.5 < LIMIT
-    q = q.reshape(own.shape)
+    p = net.p
+    x = p["E"].take(net.row.take(inputs), axis=0)
+    x += p["P"]
+    q = np.ascontiguousarray(x[:, W - S :])
+    last = q.reshape(-1, D)
+    k = (x.reshape(-1, D) @ p["K"]).reshape(x.shape)
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(d**-0.5)
-    if not held:
-        np.minimum(s, LIMIT, out=s)
+    s *= np.asarray(D**-0.5, s.dtype)
+    s = bounded(s)
     s += _MASK
     np.exp(s, out=s)
-    s /= (s.reshape(-1, W) @ np.ones(W, s.dtype)).reshape(*s.shape[:2], 1)
-    u = s @ v
-    y = last + u.reshape(-1, d) @ p["A"]
+    total = s.reshape(-1, W) @ np.ones(W, s.dtype)
+    u = (s @ x).reshape(-1, D)
+    u /= total[:, None]
+    y = last + u @ p["A"]
     r = y @ p["F"]
     r += p["f"]
     np.maximum(r, 0, out=r)
     z = y + r @ p["G"]
-    return (z, (x, last, q, k, v, s, u, y, r)) if keep else z
+    return (z, (x, last, q, k, s, total, u, y, r)) if keep else z
 
 
-def bounded(logits: np.ndarray, safe: bool = False) -> np.ndarray:
-    return logits if safe else np.clip(logits, -LIMIT, LIMIT, out=logits)
+class Dealt:
+    """Rows of states dealt to blocks of ``R`` rows of one weighted cluster each."""
 
+    def __init__(self, clusters: np.ndarray):
+        kinds = 2 * HEAD // M
+        self.order = np.argsort(clusters.astype(np.int16), kind="stable")
+        count = np.bincount(clusters, minlength=kinds)
+        many = -(-count // R)
+        begin = np.cumsum(many) - many
+        rank = np.arange(len(clusters)) - np.repeat(np.cumsum(count) - count, count)
+        self.slot = np.repeat(begin * R, count) + rank
+        self.which = np.repeat(np.arange(kinds), many)
+        self.used, self.heads = np.flatnonzero(many), begin[many > 0]
 
-def longest(rows: np.ndarray) -> float:
-    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
+    def spread(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.which) * R, rows.shape[1]), rows.dtype)
+        out[self.slot] = rows.take(self.order, axis=0)
+        return out.reshape(-1, R, rows.shape[1])
 
 
-def is_safe(x: float, weights: np.ndarray, bias: np.ndarray) -> bool:
-    """Whether no logit of a state no longer than ``x`` can reach the limit."""
-    return x * longest(weights) + float(np.abs(bias).max()) < LIMIT
+def member_logits(p: dict[str, np.ndarray], dealt: Dealt, z: np.ndarray):
+    """Exponentials of the logits within clusters of dealt states, and the states and weights of the blocks."""
+    states, weights = dealt.spread(z), p["O"].take(dealt.which, axis=0)
+    g = states @ weights.transpose(0, 2, 1)
+    g += p["o"].take(dealt.which, axis=0)[:, None]
+    return np.exp(bounded(g), out=g).reshape(-1, M), states, weights
 
 
-def log_probabilities(p: dict[str, np.ndarray], z: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of target ids given states, a row each."""
-    k = len(p["c"])
-    members = len(p["o"]) // k
-    cluster = targets // members
-    far = longest(z)
+def log_probabilities(net: Net, z: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probabilities of target ids given states, a row each, and of any id that begins a word."""
+    p = net.p
     logits = z @ p["C"]
     logits += p["c"]
-    logits = bounded(logits, is_safe(far, p["C"].T, p["c"]))
-    safe = is_safe(far, p["O"], p["o"])
-    out = logits[np.arange(len(z)), cluster]
-    out -= np.log(np.exp(logits, out=logits) @ np.ones(k, logits.dtype))
-    order = np.argsort(cluster.astype(np.int16), kind="stable")
-    edges = np.searchsorted(cluster[order], np.arange(k + 1))
-    zs, ts = z[order], (targets - cluster * members)[order]
-    inner, one = np.empty(len(z), np.float32), np.ones(members, np.float32)
-    for c in range(k):
-        a, b = edges[c], edges[c + 1]
-        if a < b:
-            own = slice(c * members, (c + 1) * members)
-            g = zs[a:b] @ p["O"][own].T
-            g += p["o"][own]
-            g = bounded(g, safe)
-            inner[a:b] = g[np.arange(b - a), ts[a:b]]
-            inner[a:b] -= np.log(np.exp(g, out=g) @ one)
-    out[order] += inner
-    return out
+    e = np.exp(bounded(logits), out=logits)
+    total = np.log(e @ np.ones(CLUSTERS, e.dtype))
+    begins = np.log(e[:, :HALF_CLUSTERS] @ np.ones(HALF_CLUSTERS, e.dtype)) - total
+    out = np.log(e.ravel().take(np.arange(len(z)) * CLUSTERS + net.cluster.take(targets))) - total
+    out += net.rare.take(targets)
+    block = net.block.take(targets)
+    some = np.flatnonzero(block >= 0)
+    if len(some):
+        dealt = Dealt(block[some])
+        g, _, _ = member_logits(p, dealt, z.take(some, axis=0))
+        own = np.log(g.ravel().take(dealt.slot * M + net.member.take(targets[some[dealt.order]])))
+        own -= np.log((g @ np.ones(M, g.dtype)).take(dealt.slot))
+        out[some[dealt.order]] += own
+    return out, begins
 
 
-def score(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, start: int, at_once: int = 1024, within: int = 256) -> np.ndarray:
-    """Natural log probability of every id given those before it in its sequence; ``start`` stands before each sequence."""
-    out = np.zeros(len(ids), np.float32)
-    places, scored = windows(first)
-    before = shifted(ids, first, start)
-    for k in range(0, len(places), at_once):
-        at, use = places[k : k + at_once], scored[k : k + at_once]
-        z = np.concatenate([hidden(p, before[at[j : j + within]]) for j in range(0, len(at), within)])  # the arrays of attention stay in the cache
+def score(net: Net, ids: np.ndarray, first: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of every id given those before it in its sequence, and of any word's beginning at its place."""
+    out, begins = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
+    all_of = Windows(ids, first, net.start)
+    for k in range(0, len(all_of), at_once):
+        inputs, places, use = all_of.batch(slice(k, k + at_once))
+        z = np.concatenate([hidden(net, inputs[j : j + 128]) for j in range(0, len(inputs), 128)])  # the arrays of attention stay in the cache
         spots = np.flatnonzero(use.ravel())
-        to = at[:, W - S :].ravel()[spots]
-        out[to] = log_probabilities(p, z[spots], ids[to])
-    return out
+        to = places.ravel()[spots]
+        out[to], begins[to] = log_probabilities(net, z.take(spots, axis=0), ids.take(to))
+    return out, begins
 
 
-def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the used positions of some windows, and its gradients."""
-    d, k = p["E"].shape[1], len(p["c"])
-    members = len(p["o"]) // k
-    z, (x, last, q, kk, v, s, u, y, r) = hidden(p, inputs, keep=True)
+def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss over the used positions of some windows, and its gradient as a flat vector."""
+    p = net.p
+    z, (x, last, q, k, s, total, u, y, r) = hidden(net, inputs, keep=True)
+    flat = np.zeros_like(net.flat)
+    g = views(flat)
     spots = np.flatnonzero(use.ravel())
     n = len(spots)
-    zs, ts = z[spots], targets.ravel()[spots]
-    cluster = ts // members
-    g = {}
-    e = np.exp(bounded(zs @ p["C"] + p["c"]))
-    e /= (e @ np.ones(k, e.dtype))[:, None]
-    loss = -np.log(e[np.arange(n), cluster] + 1e-30).sum()
-    e[np.arange(n), cluster] -= 1
-    e /= n
-    g["C"], g["c"] = zs.T @ e, e.sum(axis=0)
+    zs, ts = z.take(spots, axis=0), targets.ravel()[spots]
+    e = zs @ p["C"]
+    e += p["c"]
+    np.exp(bounded(e), out=e)
+    e /= (e @ np.ones(CLUSTERS, e.dtype))[:, None]
+    pick = np.arange(n) * CLUSTERS + net.cluster.take(ts)
+    loss = -np.log(e.ravel().take(pick) + 1e-30).sum(dtype=np.float64) - net.rare.take(ts).sum(dtype=np.float64)
+    e.reshape(-1)[pick] -= 1
+    e *= np.asarray(1 / n, e.dtype)
+    g["C"][:], g["c"][:] = zs.T @ e, e.sum(axis=0)
     dz = e @ p["C"].T
-    g["O"], g["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
-    order = np.argsort(cluster, kind="stable")
-    edges = np.searchsorted(cluster[order], np.arange(k + 1))
-    for c in range(k):
-        rows = order[edges[c] : edges[c + 1]]
-        if len(rows):
-            own = slice(c * members, (c + 1) * members)
-            m = np.exp(bounded(zs[rows] @ p["O"][own].T + p["o"][own]))
-            m /= (m @ np.ones(members, m.dtype))[:, None]
-            pick = (np.arange(len(rows)), ts[rows] - c * members)
-            loss -= np.log(m[pick] + 1e-30).sum()
-            m[pick] -= 1
-            m /= n
-            g["O"][own], g["o"][own] = m.T @ zs[rows], m.sum(axis=0)
-            dz[rows] += m @ p["O"][own]
+    block = net.block.take(ts)
+    some = np.flatnonzero(block >= 0)
+    if len(some):
+        dealt = Dealt(block[some])
+        m, states, weights = member_logits(p, dealt, zs.take(some, axis=0))
+        m /= (m @ np.ones(M, m.dtype))[:, None]
+        pick = dealt.slot * M + net.member.take(ts[some[dealt.order]])
+        loss -= np.log(m.ravel().take(pick) + 1e-30).sum(dtype=np.float64)
+        m.reshape(-1)[pick] -= 1
+        empty = np.ones(len(m), bool)
+        empty[dealt.slot] = False
+        m[empty] = 0
+        m *= np.asarray(1 / n, m.dtype)
+        m = m.reshape(-1, R, M)
+        g["O"][dealt.used] = np.add.reduceat(m.transpose(0, 2, 1) @ states, dealt.heads, axis=0)
+        g["o"][dealt.used] = np.add.reduceat(m.sum(axis=1), dealt.heads, axis=0)
+        to = some[dealt.order]
+        dz[to] += (m @ weights).reshape(-1, D).take(dealt.slot, axis=0)
     full = np.zeros_like(z)
     full[spots] = dz
-    g["G"] = r.T @ full
-    dr = full @ p["G"].T * (r > 0)
-    g["F"], g["f"] = y.T @ dr, dr.sum(axis=0)
+    g["G"][:] = r.T @ full
+    dr = full @ p["G"].T
+    dr *= r > 0
+    g["F"][:], g["f"][:] = y.T @ dr, dr.sum(axis=0)
     dy = full + dr @ p["F"].T
-    g["A"] = u.reshape(-1, d).T @ dy
-    du = (dy @ p["A"].T).reshape(u.shape)
-    ds = du @ v.transpose(0, 2, 1)
-    dv = s.transpose(0, 2, 1) @ du
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = ds @ kk, ds.transpose(0, 2, 1) @ q
-    flat = x.reshape(-1, d)
-    dx = np.zeros_like(flat)
-    for name, dw in (("Kw", dk), ("V", dv)):
-        g[name] = flat.T @ dw.reshape(-1, d)
-        dx += dw.reshape(-1, d) @ p[name].T
-    g["Q"] = last.T @ dq.reshape(-1, d)
-    dx.reshape(x.shape)[:, W - S :] += dy.reshape(q.shape) + (dq.reshape(-1, d) @ p["Q"].T).reshape(q.shape)
-    g["P"] = dx.reshape(x.shape).sum(axis=0)
-    ids = inputs.ravel()
-    order = np.argsort(ids, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-    g["E"] = np.zeros_like(p["E"])
-    g["E"][ids[order][heads]] = np.add.reduceat(dx[order], heads, axis=0)
-    return float(loss) / n, g
-
-
-def fit(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, start: int, batch: int = 64, rate: float = 0.01, seed: int = 5) -> tuple[dict[str, np.ndarray], int]:
-    """One pass of Adam over all windows in a random order; the new parameters and the number of windows."""
-    places, scored = windows(first)
-    before = shifted(ids, first, start)
-    p = {k: v.copy() for k, v in p.items()}
-    m, v2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(places))
-    for t, k in enumerate(range(0, len(order), batch), 1):
-        at, use = places[order[k : k + batch]], scored[order[k : k + batch]]
-        touched = np.unique(before[at])
-        _, g = gradients(p, before[at], ids[np.maximum(at[:, W - S :], 0)], use)
-        for name, x in g.items():
-            rows = touched if name == "E" else slice(None)  # of the embeddings, those in the batch alone
-            x = x[rows]
-            m[name][rows] += 0.1 * (x - m[name][rows])
-            v2[name][rows] += 0.01 * (x * x - v2[name][rows])
-            p[name][rows] -= (rate / (1 - 0.9**t)) * m[name][rows] / (np.sqrt(v2[name][rows] / (1 - 0.99**t)) + 1e-6)
-    return p, len(places)
+    g["A"][:] = u.T @ dy
+    du = dy @ p["A"].T
+    du /= total[:, None]
+    # with weights w = s / total: ds = w (dw - sum(w dw)), and the sum is that of u du over the columns
+    inner = np.einsum("ij,ij->i", u, du)
+    du = du.reshape(q.shape)
+    ds = du @ x.transpose(0, 2, 1)
+    ds -= inner.reshape(*ds.shape[:2], 1)
+    ds *= s
+    dx = s.transpose(0, 2, 1) @ du
+    ds *= np.asarray(D**-0.5, ds.dtype)
+    dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, D)
+    g["K"][:] = x.reshape(-1, D).T @ dk
+    dx += (dk @ p["K"].T).reshape(x.shape)
+    own = dx[:, W - S :]
+    own += ds @ k
+    own += dy.reshape(q.shape)
+    g["P"][:] = dx.sum(axis=0)
+    dx = dx.reshape(-1, D)
+    at = net.row.take(inputs.ravel())
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[order]
+    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    g["E"][at[heads]] = np.add.reduceat(dx.take(order, axis=0), heads, axis=0)
+    return float(loss) / n, flat
+
+
+def fit(net: Net, parts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = 256, steps: int = 100, rate: float = 0.01, seed: int = 5) -> tuple[Net, int]:
+    """One pass of Adam over the windows of all ``(ids, first)`` parts, each part's in a random order; the new model and the number of windows.
+
+    Batches have ``most`` windows, or fewer where a part would else give less than about ``steps`` of them.
+    """
+    new = net.having(net.flat.copy())
+    m, v, t, seen = np.zeros_like(new.flat), np.zeros_like(new.flat), 0, 0
+    rng = np.random.default_rng(seed)
+    for ids, first in parts:
+        own = Windows(ids, first, net.start)
+        order = rng.permutation(len(own))
+        size = int(min(most, max(16, len(order) // steps)))
+        seen += len(order)
+        for k in range(0, len(order), size):
+            t += 1
+            inputs, places, use = own.batch(order[k : k + size])
+            _, g = gradients(new, inputs, ids.take(np.where(use, places, 0)), use)
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            new.flat -= (rate / (1 - 0.9**t)) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    return new, seen

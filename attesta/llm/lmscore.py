@@ -4,20 +4,26 @@ Words are runs of bytes other than ASCII white space, A-Z lower-cased; each text
 into subwords of a public vocabulary (longest match first, single bytes always match); an id also says whether it
 begins a word, so ids and words determine each other.
 
-The model of :mod:`attention` is trained on executors. Every document outside the held-out fold gives its windows, to
-one of the rounds; each task takes a pass of Adam over its own from the round's start, and weighted sums of
-parameters, added up by Spark, make the next start. The model's size does not grow with the corpus.
-
-A word's probability is the mean, with weights ``blend`` and ``1 - blend``, of the model's (the product over its
-subwords in context) and of the smoothed unigram of the whole training fold, ``(c + 0.5) / (N + 0.5 (V + 1))``, which
-is also the base score. ``blend`` is the value of ``BLENDS`` under which the training fold is likeliest, each word's own
-occurrence left out of its count.
-
-Counts of any vocabulary size reach the documents by way of blocks: documents are dealt to blocks of about ``BLOCK``
-bytes, each block asks once for each of its words, and counts come back to the block.
-
-Null and empty texts are one end token. Repeated rows get equal scores. Unknown words have count 0. With an empty
-training fold all tokens score alike. An empty table gives an empty result. Other columns are not read.
+The network of :mod:`attention` is trained on executors. Every document outside the held-out fold gives all its windows,
+to one of the rounds; each task takes a pass of Adam over its own from the round's start, and weighted sums of
+parameters, added up by Spark, make the next start. Small corpora are gone through several times, until about
+``PASS_IDS`` ids were seen. The network's size does not grow with the corpus.
+
+The model's probability of the next word in its context is a mixture of two distributions over all words and the end:
+the network's (the product over the word's subwords and the beginning of another word after it, given that one
+begins here) and the relative frequency of the word in the whole training fold. So a text's probability is a product of
+conditional probabilities that sum to at most one. The weight of the counts is the one of ``WEIGHTS`` under which all of
+the training fold is likeliest, each word's own occurrence left out of its count. ``score`` is the model's log10
+probability, ``network_score`` the network's alone, ``base_score`` that of the smoothed unigram
+``(c + 0.5) / (N + 0.5 (V + 1))``.
+
+Texts become ids once, in one pass that also counts words by block (``BLOCK`` bytes of consecutive texts of a task); no
+table of all words is ever sent anywhere: each block asks once for each of its words, counts are added up by word, and
+come back to the block.
+
+Null and empty texts are one end token. Very long texts and words are handled in pieces of bounded size. Repeated rows get
+equal scores, up to rounding. Unknown words have count 0. With an empty training fold the untrained network alone scores, the base score
+is 0. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,26 +33,35 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta.session import cut
 
 from . import attention
 from .bpe import read_ranks
 from .frames import bucket, mapped
-from .text import BY_SPACE, BYTE_VALUES, FOLDED_VALUES, raw, slices, token_hashes, tokens
-
-#: Bytes of text in a block.
-BLOCK = 16 << 20
-PIECES, LONGEST, MEMBERS = 2047, 8, 64
-VOCABULARY = 2 * (PIECES + 1)
+from .lookup import Lookup
+from .text import BY_SPACE, _power, mix, raw, slices, tokens
+
+#: Bytes of text in a block; distinct words in a row of a block's counts; ids that training and scoring handle at once.
+BLOCK, LISTED, AT_ONCE = 16 << 20, 1 << 16, 1 << 20
+#: Pieces of the vocabulary, the bytes of the longest, and of words that are split by another way than side by side.
+PIECES, LONGEST, LONG_WORD = 2047, 8, 64
+HALF = PIECES + 1
+VOCABULARY = 2 * HALF
 END = VOCABULARY - 1
-BLENDS = (0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+#: Ids that training sees at least, in several passes if need be, and the most passes.
+PASS_IDS, PASSES = 12 << 20, 6
+#: Weights that the counts may get.
+WEIGHTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+_VALUES = np.random.default_rng(0x1D5).integers(0, 1 << 63, VOCABULARY, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 class Subwords:
-    """Longest-match subwords from the lowest ranks of a public vocabulary, looked up by hash for many words at once."""
+    """Longest-match subwords from the lowest ranks of a public vocabulary, by walking a trie of bytes for many words at once."""
 
     def __init__(self, path: str):
         ranks = read_ranks(path)
@@ -56,48 +71,72 @@ class Subwords:
             if len(found) < PIECES and 1 < len(t) <= LONGEST and not any(65 <= b <= 90 or b in (9, 10, 11, 12, 13, 32) for b in t):
                 found.setdefault(t)
         self.pieces = sorted(found)
-        #: Sorted hashes of the pieces of each length, and their ids.
-        self.tables = {}
+        nodes: dict[bytes, int] = {b"": 1}  # 0: no piece begins so
+        for t in self.pieces:
+            for n in range(1, len(t) + 1):
+                nodes.setdefault(t[:n], len(nodes) + 1)
+        after, self.accepts = np.zeros((len(nodes) + 1, 256), np.int32), np.full(len(nodes) + 1, -1, np.int32)
+        for t, k in nodes.items():
+            if t:
+                after[nodes[t[:-1]], t[-1]] = k
+        for i, t in enumerate(self.pieces):
+            self.accepts[nodes[t]] = i
+        after[:, 65:91] = after[:, 97:123]  # A-Z are read as a-z
+        self.after = after.ravel()
+
+    def longest(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest piece at each place that ends by its end, and its size."""
+        piece, size = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        walk, node, pos = np.arange(len(at)), np.ones(len(at), np.int64), at
         for n in range(1, LONGEST + 1):
-            own = [i for i, t in enumerate(self.pieces) if len(t) == n]
-            if own:
-                h = np.array([self.hash(self.pieces[i]) for i in own], np.uint64)
-                order = np.argsort(h)
-                self.tables[n] = h[order], np.array(own)[order]
-
-    @staticmethod
-    def hash(t: bytes) -> int:
-        h = 0
-        for b in t:
-            h = (h * 0x9E3779B97F4A7C15 + int(BYTE_VALUES[b])) % (1 << 64)
-        return h
+            node = self.after.take(node * 256 + data.take(pos))
+            go = np.flatnonzero(node)
+            if len(go) < len(node):
+                walk, node, pos = walk.take(go), node.take(go), pos.take(go)
+            got = self.accepts.take(node)
+            has = np.flatnonzero(got >= 0)
+            piece[walk.take(has)], size[walk.take(has)] = got.take(has), n
+            pos = pos + 1
+            go = np.flatnonzero(pos < ends.take(walk))
+            if not len(go):
+                break
+            walk, node, pos = walk.take(go), node.take(go).astype(np.int64), pos.take(go)
+        return piece, size
 
     def split(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words ``data[starts[i]:ends[i]]`` in order, and the number of each word's ids."""
-        padded = np.concatenate([FOLDED_VALUES[data], np.zeros(LONGEST, np.uint64)])
-        at, live = starts.copy(), np.arange(len(starts))
-        word, ids = [], []
-        begins = True
+        count = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(ends - starts <= LONG_WORD)
+        live, at, stop, rounds = short, starts[short], ends[short], []
         while len(live):
-            here, room = at[live], ends[live] - at[live]
-            h = np.zeros(len(live), np.uint64)
-            size, piece = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
-            for n in range(1, LONGEST + 1):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + padded[here + n - 1]
-                if n in self.tables:
-                    keys, own = self.tables[n]
-                    k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    ok = (keys[k] == h) & (n <= room)
-                    size[ok], piece[ok] = n, own[k[ok]]
-            word.append(live)
-            ids.append(piece + (PIECES + 1) * begins)
-            at[live] += size
-            live = live[at[live] < ends[live]]
-            begins = False
-        if not word:
-            return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-        word, ids = np.concatenate(word), np.concatenate(ids)
-        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(starts))
+            piece, size = self.longest(data, at, stop)
+            rounds.append((live, piece))
+            at = at + size
+            go = np.flatnonzero(at < stop)
+            live, at, stop = live.take(go), at.take(go), stop.take(go)
+        for live, _ in rounds:
+            count[live] += 1
+        long = []
+        for w in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            found, a, b = [], int(starts[w]), int(ends[w])
+            for low in range(a, b, AT_ONCE):  # pieces at every place, then those that follow one another
+                high = min(b, low + AT_ONCE)
+                place = np.arange(low, high)
+                piece, size = self.longest(data, place, np.full(len(place), b))
+                piece, size = piece.tolist(), size.tolist()
+                while a < high:
+                    found.append(piece[a - low])
+                    a += size[a - low]
+            count[w] = len(found)
+            long.append((w, found))
+        first = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int32)
+        for k, (live, piece) in enumerate(rounds):
+            out[first.take(live) + k] = piece + (HALF if k == 0 else 0)
+        for w, found in long:
+            out[first[w] : first[w] + len(found)] = found
+            out[first[w]] += HALF
+        return out, count
 
 
 _subwords: dict[str, Subwords] = {}
@@ -109,205 +148,214 @@ def subwords(path: str) -> Subwords:
     return _subwords[path]
 
 
-def word_hashes(texts: pa.Array):
-    """Bytes, starts and ends of all words, each document's first word, and the words' hashes."""
+def id_stream(sub: Subwords, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, an end after each, and each text's first id."""
     data, off = raw(texts)
     starts, ends, first = tokens(data, off, BY_SPACE)
-    return data, starts, ends, first, token_hashes(data, starts, ends, fold=True)
-
+    ids, count = sub.split(data, starts, ends)
+    bounds = np.concatenate([[0], np.cumsum(count)])[first] + np.arange(len(first))  # with the ends of the texts before
+    out = np.full(int(bounds[-1]), END, np.int32)
+    is_end = np.zeros(len(out), bool)
+    is_end[bounds[1:] - 1] = True
+    out[~is_end] = ids
+    return out, bounds
+
+
+def word_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token (a word or an end) of a stream begins, and its hash."""
+    begin = np.flatnonzero(ids >= HALF)
+    to = np.append(begin[1:], len(ids))
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(_VALUES.take(ids) * _power("p", len(ids)), out=total[1:])
+    h = (total.take(to) - total.take(begin)) * _power("i", len(ids)).take(begin)
+    return begin, mix(h + (to - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def streams(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Consecutive rows of about ``AT_ONCE`` ids with their ids (from a binary column of 16 bits each) and each row's first."""
+    for batch in rows.to_batches() if isinstance(rows, pa.Table) else [rows]:
+        column = batch.column("ids").cast(pa.large_binary())
+        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(off, off[at] + 2 * AT_ONCE, "right")) - 1)
+            data = np.frombuffer(column.buffers()[2], np.uint8)[off[at] : off[to]].tobytes()
+            yield batch.slice(at, to - at), np.frombuffer(data, np.int16).astype(np.int32), (off[at : to + 1] - off[at]) // 2
+            at = to
+
+
+def encoded(docs: DataFrame, path: str, held: str, id_col: str, text_col: str) -> DataFrame:
+    """``block, no, key, held, ids, h, n``: a row for each document with its ids, then for each block the hashes of its
+    words and how often each is in its training rows; in block -1 a task's counts of ids in training rows."""
+    names = ["block", "no", "key", "held", "ids", "h", "n"]
+    kind = docs.schema[id_col].dataType
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, task = subwords(path), TaskContext.get().partitionId()
+        types = [pa.int64(), pa.int64(), to_arrow_type(kind), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        total = np.zeros(VOCABULARY, np.int64)
+        block, no, size, words = task << 24, 0, 0, []
+
+        def lists(block: int, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(h), LISTED):
+                row = [[block], [None], [None], [None], [None], [h[k : k + LISTED].view(np.int64)], [n[k : k + LISTED]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names)
+
+        def added(parts) -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            order = np.argsort(h)
+            h = h[order]
+            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            return h[heads], np.add.reduceat(n[order], heads)
 
-def id_stream(sub: Subwords, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of whole texts with their ends, and each text's first id."""
-    data, starts, ends, first, h = word_hashes(texts)
-    _, one, back = np.unique(h, return_index=True, return_inverse=True)
-    ids, n = sub.split(data, starts[one], ends[one])
-    return spread(ids, np.concatenate([[0], np.cumsum(n)]), back, first)[:2]
-
-
-def spread(pool: np.ndarray, place: np.ndarray, which: np.ndarray, first: np.ndarray):
-    """Ids of the words ``which`` (slices ``place[w]:place[w+1]`` of the pool) with an end after each document.
-
-    Returns the ids, each document's first id, and each token's (word's or end's) first id.
-    """
-    docs = len(first) - 1
-    n = place[which + 1] - place[which]
-    tokens_of = first + np.arange(docs + 1)  # with ends
-    sizes = np.ones(len(which) + docs, np.int64)
-    word_at = np.arange(len(which)) + np.repeat(np.arange(docs), np.diff(first))
-    sizes[word_at] = n
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    ids = np.full(begin[-1], END, np.int32)
-    total = np.cumsum(n)
-    if len(which):
-        inner = np.arange(total[-1]) - np.repeat(total - n, n)
-        ids[np.repeat(begin[word_at], n) + inner] = pool[np.repeat(place[which], n) + inner]
-    return ids, begin[tokens_of], begin
-
-
-def train(docs: DataFrame, path: str, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """A model trained by rounds of local passes and averaged parameters, each over its own part of the rows of ``docs``."""
-    spark = docs.sparkSession
-    of = F.pmod(F.xxhash64(id_col, F.lit("round")), F.lit(rounds))
-
-    def summed(fn, rows: DataFrame) -> np.ndarray | None:
-        """The sum over tasks of the vector that ``fn`` makes of a task's ids: added by place, never all in one task."""
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sub, ids, firsts, base = subwords(path), [], [np.zeros(1, np.int64)], 0
-            for batch in batches:
-                for _, texts in slices(batch, text_col):
-                    got, first = id_stream(sub, texts)
-                    ids.append(got.astype(np.int16))
-                    firsts.append(first[1:] + base)
-                    base += len(got)
-            if base:
-                x = fn(np.concatenate(ids).astype(np.int32), np.concatenate(firsts)).astype(np.float64)
+        for batch in batches:
+            for rows, texts in slices(batch, text_col):
+                ids, first = id_stream(sub, texts)
+                learnt = ~rows.column(held).to_numpy(zero_copy_only=False)
+                begin, h = word_hashes(ids)
+                own = np.repeat(learnt, np.diff(np.searchsorted(begin, first)))
+                word = ids.take(begin) != END
+                if word.any():
+                    words.append(added([(h[word], own[word].astype(np.int64))]))
+                    if len(words) > 12:
+                        words = [added(words)]
+                total += np.bincount(ids[np.repeat(learnt, np.diff(first))], minlength=VOCABULARY)
+                column = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(2 * first), pa.py_buffer(ids.astype(np.int16))]).cast(pa.binary())
+                none = [pa.nulls(len(rows), t) for t in types[5:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), pa.array(np.arange(no, no + len(rows))), rows.column(id_col), rows.column(held), column, *none], names)
+                no += len(rows)
+                size += int(first[-1]) * 2
+                if size >= BLOCK and words:
+                    yield from lists(block, *added(words))
+                    block, size, words = block + 1, 0, []
+        if words:
+            yield from lists(block, *added(words))
+        some = np.flatnonzero(total)
+        yield from lists(-1, some, total[some])
+
+    schema = f"block bigint, no bigint, key {kind.simpleString()}, held boolean, ids binary, h array<bigint>, n array<bigint>"
+    return mapped(docs.select(id_col, text_col, held), run, schema)
+
+
+def train(rows: DataFrame, counts: np.ndarray, rounds: int = 3) -> attention.Net:
+    """A network trained by rounds of local passes and averaged parameters, each over its own part of ``rows (block, no, ids)``."""
+    spark = rows.sparkSession
+    net = attention.fresh(counts, END)
+    if not counts.any():
+        return net
+    of = F.pmod(F.xxhash64("block", "no"), F.lit(rounds))
+    again = rounds * min(PASSES, max(1, round(PASS_IDS / counts.sum())))
+    for k in range(again):
+        shared = spark.sparkContext.broadcast(net)
+
+        def run(batches: Iterable[pa.RecordBatch], k=k, again=again, shared=shared) -> Iterator[pa.RecordBatch]:
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                held, size = [], 0
+                for batch in batches:
+                    for _, ids, first in streams(batch):
+                        held.append((ids, first))
+                        size += len(ids)
+                        if size >= AT_ONCE:
+                            yield joined(held)
+                            held, size = [], 0
+                if held:
+                    yield joined(held)
+
+            new, n = attention.fit(shared.value, parts(), rate=0.02 * (1 - k / again) + 0.002, seed=k)
+            if n:
+                x = np.append(new.flat * np.float64(n), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], ["at", "x"])
 
-        # few tasks with longer passes: each sends a whole vector
-        fewer = rows.select(text_col).coalesce(max(1, rows.rdd.getNumPartitions() // 4))
+        # few tasks with longer passes: each sends a whole vector, and these are added up by place, never all in one task
+        part = rows.where(of == k % rounds).select("ids")
+        fewer = part.coalesce(max(1, part.rdd.getNumPartitions() // 4))
         got = mapped(fewer, run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        if not got.num_rows:
-            return None
-        out = np.zeros(got.num_rows)
-        out[got.column("at").to_numpy()] = got.column("x").to_numpy()
-        return out
-
-    params = attention.fresh(VOCABULARY, members=MEMBERS)
-    counts = summed(lambda ids, first: np.bincount(ids, minlength=VOCABULARY), docs)
-    if counts is None:
-        return params
-    params = attention.with_counts(params, counts)
-    bounds = np.cumsum([0, *(x.size for x in params.values())])
-    for k in range(rounds):
-        shared = spark.sparkContext.broadcast(params)
-
-        def local(ids, first, k=k, shared=shared):
-            new, n = attention.fit(shared.value, ids, first, END, rate=0.02 / (k + 1), seed=k)
-            return np.concatenate([*(x.ravel() * np.float64(n) for x in new.values()), [n]])
-
-        total = summed(local, docs.where(of == k))
-        if total is not None:
-            params = {name: (total[a:b] / total[-1]).astype(np.float32).reshape(x.shape) for (name, x), a, b in zip(params.items(), bounds[:-1], bounds[1:], strict=True)}
+        if got.num_rows:
+            total = np.zeros(got.num_rows)
+            total[got.column("at").to_numpy()] = got.column("x").to_numpy()
+            net = net.having((total[:-1] / total[-1]).astype(np.float32))
         shared.unpersist()
-    return params
+    return net
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    base = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], *(first[1:] + b for (_, first), b in zip(parts, base[:-1], strict=True))])
+
+
+def network_tokens(net: attention.Net, ids: np.ndarray, first: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token (those that begin at ``begin``) among all words and the end, by the network alone."""
+    logp, begins = attention.score(net, ids, first)
+    out = np.add.reduceat(logp, begin).astype(np.float64) if len(begin) else np.zeros(0)
+    out -= begins.take(begin)
+    word = np.flatnonzero(ids.take(begin) != END)  # a token follows each of these
+    out[word] += begins.take(begin.take(word + 1))
+    return out
+
+
+def mixed(network: np.ndarray, frequency: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of the mixture of probabilities, the network's given as natural logarithms."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(network + math.log1p(-weight), np.log(frequency) + math.log(weight)) / math.log(10)
 
 
 def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, model_score`` for every row."""
+    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, network_score`` for every row."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = int(max(1, -(-size // BLOCK)))
-    own = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(blocks)).cast("int")
-    dealt = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (bucket(id_col, folds) == held_out).alias("held"), own.alias("block"))
-    dealt = cut(dealt.repartition("block").sortWithinPartitions("block"))
-    model = train(dealt.where(~F.col("held")), path, id_col="key", text_col="text")
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def close():
-            h = np.concatenate([x[0] for x in held])
-            n = np.concatenate([x[1] for x in held])
-            order = np.argsort(h)
-            h = h[order]
-            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), now, np.int32)), pa.array(h[heads].view(np.int64)), pa.array(np.add.reduceat(n[order], heads))], ["block", "h", "n"])
-
-        for batch in batches:
-            marks = batch.column("block").to_numpy()
-            for piece in np.split(np.arange(len(marks)), np.flatnonzero(np.diff(marks)) + 1):
-                if not len(piece):
-                    continue
-                if now is not None and marks[piece[0]] != now:
-                    yield close()
-                    held = []
-                now = int(marks[piece[0]])
-                for rows, texts in slices(batch.slice(int(piece[0]), len(piece)), "text"):
-                    _, _, _, first, h = word_hashes(texts)
-                    learnt = np.repeat(~rows.column("held").to_numpy(zero_copy_only=False), np.diff(first))
-                    kinds, back = np.unique(h, return_inverse=True)
-                    held.append((kinds, np.bincount(back, learnt, len(kinds)).astype(np.int64)))
-                    if len(held) > 8:
-                        h, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-                        kinds, back = np.unique(h, return_inverse=True)
-                        held = [(kinds, np.bincount(back, n, len(kinds)).astype(np.int64))]
-        if held:
-            yield close()
-
-    asked = mapped(dealt.select("block", "held", "text"), ask, "block int, h bigint, n bigint")
-    whole = Window.partitionBy("h")
-    answers = cut(asked.select("block", "h", F.sum("n").over(whole).alias("c"), F.row_number().over(whole.orderBy("block")).alias("k")).select("block", "h", "c", (F.col("k") == 1).alias("first")))
-    n_words, v_words = answers.where("first AND c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
-    n_docs = dealt.where(~F.col("held")).count()
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), (bucket(id_col, folds) == held_out).alias("held"))
+    stored = cut(encoded(rows, path, "held", "key", "text"))
+    texts = stored.where("ids IS NOT NULL")
+    listed = stored.where("h IS NOT NULL").select("block", F.inline(F.arrays_zip("h", "n")))
+    ids = listed.where("block = -1").groupBy("h").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(VOCABULARY, np.int64)
+    counts[[r["h"] for r in ids]] = [r["n"] for r in ids]
+    net = train(texts.where("NOT held").select("block", "no", "ids"), counts)
+
+    asked = listed.where("block >= 0")
+    whole = asked.groupBy("h").agg(F.sum("n").alias("c"), F.min("block").alias("owner"))
+    answers = cut(asked.join(whole, "h").select("block", "h", "c", (F.col("block") == F.col("owner")).alias("owns")))
+    n_words, v_words = answers.where("owns AND c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
+    n_docs = int(counts[END])
     total, distinct = (n_words or 0) + n_docs, v_words + (n_docs > 0)
-    shared = spark.sparkContext.broadcast(model)
-
     bottom = total + 0.5 * (distinct + 1)
-    end_base = math.log10((n_docs + 0.5) / bottom)
-
-    def tokens_of(left: pa.Table, right: pa.Table):
-        """For slices of a block: its rows, the bounds of documents among tokens, the tokens' counts and log probabilities."""
-        p, sub = shared.value, subwords(path)
-        known = right.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, count = known[order], right.column("c").to_numpy()[order]
-        place, size = np.full(len(known), -1, np.int64), np.zeros(len(known), np.int64)
-        pool, used = np.zeros(1 << 16, np.int16), 0
-        for batch in left.to_batches():
-            for rows, texts in slices(batch, "text"):
-                data, starts, ends, first, h = word_hashes(texts)
-                kinds, one, back = np.unique(h, return_index=True, return_inverse=True)
-                which = np.searchsorted(known, kinds)
-                new = np.flatnonzero(place[which] < 0)
-                if len(new):
-                    ids, n = sub.split(data, starts[one[new]], ends[one[new]])
-                    while used + len(ids) > len(pool):
-                        pool = np.concatenate([pool, np.zeros_like(pool)])
-                    pool[used : used + len(ids)] = ids
-                    size[which[new]] = n
-                    place[which[new]] = used + np.cumsum(n) - n
-                    used += len(ids)
-                n = size[which]
-                ends_at = np.cumsum(n)
-                inner = np.arange(ends_at[-1] if len(kinds) else 0) - np.repeat(ends_at - n, n)
-                local = pool[np.repeat(place[which], n) + inner]
-                ids, docs_at, token_at = spread(local, np.concatenate([[0], ends_at]), back, first)
-                by_token = np.add.reduceat(attention.score(p, ids, docs_at, END), token_at[:-1]).astype(np.float64) / np.log(10)
-                docs_n = len(first) - 1
-                word_at = np.arange(len(back)) + np.repeat(np.arange(docs_n), np.diff(first))
-                c = np.full(len(back) + docs_n, n_docs, np.int64)
-                c[word_at] = count[which][back]
-                yield rows, (first + np.arange(docs_n + 1)).astype(np.int64), c, by_token
-
-    def blended(model_part: np.ndarray, base: np.ndarray, blend: float) -> np.ndarray:
-        high = np.maximum(base, model_part)
-        return high + np.log10(blend * 10 ** (model_part - high) + (1 - blend) * 10 ** (base - high))
-
-    def try_blends(left: pa.Table, right: pa.Table) -> pa.Table:
-        sums = np.zeros(len(BLENDS))
-        for _, _, c, by_token in tokens_of(left, right):
-            base = np.log10((np.maximum(c - 1, 0) + 0.5) / bottom)
-            sums += [blended(by_token, base, b).sum() for b in BLENDS]
-        return pa.table({"k": pa.array(np.arange(len(BLENDS), dtype=np.int32)), "x": pa.array(sums)})
-
-    left, right = dealt.select("key", "text", "held", "block"), answers.select("block", "h", "c")
-    tried = left.where(~F.col("held")).groupBy("block").cogroup(right.groupBy("block")).applyInArrow(try_blends, "k int, x double")
-    by_blend = {r["k"]: r["x"] for r in tried.groupBy("k").agg(F.sum("x").alias("x")).collect()}
-    blend = BLENDS[max(by_blend, key=by_blend.get)] if by_blend and total else BLENDS[0]
+    shared = spark.sparkContext.broadcast(net)
+
+    names = ["key", "held", "n_tokens", "n_known", "base", "network", "scores", "without"]
+    types = [to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lookup, known = Lookup(right.column("h").to_numpy().view(np.uint64)), right.column("c").to_numpy()
         out = []
-        for rows, at, c, by_token in tokens_of(left, right):
-            base = np.log10((c + 0.5) / bottom)
-            both = blended(by_token, base, blend) if total else by_token
-            seen, base, both, by_token = (np.add.reduceat(x.astype(np.float64), at[:-1]) for x in (c > 0, base, both, by_token))
-            out.append(pa.RecordBatch.from_arrays([rows.column("key"), rows.column("held"), pa.array(np.diff(at)), pa.array(seen.astype(np.int64)), pa.array(np.full(len(seen), total, np.int64)), *map(pa.array, (base, both, by_token))], names))
+        for part, ids, first in streams(left):
+            begin, h = word_hashes(ids)
+            c = np.full(len(begin), n_docs, np.int64)
+            word = np.flatnonzero(ids.take(begin) != END)
+            c[word] = known.take(lookup.find(h.take(word)))
+            network = network_tokens(shared.value, ids, first, begin)
+            at = np.searchsorted(begin, first)
+
+            def by_text(x: np.ndarray, at=at) -> np.ndarray:
+                return np.add.reduceat(x, at[:-1])
+
+            base = by_text(np.log10((c + 0.5) / bottom))
+            scores, without = np.zeros((len(first) - 1, len(WEIGHTS))), np.zeros((len(first) - 1, len(WEIGHTS)))
+            learnt = np.repeat(~part.column("held").to_numpy(zero_copy_only=False), np.diff(at))
+            for k, w in enumerate(WEIGHTS if total else ()):
+                scores[:, k] = by_text(mixed(network, c / total, w))
+                if total > 1:  # what the text itself has added to the counts is left out, a word at a time
+                    without[:, k] = by_text(np.where(learnt, mixed(network, np.maximum(c - 1, 0) / (total - 1), w), 0.0))
+            lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(WEIGHTS)), pa.array(x.ravel())) for x in (scores, without))
+            columns = (part.column("key"), part.column("held"), np.diff(at), by_text((c > 0).astype(np.int64)), base, by_text(network) / math.log(10), *lists)
+            out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names))
+        schema = pa.schema(list(zip(names, types, strict=True)))
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
-    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "model_score"]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = pa.schema([(n, t) for n, t in zip(names, [to_arrow_type(docs.schema[id_col].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()], strict=True)])
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, model_score double")
+    spec = f"key {kind.simpleString()}, held boolean, n_tokens bigint, n_known bigint, base double, network double, scores array<double>, without array<double>"
+    scored = cut(texts.select("block", "key", "held", "ids").groupBy("block").cogroup(answers.select("block", "h", "c").groupBy("block")).applyInArrow(run, spec))
+    tried = scored.agg(*(F.sum(F.col("without")[k]).alias(str(k)) for k in range(len(WEIGHTS)))).first()
+    best = max(range(len(WEIGHTS)), key=lambda k: tried[k] if tried[k] is not None else 0.0)
+    return scored.select(
+        F.col("key").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"),
+        (F.col("scores")[best] if total else F.col("network")).alias("score"), F.col("network").alias("network_score"),
+    )
