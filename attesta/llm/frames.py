@@ -25,6 +25,14 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(fn, schema)
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bucket(column: str, parts: int) -> Column:
     """crc32 of the key as text (null: empty text), modulo ``parts``."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts

@@ -1,18 +1,14 @@
-"""Operators over pairs of documents against brute force, the language model, and the pipeline's stages."""
+"""Operators over pairs of documents against brute force, and the pipeline's stages."""
 
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
-from math import log10
 
 import numpy as np
-import pytest
 
 import corpus_pipeline
-from attesta.llm import attention, decontaminate, jaccard, lmscore, passages, queries
+from attesta.llm import decontaminate, jaccard, passages, queries
 from attesta.llm.components import components
-from attesta.llm.queries import RANKS
 
 rng = random.Random(9)
 VOCABULARY = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(600)]
@@ -190,6 +186,77 @@ def test_passages_around_a_frequent_line(spark):
     assert len(want) == 24 and all(words <= got[i] for i, words in want.items())
 
 
+def similar_passages(texts, n=50):
+    """Texts with a passage of ``n`` words or more that an earlier text has with a few edits: (text, first word, end) by plain search."""
+    split = [(t or "").split() for t in texts]
+    grams = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in split]
+    found = []
+    for i, own in enumerate(grams):
+        for k in range(0, len(own) - n + 5, 5):
+            want = set(own[k : k + n - 4])
+            for other in grams[:i]:
+                at = [m for m, g in enumerate(other) if g in want]
+                low = at[0] if at else 0
+                if any(len(want & set(other[m : m + n - 4])) >= 0.8 * len(want | set(other[m : m + n - 4])) for m in sorted({max(0, x - d) for x in at for d in (0, 5, 10)} | {low})):
+                    found.append((i, k, k + n))
+                    break
+    return found
+
+
+def test_similar_passages_are_found(spark):
+    r = random.Random(31)
+    base = [prose(60, r) for _ in range(12)]
+    texts = [prose(40, r) + " " + edited(base[k % 12], (k // 12) % 3, r) + " " + prose(40, r) for k in range(72)]
+    got = defaultdict(set)
+    for x in passages.find(docs_of(spark, texts)).collect():
+        got[x.doc_id].update(range(x.start_word, x.end_word))
+    want = similar_passages(texts)
+    hit = sum(len(got[i] & set(range(s, e))) >= 0.8 * (e - s) for i, s, e in want)
+    assert len(want) > 60 and hit >= 0.9 * len(want)
+
+
+def test_copies_of_one_text_in_one_task(spark, monkeypatch):
+    r = random.Random(33)
+    shared = prose(120, r)
+    texts = [prose(20, r) + " " + shared + " " + prose(20, r) for _ in range(30)]
+    monkeypatch.setattr(passages, "COMBINE", 4)
+    rows = in_tasks(spark, list(enumerate(texts))[::-1])
+    found = passages.find(rows).collect()
+    got = defaultdict(set)
+    for x in found:
+        assert x.source_id < x.doc_id
+        got[x.doc_id].update(range(x.start_word, x.end_word))
+    assert all(set(range(20, 140)) <= got[k] for k in range(1, 30)) and 0 not in got
+    assert len(found) < 30 * 6  # tied to a few, not to all
+
+
+def test_repeated_words(spark):
+    texts = ["the " * 90 + "and " * 80, "x y z " * 40 + "the " * 60 + "and " * 60 + "of " * 70, "of " * 60 + "a b c d " * 20, "a b c d " * 30]
+    got = defaultdict(set)
+    for x in passages.find(docs_of(spark, texts)).collect():
+        got[x.doc_id].update(range(x.start_word, x.end_word))
+    assert all(words <= got[i] for i, words in repeats(texts).items()) and set(got) == {1, 2, 3}
+
+
+def test_equal_runs_of_shingles():
+    g = np.random.default_rng(2)
+    a = g.integers(0, 1 << 32, 80, dtype=np.uint32)
+    assert len(set(passages.runs_of(a, 46).tolist())) == 35 and (passages.runs_of(a[5:60], 46) == passages.runs_of(a, 46)[5:15]).all()
+    assert [x[:4] for x in passages.shared_runs(a[10:70], a, 46, 0.8)] == [(0, 59, 10, 69)]
+    assert passages.shared_runs(a[:40], a, 46, 0.8) == []
+
+
+def test_minima_beside_a_window():
+    g = np.random.default_rng(3)
+    h, first = g.integers(0, 1 << 62, 90, dtype=np.uint64) << np.uint64(1), np.array([0, 40, 90])
+    tree = passages.Tree(h, first)
+    c = np.array([0, 4, 5, 39, 40, 44, 45, 84, 85, 89])
+    for at, got in zip(c.tolist(), tree.beside(c, 5).tolist(), strict=True):
+        low, high = (0, 40) if at < 40 else (40, 90)
+        want = [passages.mix(np.array([x.min()]) + np.uint64(1))[0] >> np.uint64(48) if len(x) == 5 else 0 for x in (h[max(low, at - 5) : at], h[at + 1 : min(high, at + 6)])]
+        assert got == int(want[0]) << 16 | int(want[1])
+
+
 def test_cut_out(spark):
     texts = passage_corpus(random.Random(5))
     docs = docs_of(spark, texts)
@@ -259,93 +326,6 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(x.doc_id, x.item_id) for x in decontaminate.find(docs, table).collect()} == {(i, i) for i in range(12)}
 
 
-def test_attention_is_a_causal_distribution():
-    p = attention.fresh(128, d=8, hidden=8, members=16)
-    g = np.random.default_rng(0)
-    first, ids = np.array([0, 100, 100, 130]), g.integers(0, 128, 130).astype(np.int32)
-    one = attention.score(p, ids, first, 127)
-    other = ids.copy()
-    other[60:100] = 0
-    two = attention.score(p, other, first, 127)
-    assert np.allclose(one[:60], two[:60]) and np.allclose(one[100:], two[100:]) and not np.allclose(one[61:100], two[61:100])
-    places, scored = attention.windows(first)
-    counts = np.bincount(places[:, attention.W - attention.S :][scored], minlength=130)
-    assert (counts == 1).all()
-    z = attention.hidden(p, attention.shifted(ids, first, 127)[places[:1]])[:1]
-    assert abs(np.exp(attention.log_probabilities(p, np.repeat(z, 128, 0), np.arange(128))).sum() - 1) < 1e-4
-
-
-def test_gradients():
-    p = {k: v.astype(np.float64) for k, v in attention.fresh(64, d=8, hidden=8, members=16).items()}
-    g = np.random.default_rng(0)
-    ids, to, use = g.integers(0, 64, (3, attention.W)), g.integers(0, 64, (3, attention.S)), g.random((3, attention.S)) < 0.8
-    _, grads = attention.gradients(p, ids, to, use)
-    for name in p:
-        at = (ids[0, 3], 2) if name == "E" else tuple(g.integers(0, n) for n in p[name].shape)
-        e, moved = 1e-5, []
-        for sign in (1, -1):
-            q = {k: v.copy() for k, v in p.items()}
-            q[name][at] += sign * e
-            moved.append(attention.gradients(q, ids, to, use)[0])
-        assert abs(grads[name][at] - (moved[0] - moved[1]) / (2 * e)) < 1e-7
-
-
-def test_training_lowers_the_loss():
-    g = np.random.default_rng(0)
-    ids = np.tile(g.integers(0, 60, 12), 400).astype(np.int32)
-    first = np.arange(0, len(ids) + 1, 120)
-    p = attention.fresh(64, d=16, hidden=16, members=16)
-    q, n = attention.fit(p, ids, first, 63, batch=8)
-    assert n == len(first[:-1]) * 5 and attention.score(q, ids, first, 63).mean() > attention.score(p, ids, first, 63).mean() + 1
-
-
-def test_subwords_cover_words():
-    sub = lmscore.subwords(RANKS)
-    data = np.frombuffer("Thinking naïve 日本 x".lower().encode(), np.uint8)
-    starts, ends = np.array([0, 9, 16, 23]), np.array([8, 15, 22, 24])
-    ids, n = sub.split(data, starts, ends)
-    at = np.concatenate([[0], np.cumsum(n)])
-    for k in range(4):
-        own = ids[at[k] : at[k + 1]]
-        assert own[0] > lmscore.PIECES and (own[1:] < lmscore.PIECES).all()
-        assert b"".join(sub.pieces[i % (lmscore.PIECES + 1)] for i in own) == data[starts[k] : ends[k]].tobytes()
-
-
-def test_lm_base_scores(spark):
-    r = random.Random(3)
-    texts = [prose(r.randint(1, 60), r).title() for _ in range(120)] + [None, "", "Only Here Once", "w " * 5000]
-    docs = docs_of(spark, texts)
-    words = [[w.lower() for w in (t or "").split()] for t in texts]
-    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
-    count, ends = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws), held.count(False)
-    n, v = sum(count.values()) + ends, len(count) + 1
-    got = {x.doc_id: x for x in lmscore.score(docs, RANKS).collect()}
-    assert len(got) == len(texts)
-    for i, ws in enumerate(words):
-        cs = [count[w] for w in ws] + [ends]
-        x = got[i]
-        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[i], len(cs), sum(c > 0 for c in cs), n)
-        assert x.base_score == pytest.approx(sum(log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in cs), rel=1e-9)
-        assert x.score >= x.base_score + len(cs) * log10(0.1) - 1e-6 and x.score < 0 and np.isfinite(x.model_score)
-    assert lmscore.score(docs.limit(0), RANKS).collect() == []
-
-
-def test_lm_learns_from_every_training_row(spark, monkeypatch):
-    r = random.Random(5)
-    docs = docs_of(spark, [prose(20, r) for _ in range(60)])
-    seen, train = [], lmscore.train
-    monkeypatch.setattr(lmscore, "train", lambda rows, *a, **k: seen.extend(x.key for x in rows.select("key").collect()) or train(rows, *a, **k))
-    monkeypatch.setattr(lmscore, "BLOCK", 2000)
-    assert lmscore.score(docs, RANKS).count() == 60
-    assert sorted(seen) == [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
-
-
-def test_lm_beats_the_base_on_held_out_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    held = [x for x in lmscore.score(docs, RANKS).collect() if x.held_out]
-    assert sum(x.score for x in held) > sum(x.base_score for x in held)
-
-
 SF = "/root/testdata/sf0.001"
 
 
