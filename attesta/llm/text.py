@@ -58,8 +58,8 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Consecutive row slices whose texts hold about ``most`` bytes, each with its texts."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Consecutive row slices of at most ``rows`` rows whose texts hold about ``most`` bytes, each with its texts."""
     if not batch.num_rows:
         return
     texts = strings(batch.column(text))
@@ -67,7 +67,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     at = 0
     while at < len(size):
         base = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, base + most, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(size, base + most, "right"))))
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
 

@@ -92,6 +92,35 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (c, _) in want.items() if c == i)
 
 
+def test_tiles_by_size(spark, monkeypatch):
+    r = random.Random(14)
+    base = prose(400, r).split()
+    texts = [" ".join(base[: 60 + 7 * k]) for k in range(45)] + [edited(" ".join(base[:200]), k % 3, r) for k in range(15)]
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 4)
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == classes(texts)
+
+
+def test_keys_with_several_texts(spark):
+    r = random.Random(15)
+    a, b, c = prose(60, r), prose(60, r), prose(60, r)
+    rows = [(1, a), (1, b), (5, a + " tail"), (6, b + " tail"), (None, a), (None, c), (None, c + " tail"), (None, "x"), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in jaccard.join(docs).collect())
+    want = [("1", "1", 2), ("1", "1", 1), ("5", "1", 2), ("6", "1", 1), ("None", "1", 2), ("None", "None", 1), ("None", "None", 1), ("None", "None", 0), *[("9", "9", 0)] * 3]
+    assert got == sorted(want)
+    kept = sorted((str(x.doc_id), x.text or "") for x in jaccard.keep_one(docs).collect())
+    winner = [x for x in kept if x[1].startswith(c)]
+    assert len(winner) == 1 and sorted(x for x in kept if x not in winner) == sorted([("1", a), ("1", b), ("None", "x"), ("9", ""), ("9", "")])
+
+
+def test_more_rows_than_a_slice_numbers(spark, monkeypatch):
+    r = random.Random(16)
+    texts = [prose(12, r) for _ in range(40)] * 2
+    monkeypatch.setattr(jaccard, "ROWS", 7)
+    assert {x.doc_id: (x.class_id, x.n_links) for x in jaccard.join(docs_of(spark, texts)).collect()} == classes(texts)
+
+
 def slow_windows(h, least):
     out = set()
     for c in range(len(h)):
