@@ -4,14 +4,15 @@ Words are runs of letters and digits, upper-case A-Z folded. One pass over the d
 occur and cuts a passage around each (as word hashes), wide enough for the longest item with that n-gram. A passage meets
 every item that it shares an n-gram with, however common that n-gram is, so whether an edited copy is found does not
 depend on the rest of the corpus. An item fewer of whose words occur in the passage than the threshold asks for cannot
-reach it and is not aligned; all others are, over the whole passage. ``score`` is the alignment score over
+reach it and is not aligned; all others are, over the whole passage, a long one in overlapping stretches that are wide
+enough for any alignment that reaches the threshold. ``score`` is the alignment score over
 that of the whole item, 1 for an exact copy; pairs of at least ``threshold`` are reported with the words they span.
 
 The items are a query set, taken in blocks of bounded size against all documents, so the lookup sent to workers never
-outgrows ``BLOCK_WORDS``. Items of fewer than ``n`` words cannot be told from chance and are never reported; neither are
-null or empty texts, nor documents
-without a key. Equal items are aligned once and reported for each id. Repeated documents give repeated rows for
-each (key, item) once. An empty table on either side gives an empty result. Other columns are not read.
+outgrows ``BLOCK_WORDS``. Items of fewer than ``n`` words have no n-gram: they are found where all their words occur
+in a row. Null and empty items, and those without a word, are never found; neither are
+documents without a key or text. Equal items are aligned once and reported for each id. Repeated documents give one row for
+each (key, item). Ties between passages go to the first. Very long texts are handled in passages. An empty table on either side gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .toxicity import WORDS
 
 #: Item words in one block (about 40 bytes each in the lookup that workers get).
 BLOCK_WORDS = 4 << 20
-#: Item words compared with a passage at once, and cells of an alignment's row.
-AT_ONCE, CELLS = 1 << 20, 1 << 18
+#: Item words compared with a passage at once, cells of an alignment's row, and words of a passage beyond which it is aligned in stretches.
+AT_ONCE, CELLS, STRETCH = 1 << 20, 1 << 18, 4096
 #: Smith-Waterman: gain of a match, costs of a mismatch and of a skipped word.
 MATCH, MISMATCH, GAP = 2, 1, 1
 
@@ -73,20 +74,28 @@ def align(item: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Items:
-    """Items as words ``words[first[i]:first[i+1]]``; their sorted n-grams, the longest item and (``owner``) all items of each."""
+    """Items as words ``words[first[i]:first[i+1]]``; their sorted n-grams, the longest item and (``owner``) all items of each;
+    and by number of words the sorted hashes of shorter items, with the item of each."""
 
     def __init__(self, table: pa.Table, n: int):
         self.md = table.column("md").to_pylist()
         raw = table.column("words").to_pylist()
         self.words = np.frombuffer(b"".join(raw), np.uint64)
         self.first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
+        size = np.diff(self.first)
+        self.short = {}
+        for k in sorted(set(size[size < n].tolist()) - {0}):
+            own = np.flatnonzero(size == k)
+            h = shingles(self.words[np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in own])], np.arange(len(own) + 1) * k, k)[0]
+            order = np.argsort(h)
+            self.short[k] = h[order], own[order]
         g, _, first = shingles(self.words, self.first, n)
         item = np.repeat(np.arange(len(raw), dtype=np.int32), np.diff(first))
         order = np.argsort(g, kind="stable")
         g, self.owner = g[order], item[order]
         self.grams, begin = np.unique(g, return_index=True)
         self.begin = np.append(begin, len(g))
-        self.reach = np.maximum.reduceat(np.diff(self.first)[self.owner], begin)
+        self.reach = np.maximum.reduceat(np.diff(self.first)[self.owner], begin) if len(begin) else begin
 
     def likely(self, places: np.ndarray, passage: np.ndarray, threshold: float) -> Iterator[int]:
         """Items with one of the n-grams ``places`` so many of whose words occur in the passage that they may reach the threshold."""
@@ -131,34 +140,61 @@ def aligned(docs: DataFrame, items: Items, n: int, threshold: float, id_col: str
                     back = align(own[r][: top[r]][::-1], many[r : r + 1, : end[r]][:, ::-1])[1][0]
                     yield d, items.md[i], float(s), int(a + end[r] - back), int(a + end[r])
 
+    def whole(items: Items, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, float, int, int]]:
+        """The first place of each short item in each document."""
+        for k, (known, own) in items.short.items():
+            g, at, gfirst = shingles(words, first, k)
+            place = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            hit = np.flatnonzero(known[place] == g)
+            doc = np.searchsorted(gfirst, hit, "right") - 1
+            _, one = np.unique(doc * len(known) + place[hit], return_index=True)
+            for j in one.tolist():
+                a = int(at[hit[j]])
+                yield int(doc[j]), items.md[own[place[hit[j]]]], 1.0, a, a + k
+
+    def pieces(d: int, a: int, b: int, i: int) -> Iterator[tuple[int, int, int, int]]:
+        """A long passage in stretches: an alignment that reaches the threshold spans at most three times the item."""
+        first = shared.value[0].first
+        long = int(first[i + 1] - first[i])
+        overlap = (1 + MATCH) * long
+        step = max(STRETCH, overlap)
+        if b - a <= 2 * step:
+            yield d, a, b, i
+            return
+        for low in range(a, b - overlap, step):
+            yield d, low, min(b, low + step + overlap), i
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, bits = shared.value
         known, wide, may = items.grams, items.reach, np.unpackbits(bits).astype(bool)
         for batch in batches:
             for rows, texts in slices(batch, text_col):
                 words, first = hash_words(texts, WORDS, fold=True)
+                out = list(whole(items, words, first))
                 g, at, gfirst = shingles(words, first, n)
                 hit = np.flatnonzero(may[(g >> np.uint64(44)).astype(np.int64)])
-                place = np.minimum(np.searchsorted(known, g[hit]), len(known) - 1)
-                good = known[place] == g[hit]
-                hit, place = hit[good], place[good]
-                if not len(hit):
-                    continue
-                doc = np.searchsorted(gfirst, hit, "right") - 1
-                low = np.maximum(at[hit] - wide[place], first[doc])
-                high = np.minimum(at[hit] + n + wide[place], first[doc + 1])
-                top = np.maximum.accumulate(high)
-                new = np.concatenate([[True], (low[1:] > top[:-1]) | (doc[1:] != doc[:-1])])
-                begin = np.flatnonzero(new)
-                end = np.append(begin[1:], len(hit))
-                start = np.minimum.reduceat(low, begin).tolist()
-                stop = np.maximum.reduceat(high, begin).tolist()
-                pairs = [
-                    (d, a, b, i)
-                    for d, a, b, x, y in zip(doc[begin].tolist(), start, stop, begin.tolist(), end.tolist(), strict=True)
-                    for i in items.likely(place[x:y], words[a:b], threshold)
-                ]
-                out = list(scored(pairs, words))
+                if len(hit):
+                    place = np.minimum(np.searchsorted(known, g[hit]), len(known) - 1)
+                    good = known[place] == g[hit]
+                    hit, place = hit[good], place[good]
+                if len(hit):
+                    doc = np.searchsorted(gfirst, hit, "right") - 1
+                    low = np.maximum(at[hit] - wide[place], first[doc])
+                    high = np.minimum(at[hit] + n + wide[place], first[doc + 1])
+                    top = np.maximum.accumulate(high)
+                    new = np.concatenate([[True], (low[1:] > top[:-1]) | (doc[1:] != doc[:-1])])
+                    begin = np.flatnonzero(new)
+                    end = np.append(begin[1:], len(hit))
+                    start = np.minimum.reduceat(low, begin).tolist()
+                    stop = np.maximum.reduceat(high, begin).tolist()
+                    pairs = []
+                    for d, a, b, x, y in zip(doc[begin].tolist(), start, stop, begin.tolist(), end.tolist(), strict=True):
+                        for i in items.likely(place[x:y], words[a:b], threshold):
+                            pairs += pieces(d, a, b, i)
+                        if len(pairs) >= 4096:
+                            out += scored(pairs, words)
+                            pairs = []
+                    out += scored(pairs, words)
                 if out:
                     d = np.array([o[0] for o in out])
                     yield pa.RecordBatch.from_arrays(
@@ -173,7 +209,7 @@ def aligned(docs: DataFrame, items: Items, n: int, threshold: float, id_col: str
 def find(docs: DataFrame, items: DataFrame, n: int = 4, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``id_col, item_id, score, start_word, end_word``: the best aligned passage of each document and item that reach the threshold."""
     spark = docs.sparkSession
-    of_item = cut(words_of(items, item_id, item_text).where(F.octet_length("words") >= 8 * n).withColumn("md", F.sha2("words", 256)))
+    of_item = cut(words_of(items, item_id, item_text).where(F.octet_length("words") > 0).withColumn("md", F.sha2("words", 256)))
     once = of_item.groupBy("md").agg(F.any_value("words").alias("words"))
     total = once.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-total // (8 * BLOCK_WORDS)))

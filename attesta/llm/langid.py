@@ -3,32 +3,37 @@
 Texts are read as lower-cased letters; anything else is a word boundary, and contexts do not reach over it. A
 symbol has 6 bits, so a 4-gram is a 24-bit hash and a table has at most 2**24 entries per language however large
 the corpus is. Grams of all languages lie in one sorted hash array with a column of log probabilities for each
-language; other grams back off to trigram and context tables. A text gets the language of the lowest
-cross-entropy per symbol. Scores are calibrated on about ``calibrate`` training rows (the lowest crc32 of the key), as is
-the cross-entropy beyond which ``rejected`` is true.
+language; other grams back off to trigram and context tables. Languages are taken ``AT_ONCE`` to such an array, arrays
+of ``SENT`` bytes or so to a pass over the texts: any number of languages is handled. A text gets the language of the lowest
+cross-entropy per symbol.
+
+Scores are calibrated on about ``calibrate`` rows (the lowest crc32 of the key, at most a tenth of all) that the counts
+do not include, as is the cross-entropy beyond which ``rejected`` is true; languages with fewer than 20 such rows share
+one limit, taken over all languages' rows.
 
 Null texts and texts without letters get ``und``, score 0 and ``rejected``. With nothing to learn from every row is
-``und``. Rows with a null language are not learnt from. Ties go to the first language in name order. Repeated rows
-get equal results; other columns are not read.
+``und``. Rows with a null language are not learnt from. Ties go to the first language in name order. Very long texts
+are read whole. Repeated rows get equal results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import mapped, sampled
+from .frames import bucket, mapped
 from .text import raw, slices, strings
 
 ORDER, BITS = 4, 6
 WIDTH = 1 << BITS
-#: More languages than this are refused: the tables sent to workers have so many columns.
-MAX_LANGUAGES = 64
+#: Languages of one array, and bytes of arrays that are sent to workers for one pass.
+AT_ONCE, SENT = 64, 1 << 30
 
 _symbols: list[np.ndarray] = []
 
@@ -101,8 +106,10 @@ class Model:
     table: np.ndarray  # log probabilities of these, a column for each language
     tri: np.ndarray  # log probabilities of trigrams, dense
     gamma: np.ndarray  # log weights that a 3-symbol context gives to its trigrams, dense
-    sharpness: float = 8.0
-    limit: np.ndarray | None = None  # cross-entropy beyond which a text is rejected, by language
+
+    @property
+    def size(self) -> int:
+        return self.keys.nbytes + self.table.nbytes + self.tri.nbytes + self.gamma.nbytes
 
     def logp(self, codes: np.ndarray) -> np.ndarray:
         """Log probabilities of 4-gram codes, a column for each language."""
@@ -139,21 +146,47 @@ def smoothed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     raise AssertionError
 
 
-def fit(rows: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+@dataclass
+class Models:
+    """Arrays of at most ``AT_ONCE`` languages each, in name order; how sharp scores are, and each language's limit."""
+
+    parts: list[Model]
+    sharpness: float = 8.0
+    limit: dict[str, float] = field(default_factory=dict)  # cross-entropy beyond which a text is rejected
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for m in self.parts for x in m.langs]
+
+    def passes(self) -> list[list[Model]]:
+        """The arrays by pass."""
+        out, size = [], SENT
+        for m in self.parts:
+            if size + m.size > SENT:
+                out.append([])
+                size = 0
+            out[-1].append(m)
+            size += m.size
+        return out
+
+
+def fit(rows: Iterable[tuple[str, np.ndarray, np.ndarray]]) -> Models:
     """From ``(lang, codes, counts)`` of each language."""
-    by = sorted(rows, key=lambda r: r[0])
-    if len(by) > MAX_LANGUAGES:
-        raise ValueError(f"{len(by)} languages; at most {MAX_LANGUAGES} are allowed")
-    keys = np.unique(np.concatenate([c for _, c, _ in by])) if by else np.zeros(0, np.int32)
-    size = 1 << 3 * BITS
-    m = Model([x for x, _, _ in by], keys, np.zeros((len(keys), len(by)), np.float32), np.zeros((size, len(by)), np.float32), np.zeros((size, len(by)), np.float32))
-    for k, (_, codes, n) in enumerate(by):
-        order = np.argsort(codes)
-        tri, gamma, p = smoothed(codes[order], n[order])
-        m.tri[:, k], m.gamma[:, k] = np.log(tri), np.log(gamma)
-        m.table[:, k] = m.gamma[keys >> BITS, k] + m.tri[keys & (size - 1), k]
-        m.table[np.searchsorted(keys, codes[order]), k] = np.log(p)
-    return m
+    every = sorted(rows, key=lambda r: r[0])
+    parts = []
+    for at in range(0, len(every), AT_ONCE):
+        by = every[at : at + AT_ONCE]
+        keys = np.unique(np.concatenate([c for _, c, _ in by]))
+        size = 1 << 3 * BITS
+        m = Model([x for x, _, _ in by], keys, np.zeros((len(keys), len(by)), np.float32), np.zeros((size, len(by)), np.float32), np.zeros((size, len(by)), np.float32))
+        for k, (_, codes, n) in enumerate(by):
+            order = np.argsort(codes)
+            tri, gamma, p = smoothed(codes[order], n[order])
+            m.tri[:, k], m.gamma[:, k] = np.log(tri), np.log(gamma)
+            m.table[:, k] = m.gamma[keys >> BITS, k] + m.tri[keys & (size - 1), k]
+            m.table[np.searchsorted(keys, codes[order]), k] = np.log(p)
+        parts.append(m)
+    return Models(parts)
 
 
 def entropies(model: Model, texts: pa.Array, lookup: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -184,57 +217,80 @@ def posterior(ce: np.ndarray, sharpness: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def calibrated(model: Model, rows: list[tuple[str, str]]) -> Model:
-    """Set the sharpness of scores and each language's limit from ``(lang, text)`` rows."""
-    model.limit = np.full(len(model.langs), np.inf)
-    if rows and len(model.langs) > 1:
-        ce, n = entropies(model, strings(pa.array([t for _, t in rows], pa.string())))
-        want = np.array([model.langs.index(x) if x in model.langs else -1 for x, _ in rows])
+def calibrated(models: Models, rows: list[tuple[str, str]]) -> Models:
+    """Set the sharpness of scores and each language's limit from ``(lang, text)`` rows that were not counted."""
+    langs = models.langs
+    if rows and langs:
+        texts = strings(pa.array([t for _, t in rows], pa.string()))
+        found = [entropies(m, texts) for m in models.parts]
+        ce, n = np.concatenate([x for x, _ in found], axis=1), found[0][1]
+        want = np.array([langs.index(x) if x in langs else -1 for x, _ in rows])
         use = (want >= 0) & (n > 0)
         ce, want = ce[use], want[use]
         if len(ce):
             fit = {s: np.log(np.maximum(posterior(ce, s)[np.arange(len(ce)), want], 1e-9)).mean() for s in (1, 2, 4, 8, 16, 32)}
-            model.sharpness = float(max(fit, key=fit.get))
-            for k in range(len(model.langs)):
-                own = ce[want == k, k]
-                if len(own) >= 20:
-                    model.limit[k] = np.quantile(own, 0.995) * 1.1
-    return model
+            models.sharpness = float(max(fit, key=fit.get))
+            every = ce[np.arange(len(ce)), want]
+            shared = limit_of(every)
+            models.limit = {x: limit_of(every[want == k]) if (want == k).sum() >= 20 else shared for k, x in enumerate(langs)}
+    return models
+
 
+def limit_of(ce: np.ndarray) -> float:
+    return float(np.quantile(ce, 0.995) * 1.1)
 
-def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", calibrate: int = 1000) -> Model:
-    """A model from all rows of ``docs`` with a language."""
-    got = counts(docs, lang_col, text_col).toArrow()
+
+def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", calibrate: int = 1000) -> Models:
+    """A model from all rows of ``docs`` with a language, some of them (about ``calibrate``, at most a tenth) kept for calibration."""
+    known = docs.where(F.col(lang_col).isNotNull())
+    share = min(0.1, calibrate / max(1, known.count()))
+    apart = bucket(id_col, 1 << 32) < int((1 << 32) * share)
+    got = counts(known.where(~apart), lang_col, text_col).toArrow()
     by = []
     names = got.column("lang").combine_chunks().dictionary_encode()
     index, codes, n = names.indices.to_numpy(zero_copy_only=False), got.column("code").to_numpy(), got.column("n").to_numpy()
     for k, lang in enumerate(names.dictionary.to_pylist()):
         by.append((lang, codes[index == k], n[index == k]))
-    some = sampled(docs.where(F.col(lang_col).isNotNull()), id_col, calibrate)
-    return calibrated(fit(by), [(str(r[0]), r[1]) for r in some.select(lang_col, text_col).collect() if r[1]])
-
+    return calibrated(fit(by), [(str(r[0]), r[1]) for r in known.where(apart).select(lang_col, text_col).collect() if r[1]])
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score, cross_entropy, rejected`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lookup = np.full(1 << ORDER * BITS, -1, np.int32)
-        lookup[m.keys] = np.arange(len(m.keys), dtype=np.int32)
-        for batch in batches:
-            for rows, texts in slices(batch, text_col):
-                if m.langs:
-                    ce, n = entropies(m, texts, lookup)
-                    best = ce.argmin(axis=1)
-                    own = ce[np.arange(len(best)), best]
-                    score = np.where(n > 0, posterior(ce, m.sharpness)[np.arange(len(best)), best], 0.0)
-                    limit = m.limit[best] if m.limit is not None else np.inf
-                    pred = [m.langs[k] if s else "und" for k, s in zip(best.tolist(), (n > 0).tolist(), strict=True)]
-                    off = (n == 0) | (own > limit)
-                else:
-                    pred, score, own, off = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
-                yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(pred, pa.string()), pa.array(score), pa.array(own), pa.array(off)], [id_col, "lang_pred", "score", "cross_entropy", "rejected"])
+def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, lang_pred, score, cross_entropy, rejected`` for every row.
 
+    Each pass over the texts brings the best language so far, its cross-entropy and the log of all languages' weights.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(float("inf")).alias("ce"), F.lit(float("-inf")).alias("z"))
+    sharpness = models.sharpness
+    passes = models.passes()
+    for number, parts in enumerate(passes):
+        shared, last = docs.sparkSession.sparkContext.broadcast(parts), number == len(passes) - 1
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            lookups = []
+            for m in shared.value:
+                lookups.append(np.full(1 << ORDER * BITS, -1, np.int32))
+                lookups[-1][m.keys] = np.arange(len(m.keys), dtype=np.int32)
+            for batch in batches:
+                for rows, texts in slices(batch, "text"):
+                    best, low, z = (rows.column(k) for k in ("lang", "ce", "z"))
+                    low, z = low.to_numpy().copy(), z.to_numpy().copy()
+                    for m, lookup in zip(shared.value, lookups, strict=True):
+                        ce, n = entropies(m, texts, lookup)
+                        at = ce.argmin(axis=1)
+                        own = ce[np.arange(len(at)), at]
+                        better = (n > 0) & (own < low)
+                        best = pc.if_else(pa.array(better), pa.array(m.langs, pa.string()).take(pa.array(at)), best)
+                        z = np.where(n > 0, np.logaddexp(z, np.logaddexp.reduce(-sharpness * ce, axis=1)), z)
+                        low = np.where(better, own, low)
+                    text = pa.nulls(len(rows), pa.string()) if last else rows.column("text")
+                    yield pa.RecordBatch.from_arrays([rows.column("id"), text, best, pa.array(low), pa.array(z)], ["id", "text", "lang", "ce", "z"])
+
+        found = mapped(found, run, f"id {kind}, text string, lang string, ce double, z double")
+    limits = F.create_map(*(x for k, v in models.limit.items() for x in (F.lit(k), F.lit(v)))) if models.limit else None
+    some = F.col("lang").isNotNull()
+    over = F.col("ce") > F.element_at(limits, F.col("lang")) if limits is not None else F.lit(False)
+    return found.select(
+        F.col("id").alias(id_col), F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.when(some, F.least(F.lit(1.0), F.exp(-F.col("ce") * sharpness - F.col("z")))).otherwise(0.0).alias("score"),
+        F.when(some, F.col("ce")).alias("cross_entropy"), (~some | F.coalesce(over, F.lit(False))).alias("rejected"),
+    )

@@ -1,20 +1,22 @@
 """Licence scan: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
 Every text is read whole, as lines and their sentences, runs of consecutive ones of these (up to the longest template's
-number of terms between the first and the last), blank-line paragraphs, and the text itself. A unit's licence is
-the template of the highest cosine of at least ``threshold``; a text's is that of its best unit. Terms are runs of
+number of terms between the first and the last), blank-line paragraphs, and the text itself. Templates are header
+notices, the titles and openings of licence files, and the whole terms of short licences. A unit's licence is
+the template of the highest cosine of at least ``threshold`` (of a template of up to three terms: ``TITLE``); a text's is that of its best unit. Terms are runs of
 letters and digits, lower-cased, weighted ``(1 + log tf) * idf``; document frequencies of template terms are counted
 over all texts, and other terms weigh as the median template term. Only units with one of the heavy terms of a template
 are scored: a unit with none of them cannot reach the threshold, as the rest of that template's vector is too short.
 
-A row is a licence file if its name says so (LICENSE, LICENCE, COPYING, COPYRIGHT, NOTICE) or its whole text is
-a template but for a few words. Rows without a licence of their own take that of the licence file in the nearest directory above them: paths
+A row is a licence file if its name says so (LICENSE, LICENCE, COPYING, COPYRIGHT, NOTICE), its whole text is
+a template but for a few words, or its notice makes up at least half of its terms. Rows without a licence of their own take that of the licence file in the nearest directory above them: paths
 are joined on their ancestors, after the distinct directories alone. Several licence files in a directory: the best
 score, then the smallest path.
 
-Result: ``id_col, path, license, score, line, origin`` (own, inherited, none), one row per input row. Null, empty and
-unmatched texts have no licence of their own; a null path inherits nothing. Ties between templates go to the first name
-in alphabetical order. An empty table gives an empty result. Other columns are not read.
+Result: ``id_col, path, license, score, line, origin`` (own, inherited, none), one row per input row, repeated rows
+included. Null, empty and unmatched texts have no licence of their own; a null path inherits nothing. Ties between
+templates go to the first name in alphabetical order, between units to the first. Very long texts are read like any other, in one pass over their lines.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,54 +31,84 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.session import cut
+
 from .frames import mapped
 from .text import hash_words, slices
 from .toxicity import WORDS
 
-#: Notices of well-known licences: fixed values. A licence may have several.
+#: Notices, titles, openings and short terms of well-known licences: fixed values. A licence may have several.
 TEMPLATES = {
     "AGPL-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU Affero General Public License, version 3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "Apache-2.0": [
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        'TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Released under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
     "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal."],
+    "BSL-1.0": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.',
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+    ],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal.", "Creative Commons Legal Code CC0 1.0 Universal"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"],
     "GPL-2.0": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "GPL-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0-or-later"],
     "MIT": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "MIT License",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "SPDX-License-Identifier: MIT",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "SPDX-License-Identifier: Zlib"],
 }
 #: Parts that the rows of one directory are dealt to.
 PARTS = 16
-#: Cosine of a whole text from which it is a licence file whatever its name.
-FILE = 0.85
+#: Cosine of a whole text from which it is a licence file whatever its name, and share of its terms that are in its notice.
+FILE, SHARE = 0.85, 0.5
+#: Least cosine to a template of up to three terms.
+TITLE = 0.95
 _TERM = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|copyright|notice)[^/]*$"
@@ -120,20 +152,24 @@ class Scanner:
         self.other = float(np.median(list(self.idf.values())))
         self.threshold = threshold
         self.templates = [(name, self.vector(text)) for name in sorted(templates) for text in templates[name]]
+        self.least = [threshold if len(v) > 3 else max(threshold, TITLE) for _, v in self.templates]
         heavy = set()
-        for _, v in self.templates:
+        for (_, v), least in zip(self.templates, self.least, strict=True):
             rest, order = 1.0, sorted(v, key=lambda t: (-v[t], t))
             for t in order:
-                if rest < threshold * threshold - 1e-9:
+                if rest < least * least - 1e-9:
                     break
                 heavy.add(t)
                 rest -= v[t] * v[t]
         self.heavy = frozenset(heavy)
         self.longest = max(len(_TERM.findall(text)) for texts in templates.values() for text in texts)
         self.by_term: dict[str, list[tuple[int, float]]] = {}
+        self.in_runs: dict[str, list[tuple[int, float]]] = {}  # of templates that may be spread over several pieces
         for k, (_, v) in enumerate(self.templates):
             for t, w in v.items():
                 self.by_term.setdefault(t, []).append((k, w))
+                if self.least[k] == threshold:
+                    self.in_runs.setdefault(t, []).append((k, w))
 
     def vector(self, text: str) -> dict[str, float]:
         v = {t: (1 + math.log(c)) * self.idf.get(t, self.other) for t, c in terms(text).items()}
@@ -148,11 +184,11 @@ class Scanner:
         for t, x in v.items():
             for k, w in self.by_term.get(t, ()):
                 score[k] += w * x
-        k = max(range(len(score)), key=lambda k: (score[k], -k))
-        return (min(1.0, score[k]), self.templates[k][0]) if score[k] >= self.threshold else None
+        k = max((k for k, x in enumerate(score) if x >= self.least[k] - 1e-12), key=lambda k: (score[k], -k), default=None)
+        return None if k is None else (min(1.0, score[k]), self.templates[k][0])
 
     def best_run(self, pieces: list[list[str]]) -> tuple[float, int, int]:
-        """Cosine, first and last of those consecutive pieces (lists of terms), two at least, that come closest to a template."""
+        """Cosine, first and last of those consecutive pieces (lists of terms), two at least, that come closest to a template that is no title."""
         total = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).tolist()
         cover, held = [0.0] * len(self.templates), {}  # of each template, what the terms in reach of a start are of its squared length
         best, last = (0.0, 0, 0), -1
@@ -160,10 +196,10 @@ class Scanner:
             while last + 1 < len(pieces) and (last <= i or total[last + 1] - total[i + 1] <= self.longest):
                 last += 1
                 for t in pieces[last]:
-                    if t in self.by_term:
+                    if t in self.in_runs:
                         held[t] = held.get(t, 0) + 1
                         if held[t] == 1:
-                            for k, w in self.by_term[t]:
+                            for k, w in self.in_runs[t]:
                                 cover[k] += w * w
             if own and max(cover) >= self.threshold * self.threshold - 1e-6:  # else no run from here can reach the threshold
                 count, score, norm = {}, [0.0] * len(self.templates), 0.0
@@ -173,29 +209,29 @@ class Scanner:
                         x = self.idf.get(t, self.other)
                         old, new = x * (1 + math.log(c - 1)) if c > 1 else 0.0, x * (1 + math.log(c))
                         norm += new * new - old * old
-                        for k, w in self.by_term.get(t, ()):
+                        for k, w in self.in_runs.get(t, ()):
                             score[k] += w * (new - old)
                     if j > i and pieces[j] and (s := max(score) / math.sqrt(norm)) > best[0] + 1e-12:
                         best = (s, i, j)
             for t in own:
-                if t in self.by_term:
+                if t in self.in_runs:
                     held[t] -= 1
                     if not held[t]:
-                        for k, w in self.by_term[t]:
+                        for k, w in self.in_runs[t]:
                             cover[k] -= w * w
         return best
 
     def scan(self, text: str) -> tuple[float, str, int, bool] | None:
         """Score, licence, 1-based line of the best unit, and whether the whole text matches."""
         found: tuple[float, str, int] | None = None
-        whole = self.best(text)
+        whole, notice = self.best(text), ""
         is_file = whole is not None and whole[0] >= FILE
 
         def offer(unit: str, line: int) -> None:
-            nonlocal found
+            nonlocal found, notice
             got = self.best(unit)
             if got and (found is None or got[0] > found[0] + 1e-12):
-                found = (*got, line)
+                found, notice = (*got, line), unit
 
         line, pieces = 1, []
         for paragraph in re.split(r"(\n[ \t\r]*\n)", text):
@@ -215,8 +251,8 @@ class Scanner:
         if s >= self.threshold - 1e-9:
             offer("\n".join(x for x, _ in pieces[a : b + 1]), pieces[a][1])
         if whole and (found is None or whole[0] >= found[0]):
-            return (*whole, 1, is_file)
-        return (*found, is_file) if found else None
+            return (*whole, 1, True)
+        return (*found, is_file or len(_TERM.findall(notice)) >= SHARE * len(_TERM.findall(text))) if found else None
 
 
 def scan(docs: DataFrame, path: Column, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +276,8 @@ def scan(docs: DataFrame, path: Column, threshold: float = 0.6, id_col: str = "d
 
 
 def inherit(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, path, license, score, line, origin`` from the rows of :func:`scan`."""
+    """``id_col, path, license, score, line, origin`` from the rows of :func:`scan`, which are kept: files, directories and rows come from one scan."""
+    found = cut(found)
     folder = F.regexp_replace("path", r"(^|/)[^/]*$", "")
     rows = found.withColumn("dir", folder)
     files = rows.where("is_file AND path IS NOT NULL").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own").alias("license"))).alias("file"))

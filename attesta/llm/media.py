@@ -1,13 +1,15 @@
 """Media columns: payloads cut at content-defined places, stored once per distinct chunk, and rebuilt from chunk lists.
 
 A payload is the text's UTF-8 bytes (null: none) with zero bytes up to a positive multiple of 64. A rolling gear hash
-over its bytes places the cuts: a chunk ends where the low ``mask_bits`` bits of the hash are zero, not before
+over its bytes places the cuts: a chunk ends where the top ``mask_bits`` bits of the hash are zero, not before
 ``least`` and not after ``most`` bytes. A chunk is stored as one zstd frame; the stored form of a document is the
 frames of its chunks in order. Frames are deduplicated by their payload digest, written to a table bucketed by digest in
 the warehouse, joined back to the ordered chunk lists and decoded; features and digests come from what was read back.
 A document whose rebuilt bytes differ from its payload fails the query.
 
-Equal payloads are rebuilt once and their results joined back to all rows, so a large group of copies costs one.
+Equal payloads are rebuilt once and their results joined back to all rows, so a large group of copies costs one. A
+chunk in more than one in ``HOT`` of all list rows (there are fewer than ``HOT`` such chunks, so their frames are bounded)
+is joined by broadcast. The store's table is dropped once the results are written to the shared folder.
 Empty texts have one chunk of 64 zero bytes. Repeated rows give repeated results. Very long texts are longer lists
 of chunks. Other columns are not read.
 """
@@ -31,6 +33,8 @@ from .frames import mapped, released
 from .text import raw, slices
 
 BLOCK = 64
+#: A chunk that is in more than this part of the list rows is joined by broadcast.
+HOT = 1000
 #: Digests that a task remembers having sent (about 70 bytes each).
 SENT = 200_000
 GEAR = np.random.default_rng(0x6EA2).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -121,8 +125,20 @@ def rebuilt(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     table = docs.sparkSession.table(name)
     lists = cut(chunked(docs, False, text_col).select("payload_md", "n_bytes", "n_seq", "seq", "digest").distinct())
     key = ["payload_md", "n_bytes", "n_seq"]
+    total = lists.count()
+    often = [r["digest"] for r in lists.groupBy("digest").count().where(F.col("count") > max(HOT, total // HOT)).collect()]  # fewer than HOT
+    if often:
+        hot = F.col("digest").isin(*map(F.lit, often))
+        frames = F.broadcast(table.where(hot))
+        rest, some = lists.where(~hot), lists.where(hot)
+        met = [(rest.where(w).hint("merge").join(table, "digest", "left")).unionByName(some.where(w).join(frames, "digest", "left")) for w in ("n_seq = 1", "n_seq > 1")]
+        return collected(*met, key)
     one = lists.where("n_seq = 1").hint("merge").join(table, "digest", "left")
     many = lists.where("n_seq > 1").hint("merge").join(table, "digest", "left")
+    return collected(one, many, key)
+
+
+def collected(one: DataFrame, many: DataFrame, key: list[str]) -> DataFrame:
     parts = F.struct("seq", "frame")
     return one.select(*key, F.array(parts).alias("frames")).union(many.groupBy(*key).agg(F.sort_array(F.collect_list(parts)).alias("frames")))
 
@@ -179,4 +195,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (64 << 20)))
     name = store(docs, buckets, text_col)
-    return members(docs, id_col, text_col).join(features(rebuilt(docs, name, text_col)), ["payload_md", "n_bytes"]).drop("payload_md")
+    out = cut(members(docs, id_col, text_col).join(features(rebuilt(docs, name, text_col)), ["payload_md", "n_bytes"]).drop("payload_md"))
+    spark.sql(f"DROP TABLE {name}")
+    return out

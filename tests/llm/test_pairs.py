@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attesta.llm import decontaminate, jaccard, passages, queries
@@ -326,7 +327,7 @@ def test_decontamination(spark):
     docs = docs_of(spark, texts)
     table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(x.doc_id, x.item_id): x for x in decontaminate.find(docs, table).collect()}
-    want = {(0, 0), (0, 9), (1, 1), (2, 2), *((8 + k, 3) for k in range(40))}
+    want = {(0, 0), (0, 9), (1, 1), (2, 2), (6, 6), *((8 + k, 3) for k in range(40))}
     assert set(got) == want and got[0, 0].score == 1.0 and got[2, 2].score == 1.0 and 0.5 <= got[1, 1].score < 1
     assert (got[0, 0].start_word, got[0, 0].end_word) == (100, 140)
     assert {x.doc_id for x in decontaminate.drop_contaminated(docs, table).collect()} == set(range(len(texts))) - {d for d, _ in want}
@@ -346,6 +347,20 @@ def test_edited_copies_among_many_exact_ones(spark):
     assert got[20, 0] == (0.7125, 30) and got[21, 1] == (0.6, 30)
 
 
+def test_short_items_and_long_passages(spark, monkeypatch):
+    r = random.Random(18)
+    item = prose(30, r)
+    far = " ".join(w + (" zzz" * 3 if k % 9 == 8 else "") for k, w in enumerate(item.split()))
+    texts = [" ".join(" ".join(item.split()[k % 27 : k % 27 + 4]) + " " + prose(6, r) for k in range(600)) + " " + far + " " + prose(5, r)]
+    texts += ["Exact Match here", "exact, match", "exact no match", "match " * 5000, None]
+    table = spark.createDataFrame([(0, item), (1, "exact match"), (2, "MATCH!"), (3, "..."), (4, None)], "item_id long, text string")
+    want = {(x.doc_id, x.item_id): x for x in decontaminate.find(docs_of(spark, texts), table).collect()}
+    assert set(want) == {(0, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (4, 2)} and (want[1, 1].start_word, want[1, 1].end_word) == (0, 2)
+    monkeypatch.setattr(decontaminate, "STRETCH", 16)
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.find(docs_of(spark, texts), table).collect()}
+    assert got == want and want[0, 0].score > 0.6
+
+
 def test_blocks_of_items(spark, monkeypatch):
     r = random.Random(8)
     items = [prose(30, r) for _ in range(12)]
@@ -384,6 +399,16 @@ def test_pipeline_on_odd_rows(spark):
     assert corpus_pipeline.no_benchmark(spark, docs, SF).count() == 5
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("key", "text_hash", "spans", "kept_key", "score", "member", "ids")}).withColumn("doc_id", F.when(F.col("doc_id") != 2, F.col("doc_id")))
+    twice = clash.union(clash)
+    rows = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    every, once = rows(twice), sorted(set(rows(twice)) - {("3", "a")})
+    for stage in (corpus_pipeline.good_quality, corpus_pipeline.passages_once, corpus_pipeline.no_benchmark):
+        assert stage(spark, twice, SF).columns == clash.columns
+    assert rows(corpus_pipeline.passages_once(spark, twice, SF)) == every and rows(corpus_pipeline.no_benchmark(spark, twice, SF)) == every
+    kept = corpus_pipeline.one_of_each_group(spark, twice, SF)
+    assert kept.columns == clash.columns and rows(kept) == sorted([x for x in once if x != ("None", "a")])
+    assert corpus_pipeline.token_ids(spark, twice, SF).count() == 10
 
 
 def test_queries_are_registered():
