@@ -1,4 +1,4 @@
-"""A small causal self-attention language model over subword ids in numpy: one block, two-level softmax, manual gradients.
+"""A small causal self-attention language model over subword ids in numpy: one layer, two-level softmax, manual gradients.
 
 An id belongs to a cluster; its probability is that of its cluster times that of the id within it. In either half of the
 vocabulary (ids that continue a word, ids that begin one or end the text) the ``HEAD`` most frequent ids share clusters
@@ -17,8 +17,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 W, S = 32, 24
-#: Width of states and of the hidden layer; ids of one cluster; frequent ids of either half; rows shared by the other ids.
-D, HIDDEN, M, HEAD, SHARED = 16, 16, 24, 384, 128
+#: Width of states; ids of one cluster; frequent ids of either half; rows shared by the other ids.
+D, M, HEAD, SHARED = 16, 24, 384, 128
 #: Clusters of one half (the last holds its rare ids), and rows of a block of states that are compared with one cluster.
 HALF_CLUSTERS, R = HEAD // M + 1, 64
 CLUSTERS, ROWS = 2 * HALF_CLUSTERS, 2 * HEAD + SHARED
@@ -26,7 +26,7 @@ CLUSTERS, ROWS = 2 * HALF_CLUSTERS, 2 * HEAD + SHARED
 LIMIT = np.float32(60)
 _MASK = np.triu(np.full((W, W), -1e9, np.float32), 1)[W - S :]
 SHAPES = {
-    "E": (ROWS, D), "P": (W, D), "K": (D, D), "A": (D, D), "F": (D, HIDDEN), "f": (HIDDEN,), "G": (HIDDEN, D),
+    "E": (ROWS, D), "P": (W, D), "K": (D, D), "A": (D, D),
     "C": (D, CLUSTERS), "c": (CLUSTERS,), "O": (2 * HEAD // M, M, D), "o": (2 * HEAD // M, M),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -78,7 +78,7 @@ def fresh(counts: np.ndarray, start: int, seed: int = 11) -> Net:
     rng = np.random.default_rng(seed)
     flat = np.zeros(SIZE, np.float32)
     p = views(flat)
-    for name, scale in (("E", 0.3), ("P", 0.1), ("K", D**-0.5), ("A", 0.5 * D**-0.5), ("F", D**-0.5), ("G", 0.5 * HIDDEN**-0.5), ("C", 0.5 * D**-0.5), ("O", 0.5 * D**-0.5)):
+    for name, scale in (("E", 0.3), ("P", 0.1), ("K", D**-0.5), ("A", 0.5 * D**-0.5), ("C", 0.5 * D**-0.5), ("O", 0.5 * D**-0.5)):
         p[name][:] = rng.standard_normal(p[name].shape) * scale
     p["o"][:] = -20.0  # places of clusters that no id takes
     for side, low in ((0, half), (1, 0)):  # ids that begin a word come first in the clusters
@@ -130,6 +130,16 @@ def bounded(logits: np.ndarray) -> np.ndarray:
     return np.clip(logits, -LIMIT, LIMIT, out=logits)
 
 
+def longest(rows: np.ndarray) -> float:
+    """The length of the longest row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
+
+
+def safe(states: float, weights: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether no logit of a state of at most this length can reach the limit."""
+    return states * longest(weights.reshape(-1, D)) + max(float(np.abs(biases).max()), 0.0) < LIMIT
+
+
 def hidden(net: Net, inputs: np.ndarray, keep: bool = False):
     """States before the softmax of the last ``S`` positions of windows of input ids, a row each."""
     p = net.p
@@ -146,12 +156,9 @@ def hidden(net: Net, inputs: np.ndarray, keep: bool = False):
     total = s.reshape(-1, W) @ np.ones(W, s.dtype)
     u = (s @ x).reshape(-1, D)
     u /= total[:, None]
-    y = last + u @ p["A"]
-    r = y @ p["F"]
-    r += p["f"]
-    np.maximum(r, 0, out=r)
-    z = y + r @ p["G"]
-    return (z, (x, last, q, k, s, total, u, y, r)) if keep else z
+    z = u @ p["A"]
+    z += last
+    return (z, (x, q, k, s, total, u)) if keep else z
 
 
 class Dealt:
@@ -174,20 +181,20 @@ class Dealt:
         return out.reshape(-1, R, rows.shape[1])
 
 
-def member_logits(p: dict[str, np.ndarray], dealt: Dealt, z: np.ndarray):
+def member_logits(p: dict[str, np.ndarray], dealt: Dealt, z: np.ndarray, far: float):
     """Exponentials of the logits within clusters of dealt states, and the states and weights of the blocks."""
     states, weights = dealt.spread(z), p["O"].take(dealt.which, axis=0)
     g = states @ weights.transpose(0, 2, 1)
     g += p["o"].take(dealt.which, axis=0)[:, None]
-    return np.exp(bounded(g), out=g).reshape(-1, M), states, weights
+    return np.exp(g if safe(far, p["O"], p["o"]) else bounded(g), out=g).reshape(-1, M), states, weights
 
 
 def log_probabilities(net: Net, z: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probabilities of target ids given states, a row each, and of any id that begins a word."""
     p = net.p
-    logits = z @ p["C"]
+    logits, far = z @ p["C"], longest(z)
     logits += p["c"]
-    e = np.exp(bounded(logits), out=logits)
+    e = np.exp(logits if safe(far, p["C"].T, p["c"]) else bounded(logits), out=logits)
     total = np.log(e @ np.ones(CLUSTERS, e.dtype))
     begins = np.log(e[:, :HALF_CLUSTERS] @ np.ones(HALF_CLUSTERS, e.dtype)) - total
     out = np.log(e.ravel().take(np.arange(len(z)) * CLUSTERS + net.cluster.take(targets))) - total
@@ -196,7 +203,7 @@ def log_probabilities(net: Net, z: np.ndarray, targets: np.ndarray) -> tuple[np.
     some = np.flatnonzero(block >= 0)
     if len(some):
         dealt = Dealt(block[some])
-        g, _, _ = member_logits(p, dealt, z.take(some, axis=0))
+        g, _, _ = member_logits(p, dealt, z.take(some, axis=0), far)
         own = np.log(g.ravel().take(dealt.slot * M + net.member.take(targets[some[dealt.order]])))
         own -= np.log((g @ np.ones(M, g.dtype)).take(dealt.slot))
         out[some[dealt.order]] += own
@@ -219,15 +226,15 @@ def score(net: Net, ids: np.ndarray, first: np.ndarray, at_once: int = 512) -> t
 def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean loss over the used positions of some windows, and its gradient as a flat vector."""
     p = net.p
-    z, (x, last, q, k, s, total, u, y, r) = hidden(net, inputs, keep=True)
+    z, (x, q, k, s, total, u) = hidden(net, inputs, keep=True)
     flat = np.zeros_like(net.flat)
     g = views(flat)
     spots = np.flatnonzero(use.ravel())
     n = len(spots)
     zs, ts = z.take(spots, axis=0), targets.ravel()[spots]
-    e = zs @ p["C"]
+    e, far = zs @ p["C"], longest(zs)
     e += p["c"]
-    np.exp(bounded(e), out=e)
+    np.exp(e if safe(far, p["C"].T, p["c"]) else bounded(e), out=e)
     e /= (e @ np.ones(CLUSTERS, e.dtype))[:, None]
     pick = np.arange(n) * CLUSTERS + net.cluster.take(ts)
     loss = -np.log(e.ravel().take(pick) + 1e-30).sum(dtype=np.float64) - net.rare.take(ts).sum(dtype=np.float64)
@@ -239,7 +246,7 @@ def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray
     some = np.flatnonzero(block >= 0)
     if len(some):
         dealt = Dealt(block[some])
-        m, states, weights = member_logits(p, dealt, zs.take(some, axis=0))
+        m, states, weights = member_logits(p, dealt, zs.take(some, axis=0), far)
         m /= (m @ np.ones(M, m.dtype))[:, None]
         pick = dealt.slot * M + net.member.take(ts[some[dealt.order]])
         loss -= np.log(m.ravel().take(pick) + 1e-30).sum(dtype=np.float64)
@@ -255,13 +262,8 @@ def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray
         dz[to] += (m @ weights).reshape(-1, D).take(dealt.slot, axis=0)
     full = np.zeros_like(z)
     full[spots] = dz
-    g["G"][:] = r.T @ full
-    dr = full @ p["G"].T
-    dr *= r > 0
-    g["F"][:], g["f"][:] = y.T @ dr, dr.sum(axis=0)
-    dy = full + dr @ p["F"].T
-    g["A"][:] = u.T @ dy
-    du = dy @ p["A"].T
+    g["A"][:] = u.T @ full
+    du = full @ p["A"].T
     du /= total[:, None]
     # with weights w = s / total: ds = w (dw - sum(w dw)), and the sum is that of u du over the columns
     inner = np.einsum("ij,ij->i", u, du)
@@ -276,7 +278,7 @@ def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray
     dx += (dk @ p["K"].T).reshape(x.shape)
     own = dx[:, W - S :]
     own += ds @ k
-    own += dy.reshape(q.shape)
+    own += full.reshape(q.shape)
     g["P"][:] = dx.sum(axis=0)
     dx = dx.reshape(-1, D)
     at = net.row.take(inputs.ravel())

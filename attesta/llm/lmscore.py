@@ -56,7 +56,7 @@ END = VOCABULARY - 1
 #: Ids that training sees at least, in several passes if need be, and the most passes.
 PASS_IDS, PASSES = 12 << 20, 6
 #: Weights that the counts may get.
-WEIGHTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+WEIGHTS = (0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.7)
 _VALUES = np.random.default_rng(0x1D5).integers(0, 1 << 63, VOCABULARY, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -75,7 +75,7 @@ class Subwords:
         for t in self.pieces:
             for n in range(1, len(t) + 1):
                 nodes.setdefault(t[:n], len(nodes) + 1)
-        after, self.accepts = np.zeros((len(nodes) + 1, 256), np.int32), np.full(len(nodes) + 1, -1, np.int32)
+        after, self.accepts = np.zeros((len(nodes) + 1, 256), np.int16), np.full(len(nodes) + 1, -1, np.int32)
         for t, k in nodes.items():
             if t:
                 after[nodes[t[:-1]], t[-1]] = k
@@ -89,7 +89,7 @@ class Subwords:
         piece, size = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
         walk, node, pos = np.arange(len(at)), np.ones(len(at), np.int64), at
         for n in range(1, LONGEST + 1):
-            node = self.after.take(node * 256 + data.take(pos))
+            node = self.after.take(node * 256 + data.take(pos)).astype(np.int64)
             go = np.flatnonzero(node)
             if len(go) < len(node):
                 walk, node, pos = walk.take(go), node.take(go), pos.take(go)
@@ -100,7 +100,7 @@ class Subwords:
             go = np.flatnonzero(pos < ends.take(walk))
             if not len(go):
                 break
-            walk, node, pos = walk.take(go), node.take(go).astype(np.int64), pos.take(go)
+            walk, node, pos = walk.take(go), node.take(go), pos.take(go)
         return piece, size
 
     def split(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,10 +293,12 @@ def network_tokens(net: attention.Net, ids: np.ndarray, first: np.ndarray, begin
     return out
 
 
-def mixed(network: np.ndarray, frequency: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of the mixture of probabilities, the network's given as natural logarithms."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(network + math.log1p(-weight), np.log(frequency) + math.log(weight)) / math.log(10)
+def mixed(network: np.ndarray, probability: np.ndarray, frequency: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of the mixture of probabilities; the network's are given as natural logarithms and as they are."""
+    out = np.log10(np.maximum(probability * (1 - weight) + frequency * weight, 1e-300))
+    tiny = np.flatnonzero((probability < 1e-280) & (frequency <= 0))  # long words that were never seen: too little for a float
+    out[tiny] = (network[tiny] + math.log1p(-weight)) / math.log(10)
+    return out
 
 
 def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,12 +341,13 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col:
                 return np.add.reduceat(x, at[:-1])
 
             base = by_text(np.log10((c + 0.5) / bottom))
+            probability, share, others = np.exp(network), c / max(total, 1), np.maximum(c - 1, 0) / max(total - 1, 1)
             scores, without = np.zeros((len(first) - 1, len(WEIGHTS))), np.zeros((len(first) - 1, len(WEIGHTS)))
             learnt = np.repeat(~part.column("held").to_numpy(zero_copy_only=False), np.diff(at))
             for k, w in enumerate(WEIGHTS if total else ()):
-                scores[:, k] = by_text(mixed(network, c / total, w))
+                scores[:, k] = by_text(mixed(network, probability, share, w))
                 if total > 1:  # what the text itself has added to the counts is left out, a word at a time
-                    without[:, k] = by_text(np.where(learnt, mixed(network, np.maximum(c - 1, 0) / (total - 1), w), 0.0))
+                    without[:, k] = by_text(mixed(network, probability, others, w) * learnt)
             lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(WEIGHTS)), pa.array(x.ravel())) for x in (scores, without))
             columns = (part.column("key"), part.column("held"), np.diff(at), by_text((c > 0).astype(np.int64)), base, by_text(network) / math.log(10), *lists)
             out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names))
