@@ -210,7 +210,7 @@ def log_probabilities(net: Net, z: np.ndarray, targets: np.ndarray) -> tuple[np.
     return out, begins
 
 
-def score(net: Net, ids: np.ndarray, first: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def score(net: Net, ids: np.ndarray, first: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of every id given those before it in its sequence, and of any word's beginning at its place."""
     out, begins = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
     all_of = Windows(ids, first, net.start)

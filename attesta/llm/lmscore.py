@@ -46,8 +46,8 @@ from .frames import bucket, mapped
 from .lookup import Lookup
 from .text import BY_SPACE, _power, mix, raw, slices, tokens
 
-#: Bytes of text in a block; distinct words in a row of a block's counts; ids that training and scoring handle at once.
-BLOCK, LISTED, AT_ONCE = 16 << 20, 1 << 16, 1 << 20
+#: Bytes of text in a block; distinct words in a row of a block's counts; ids that training draws windows from, and ids (or bytes) handled at once.
+BLOCK, LISTED, DRAWN, AT_ONCE = 16 << 20, 1 << 16, 1 << 20, 1 << 17
 #: Pieces of the vocabulary, the bytes of the longest, and of words that are split by another way than side by side.
 PIECES, LONGEST, LONG_WORD = 2047, 8, 64
 HALF = PIECES + 1
@@ -255,7 +255,7 @@ def train(rows: DataFrame, counts: np.ndarray, rounds: int = 3) -> attention.Net
                     for _, ids, first in streams(batch):
                         held.append((ids, first))
                         size += len(ids)
-                        if size >= AT_ONCE:
+                        if size >= DRAWN:
                             yield joined(held)
                             held, size = [], 0
                 if held:
@@ -295,9 +295,11 @@ def network_tokens(net: attention.Net, ids: np.ndarray, first: np.ndarray, begin
 
 def mixed(network: np.ndarray, probability: np.ndarray, frequency: np.ndarray, weight: float) -> np.ndarray:
     """log10 of the mixture of probabilities; the network's are given as natural logarithms and as they are."""
-    out = np.log10(np.maximum(probability * (1 - weight) + frequency * weight, 1e-300))
-    tiny = np.flatnonzero((probability < 1e-280) & (frequency <= 0))  # long words that were never seen: too little for a float
-    out[tiny] = (network[tiny] + math.log1p(-weight)) / math.log(10)
+    x = probability * np.float32(1 - weight)
+    x += frequency * np.float32(weight)
+    tiny = np.flatnonzero(x < 1e-30)  # long words that were never seen: too little for a float
+    out = np.log10(np.maximum(x, np.float32(1e-30), out=x), out=x).astype(np.float64)
+    out[tiny] = np.logaddexp(network[tiny] + math.log1p(-weight), np.log(np.maximum(frequency[tiny], 1e-300)) + math.log(weight)) / math.log(10)
     return out
 
 
@@ -341,7 +343,7 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col:
                 return np.add.reduceat(x, at[:-1])
 
             base = by_text(np.log10((c + 0.5) / bottom))
-            probability, share, others = np.exp(network), c / max(total, 1), np.maximum(c - 1, 0) / max(total - 1, 1)
+            probability, share, others = (x.astype(np.float32) for x in (np.exp(network), c / max(total, 1), np.maximum(c - 1, 0) / max(total - 1, 1)))
             scores, without = np.zeros((len(first) - 1, len(WEIGHTS))), np.zeros((len(first) - 1, len(WEIGHTS)))
             learnt = np.repeat(~part.column("held").to_numpy(zero_copy_only=False), np.diff(at))
             for k, w in enumerate(WEIGHTS if total else ()):
