@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators import checking, chunking, claims, report, scoring, spans
+from attesta.operators import checking, chunking, claims, report, reporting, scoring, spans
 from attesta.schemas import TYPES
+from attesta.plans import pipeline
 from attesta.sources.replies import ruled, ruled_claims
 
 CHUNK_TOKENS = 1000
@@ -169,9 +170,31 @@ def replies_of(spark, sf_dir):
     return ruled(chunks_of(spark, sf_dir))
 
 
+#: How each eleventh reply is spoilt, by rest; the others are sound, the last of them with other keys.
+SPOILT = {1: " more", 2: "", 3: '{"facts": [{"id": "1"}]}', 4: '{"facts": [{"id": 9223372036854775808}]}', 5: '{"facts": 3}', 6: '{"facts": [], "x": NaN}'}
+
+
+def spoilt(spark, sf_dir):
+    k = (F.col("doc_id") + F.col("chunk_no")) % 11
+    content = F.when(k == 1, F.concat("content", F.lit(SPOILT[1])))
+    for n in range(2, 7):
+        content = content.when(k == n, F.lit(SPOILT[n]))
+    content = content.when(k == 8, F.concat("content", F.lit(claims.TRACE_MARKERS[1])))
+    content = content.when(k == 9, F.concat(F.lit('{"facts": [{"id": 3000000000}], "FACTS": '), F.substring("content", 10, 1 << 30)))
+    return replies_of(spark, sf_dir).withColumns({"content": content.otherwise(F.col("content")), "done_reason": F.when(k == 7, F.lit("length")).otherwise(F.col("done_reason"))})
+
+
+@query
+def q_dead_letter(spark, sf_dir):
+    """Replies that cannot be used, which the dead letter takes, and how many are left of the document."""
+    parsed = claims.parse(spoilt(spark, sf_dir))
+    return parsed.groupBy("doc_id").agg(F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.max("reason").alias("reason"))
+
+
 @query
 def q_parse_replies(spark, sf_dir):
-    return claims.parse(replies_of(spark, sf_dir)).select("doc_id", long(F.col("chunk_no")).alias("chunk_no"), "reason", long(F.size("facts")).alias("facts"))
+    """Replies of which some are cut short, leak a trace or are spoilt in one of several ways."""
+    return claims.parse(spoilt(spark, sf_dir)).select("doc_id", long(F.col("chunk_no")).alias("chunk_no"), "reason", long(F.size("facts")).alias("facts"))
 
 
 @query
@@ -185,7 +208,7 @@ def q_token_accounting(spark, sf_dir):
 def verified_of(spark, sf_dir):
     """Claims of the rule's replies checked against their chunk, without the way through JSON."""
     met = chunks_of(spark, sf_dir).withColumn("pass_no", F.lit(1)).withColumn("facts", ruled_claims(F.col("chunk_text"), F.col("doc_id") + F.col("chunk_no")))
-    return claims.exploded(met.withColumn("facts", F.transform("facts", lambda f: spans.verified(f, F.col("chunk_text")))))
+    return claims.exploded(claims.checked(met))
 
 
 def placed_of(spark, sf_dir):
@@ -204,6 +227,13 @@ def q_verify_replies(spark, sf_dir):
     return claims.verify_counts(claims.verify(claims.parse(ruled(pieces)), pieces))
 
 
+@query
+def q_extract(spark, sf_dir):
+    """The whole plan, from texts by way of JSON replies to results."""
+    made = pipeline.extract(texts(spark, sf_dir).where(~T.is_blank(F.col("text"))), ruled, CHUNK_TOKENS, on_error="capture")["results"]
+    return made.select("doc_id", *(F.col(f"result.summary.{k}").cast("bigint").alias(k) for k in ("total", "verbatim", "inferred", "failed_citations", "unlocated")), long(F.size("result.verbatim_facts")).alias("cited"), long(F.size("result.inferred_facts")).alias("listed"))
+
+
 @query
 def q_verify_counts(spark, sf_dir):
     return claims.verify_counts(verified_of(spark, sf_dir))
@@ -251,12 +281,12 @@ def q_result_json(spark, sf_dir):
 
 
 def gold_of(spark, sf_dir):
-    """Gold spans for every document: each tenth sentence upper-cased, and a benchmark item that most documents lack."""
+    """Gold spans for every document: each sentence upper-cased, and for some a benchmark item that most documents lack."""
     docs = texts(spark, sf_dir).where(~T.is_blank(F.col("text")))
-    own = docs.select("doc_id", F.posexplode(chunking.sentences(T.trim_ws(F.col("text")))).alias("gold_no", "s")).where("gold_no % 10 = 0")
-    own = own.select("doc_id", "gold_no", T.shout(F.col("s")).alias("verbatim"), F.element_at(F.array(*map(F.lit, TYPES)), (F.col("gold_no") / 10 % 7).cast("int") + 1).alias("type"))
+    own = docs.select("doc_id", F.posexplode(chunking.sentences(T.trim_ws(F.col("text")))).alias("gold_no", "s"))
+    own = own.select("doc_id", "gold_no", T.shout(F.col("s")).alias("verbatim"), F.element_at(F.array(*map(F.lit, TYPES)), (F.col("gold_no") % 7).cast("int") + 1).alias("type"))
     items = table(spark, sf_dir, "benchmark")
-    lacking = docs.select("doc_id").where("doc_id % 7 = 0").join(items, F.col("doc_id") / 7 == F.col("item_id")).select("doc_id", F.lit(1000000).alias("gold_no"), F.col("text").alias("verbatim"), F.lit(None).cast("string").alias("type"))
+    lacking = docs.select("doc_id").join(items, F.col("doc_id") == F.col("item_id") * 7).select("doc_id", F.lit(1000000).alias("gold_no"), F.col("text").alias("verbatim"), F.lit(None).cast("string").alias("type"))
     return own.union(lacking).withColumn("case", F.col("doc_id"))
 
 
@@ -280,6 +310,26 @@ def q_run_totals(spark, sf_dir):
     return scoring.run_totals(scores_of(spark, sf_dir))
 
 
+def records_of(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    by_case = lambda df: df.withColumnRenamed("doc_id", "case")
+    return scoring.case_records(scores_of(spark, sf_dir), by_case(claims.verify_counts(verified_of(spark, sf_dir))), by_case(claims.accounting(replies_of(spark, sf_dir))), by_case(chunks), None)
+
+
+@query
+def q_case_records(spark, sf_dir):
+    names = ("case", "pass", "gold", "matched", "missed", "unanchored", "extracted", "type_mismatch", "inferred", "fabricated", "chunks", "prompt_tokens", "eval_tokens", "extra_requests")
+    return records_of(spark, sf_dir).select(*names, *(F.col(f"verify.{k}").alias(k) for k in ("exact", "repaired", "dropped")), F.element_at(reporting.case_lines(), 1).alias("line"))
+
+
+@query
+def q_run_record(spark, sf_dir):
+    """One row for the whole run; its time is left out."""
+    records = records_of(spark, sf_dir)
+    made = pipeline.run_record(records, scoring.run_totals(records), "m", False, 1, CHUNK_TOKENS, 4096, 12)
+    return made.select("model", "think", long(F.col("passes")).alias("passes"), long(F.col("num_ctx")).alias("num_ctx"), "pass", long(F.size("cases")).alias("listed"), *(F.col(f"totals.{k}").alias(k) for k in ("cases", "passed", "gold", "matched", "missed", "extracted", "fabricated")))
+
+
 @query
 def q_scoreboard(spark, sf_dir):
     orders = table(spark, sf_dir, "lineitem")
@@ -302,16 +352,27 @@ def q_locate_items(spark, sf_dir):
 
 
 def flawed_of(spark, sf_dir):
-    """Placed claims as a result's rows, with a flaw planted by document: a type, a number, a span, a position, a place."""
-    k = F.col("doc_id") % 6
-    first = F.col("id") == 1
-    rows = placed_of(spark, sf_dir)
+    """Placed claims as a result's rows, with one flaw planted in each document but every fifteenth, a kind for each rule."""
+    own = Window.partitionBy("doc_id")
+    kind = F.col("doc_id") % 15
     cited = F.col("verbatim").isNotNull()
+    rows = placed_of(spark, sf_dir).withColumn("cited", cited)
+    rows = rows.withColumns({"__cited": F.min(F.when(cited, F.col("id"))).over(own), "__inferred": F.min(F.when(~cited, F.col("id"))).over(own), "__first": F.min(F.when(F.col("id") == 1, F.col("fact"))).over(own)})
+
+    def flaw(k: int, at: str, new: Column, otherwise: Column) -> Column:
+        return F.when((kind == k) & (F.col("id") == (F.col(at) if at.startswith("__") else F.lit(int(at)))), new).otherwise(otherwise)
+
+    place = F.col("position")
+
+    def moved(line: Column, column: Column) -> Column:
+        return F.when(place.isNotNull(), F.struct(line.alias("line"), column.alias("column")))
+
+    verbatim = flaw(5, "__inferred", F.col("fact"), flaw(7, "__cited", F.lit(None), flaw(8, "__cited", T.shout(F.col("verbatim")), flaw(9, "__cited", F.concat(F.lit('"'), "verbatim", F.lit('"!')), flaw(10, "__cited", F.concat(F.lit("Zq "), "verbatim"), F.col("verbatim"))))))
+    position = flaw(11, "__cited", moved(F.lit(0), place["column"]), flaw(12, "__cited", moved(place["line"] + 1000, place["column"]), flaw(13, "__cited", moved(place["line"], place["column"] + 1), place)))
     return rows.select(
-        "doc_id", (F.col("id") - 1 + F.when(cited, F.lit(0)).otherwise(F.lit(1000000))).alias("ord"), F.when((k == 1) & (F.col("id") == 2), F.lit(1)).otherwise(F.col("id")).alias("id"), "fact",
-        F.when((k == 2) & first, F.lit("guess")).otherwise(F.col("type")).alias("type"), "confidence",
-        F.when((k == 3) & first & cited, F.concat(F.lit("Zq "), "verbatim")).when((k == 4) & first & cited, T.shout(F.col("verbatim"))).otherwise(F.col("verbatim")).alias("verbatim"),
-        F.when((k == 5) & first, F.when(F.col("position").isNotNull(), F.struct((F.col("position.line") + 1000).alias("line"), F.col("position.column").alias("column")))).otherwise(F.col("position")).alias("position"), cited.alias("cited"),
+        "doc_id", (F.col("id") - 1 + F.when(F.col("cited"), F.lit(0)).otherwise(F.lit(1000000))).alias("ord"), flaw(14, "2", F.lit(1), F.col("id")).alias("id"),
+        flaw(1, "__cited", F.lit(" "), flaw(4, "2", F.upper("__first"), F.col("fact"))).alias("fact"), flaw(2, "__cited", F.lit("guess"), F.col("type")).alias("type"),
+        flaw(3, "__cited", F.lit("sure"), F.col("confidence")).alias("confidence"), verbatim.alias("verbatim"), position.alias("position"), "cited",
     )
 
 
@@ -348,16 +409,35 @@ def q_check_summary(spark, sf_dir):
     return checking.summary_problems(decoded, rows).withColumn("step", long(F.col("step")))
 
 
+def checked_of(spark, sf_dir):
+    made = report.build(placed_of(spark, sf_dir), texts(spark, sf_dir)).select("doc_id", report.encode(F.col("result")).alias("content"))
+    return checking.check(made, texts(spark, sf_dir))
+
+
 @query
 def q_check_results(spark, sf_dir):
     """Whole results encoded, strictly decoded and checked against their sources."""
-    made = report.build(placed_of(spark, sf_dir), texts(spark, sf_dir)).select("doc_id", report.encode(F.col("result")).alias("content"))
-    out = checking.check(made, texts(spark, sf_dir))
-    return out.select("doc_id", "facts", "checked", "null_inferred", "failed_citations", "unlocated", "error", "ok")
+    return checked_of(spark, sf_dir).select("doc_id", "facts", "checked", "exact", "recased", "edge_dirty", "null_inferred", "failed_citations", "positioned", "unlocated", "error", "ok")
+
+
+@query
+def q_check_lines(spark, sf_dir):
+    """What a person reads about each checked result."""
+    return reporting.check_lines(checked_of(spark, sf_dir)).select("doc_id", F.concat_ws("\n", F.slice("lines", 1, 3), F.element_at("lines", -1)).alias("lines"))
+
+
+#: Would-be results, by rest of the number, and what the decoder says of each.
+RESULTS = {
+    1: "{}", 2: '{"facts": []}', 3: '{"summary": {"total": 1.5}}', 4: '{"verbatim_facts": [{"id": 9223372036854775807, "position": {"line": 1}}]} more', 5: '{"inferred_facts": {}}',
+    6: '{"SUMMARY": null, "inferred_facts": [{"verbatim": null, "fact": 3}]}', 7: '{"verbatim_facts": [{"positions": null}]}', 8: "null", 9: "[1]",
+}
 
 
 @query
 def q_strict_decode(spark, sf_dir):
-    """Properties of events as would-be results: none is one."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("content"))
-    return checking.decode(rows).select("doc_id", "error")
+    """Would-be results: properties of events, and some that are results or nearly so."""
+    content = F.col("props")
+    for k, text in RESULTS.items():
+        content = F.when(F.col("event_id") % 10 == k, F.lit(text)).otherwise(content)
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), content.alias("content"))
+    return checking.decode(rows).select("doc_id", "error", long(F.size("decoded.verbatim_facts")).alias("cited"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space, and the narrow set that ends a sentence: fixed values.
@@ -17,9 +17,6 @@ NARROW = r"[ \t\n\r]"
 #: Signs that stand for one quotation mark or one dash when spans are compared: fixed values.
 QUOTES = "'\"\u2018\u2019\u201a\u201c\u201d\u201e\u00ab\u00bb\u0060\u00b4"
 DASHES = "-\u2013\u2014\u2212"
-#: Lower-case letters with more forms than one upper-case letter.
-MORE_FORMS = {"k": "kK\u212a", "i": "iI\u0130", "å": "åÅ\u212b", "ω": "ωΩ\u2126", "ß": "ß\u1e9e", "θ": "θΘ\u03f4", "ǆ": "ǆǄǅ", "ǉ": "ǉǇǈ", "ǌ": "ǌǊǋ", "ǳ": "ǳǱǲ"}
-
 
 def trim_ws(c: Column) -> Column:
     """Without Unicode white space at the ends (``trim`` takes spaces alone)."""
@@ -102,31 +99,28 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _classes(escaped: Column) -> Column:
-    """Dashes, quotation marks and spaces of an escaped span as the classes that they stand for."""
-    dashes = F.replace(escaped, F.lit("-"), F.lit(r"[\-" + DASHES[1:] + "]"))
-    letters = F.replace(dashes, F.lit("ß"), F.lit("[ß\u1e9e]"))  # the one pair that case-blind matching does not know
-    return F.replace(F.replace(letters, F.lit('"'), F.lit("[" + QUOTES + "]")), F.lit(" "), F.lit(WS + "+"))
-
-
-def wide_pattern(folded: Column) -> Column:
-    """A regular expression that finds all that folds to ``folded``, and a little more: it takes letters of one upper case for equal."""
-    return F.concat(F.lit("(?iu)"), _classes(F.regexp_replace(folded, r"[^\p{L}\p{N} \"-]", r"\\$0")))
-
-
-def strict_pattern(folded: Column) -> Column:
-    """The same without the little more, letter by letter."""
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once a row: a generator of one row stands between it and its uses, into
+    which the optimizer would else write the whole expression, also into lambdas that run for every element of an array."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-    def one(c: Column) -> Column:
-        made = F.when(c.isin(" ", '"', "-"), _classes(c))
-        for low, forms in MORE_FORMS.items():
-            made = made.when(c == low, F.lit(f"[{forms}]"))
-        plain = F.when(c.rlike(r"[^\p{L}\p{N}]"), F.concat(F.lit("\\"), c)).otherwise(c)
 
-        def cased(up: Column) -> Column:  # bound apart, as the optimizer takes lower(upper(c)) for lower(c)
-            pair = F.when((up != c) & (F.lower(up) == c), F.concat(F.lit("["), c, up, F.lit("]"))).otherwise(plain)
-            return F.when(F.length(up) > 1, F.concat(F.lit("(?iu:"), c, F.lit(")"))).otherwise(pair)
+def folded(text: Column) -> Column:
+    """A text made ready for searches, ``struct<hay, lead, runs>``: its folded form, how many characters of white space
+    come before that, and for every longer run of white space, by its place in the folded form, how many characters are gone."""
+    body, several = trim_ws(text), f"{WS}{{2,}}"
+    gaps = F.transform(F.regexp_extract_all(body, F.lit(several), F.lit(0)), F.length)
+    state = "struct<at:int,runs:array<struct<at:int,extra:int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,extra:int>>").alias("runs")).cast(state)
 
-        return made.otherwise(let(F.upper(c), cased))
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["0"]
+        run = F.struct(at.alias("at"), (x["1"] - 1).alias("extra"))
+        return F.struct((at + 1).alias("at"), F.array_append(acc["runs"], run).alias("runs")).cast(state)
 
-    return F.array_join(F.transform(F.split(folded, ""), one), "")
+    pieces = F.transform(F.split(body, several), F.length)
+    # one piece more than gaps: the last is not followed by one
+    runs = F.aggregate(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(gaps)).alias("0"), gaps.alias("1")), start, step, lambda acc: acc["runs"])
+    none = F.array().cast("array<struct<at:int,extra:int>>")
+    lead = F.length(text) - F.length(F.regexp_replace(text, f"^{WS}+", ""))
+    return F.struct(fold(text).alias("hay"), lead.alias("lead"), F.when(body.rlike(several), runs).otherwise(none).alias("runs"))

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.functions.text import writer_key
+from attesta.functions import strictjson
+from attesta.functions.text import folded, held, writer_key
 from attesta.schemas import CLAIM, REPLY
 from attesta.session import ship
 
@@ -34,8 +35,9 @@ def truncated(done_reason: Column) -> Column:
 def parse(replies: DataFrame) -> DataFrame:
     """``replies`` with ``facts`` (null where the content is no reply) and ``reason`` (truncated, leaked, unparsable or null).
 
-    Keys match whatever their case, unknown keys are ignored, missing fields are empty. Wrong types and text after the
-    value are errors, which the native JSON reader would let pass; so content is checked by a vectorised function.
+    Keys match whatever their case, of equal ones the last counts, unknown keys are ignored, missing fields are empty. Wrong
+    types, numbers beyond 64 bits and text after the value are errors, which the native JSON reader would let pass; so
+    content is checked by a function over Arrow batches.
     """
     ship(replies.sparkSession)
 
@@ -50,46 +52,24 @@ def parse(replies: DataFrame) -> DataFrame:
     return parsed.withColumn("reason", reason).withColumn("facts", F.when(F.col("reason").isNull(), F.coalesce(F.from_json("__json", REPLY)["facts"], F.array().cast(f"array<{CLAIM}>")))).drop("__json")
 
 
+_FIELDS = {"id": int, "fact": str, "type": str, "confidence": str, "verbatim": str}
+_EMPTY = {"id": 0, "fact": "", "type": "", "confidence": "", "verbatim": None}
+
+
+def _facts(value, where: str) -> list[dict]:
+    if not isinstance(value, list) or isinstance(value, strictjson.Pairs):
+        raise strictjson.Bad(f"{where} is no array")
+    return [_EMPTY | (strictjson.record(x, _FIELDS, where, True, ("verbatim",)) if x is not None else {}) for x in value]
+
+
 def normal(content: str | None) -> str | None:
     """A reply's content with the wanted keys alone, as JSON; null where it is no valid reply."""
-    kinds = {"id": int, "fact": str, "type": str, "confidence": str, "verbatim": str}
     try:
-        value = json.loads((content or "").strip())
-    except ValueError:
+        value = strictjson.whole(content)
+        found = {} if value is None else strictjson.record(value, {"facts": _facts}, "reply", True, ("facts",))
+    except (ValueError, RecursionError):
         return None
-    if value is None:
-        return '{"facts":[]}'
-    if not isinstance(value, dict):
-        return None
-    facts = _field(value, "facts")
-    if facts is None:
-        return '{"facts":[]}'
-    if not isinstance(facts, list):
-        return None
-    out = []
-    for fact in facts:
-        if fact is None:
-            fact = {}
-        if not isinstance(fact, dict):
-            return None
-        row = {"id": 0, "fact": "", "type": "", "confidence": "", "verbatim": None}
-        for name, kind in kinds.items():
-            got = _field(fact, name)
-            if got is None:
-                continue
-            if not isinstance(got, kind) or isinstance(got, bool) or (kind is int and not -(2**31) <= got < 2**31):
-                return None
-            row[name] = got
-        out.append(row)
-    return json.dumps({"facts": out})
-
-
-def _field(value: dict, name: str):
-    found = value.get(name)
-    for k, v in value.items():
-        if k != name and k.lower() == name:
-            found = v if v is not None else found
-    return found
+    return json.dumps({"facts": found.get("facts", [])})
 
 
 def verify(parsed: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -98,13 +78,24 @@ def verify(parsed: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> Data
     A reply meets its chunk once, with its claims still in an array, so a chunk's text is never repeated per claim.
     """
     met = parsed.where(F.col("reason").isNull()).select(id_col, "chunk_no", "pass_no", "facts").join(chunks.select(id_col, "chunk_no", "chunk_text"), [id_col, "chunk_no"])
-    return exploded(met.withColumn("facts", F.transform("facts", lambda f: verified(f, F.col("chunk_text")))), id_col)
+    return exploded(checked(met), id_col)
+
+
+def checked(met: DataFrame) -> DataFrame:
+    """``met (chunk_text, facts, ...)`` with the span of every claim checked; a chunk is folded once for all its claims."""
+    ready = held(met, "__ready", folded(F.col("chunk_text")))
+    return ready.withColumn("facts", F.transform("facts", lambda f: verified(f, F.col("chunk_text"), F.col("__ready")))).drop("__ready")
 
 
 def exploded(met: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return met.select(id_col, "chunk_no", "pass_no", F.posexplode("facts").alias("ord", "claim")).select(id_col, "chunk_no", "pass_no", "ord", "claim.*")
 
 
+def any_changed(exact: Column, repaired: Column, dropped: Column) -> Column:
+    """Whether the check of spans had anything to count but exact ones."""
+    return (repaired > 0) | (dropped > 0)
+
+
 def verify_counts(claims: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``exact, repaired, dropped`` per document, before merging."""
     return claims.groupBy(id_col).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("exact", "repaired", "dropped")))
@@ -142,5 +133,10 @@ def accounting(replies: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def with_rate(replies: DataFrame) -> DataFrame:
+    """``replies`` with ``tokens_per_second``."""
+    return replies.withColumn("tokens_per_second", per_second(F.col("predicted_n"), F.col("eval_duration_ns")))
+
+
 def per_second(predicted: Column, duration_ns: Column) -> Column:
     return F.when(duration_ns > 0, predicted / (duration_ns / 1e9)).otherwise(F.lit(0.0))

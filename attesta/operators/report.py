@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import let
+from attesta.functions.text import folded, held, let
 from attesta.schemas import CITED, INFERRED
 
 from .spans import locate, position
@@ -21,10 +21,10 @@ def located(merged: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     text = F.col("__text")
 
     def placed(c: Column) -> Column:
-        at = F.when(c["verbatim"].isNotNull(), locate(text, c["verbatim"])["at"])
+        at = F.when(c["verbatim"].isNotNull(), locate(text, c["verbatim"], F.col("__ready"))["at"])
         return let(at, lambda k: F.struct(*(c[f].alias(f) for f in fields), k.alias("at"), position(text, k).alias("position")))
 
-    met = grouped.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col)
+    met = held(grouped.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col), "__ready", folded(text))
     return met.select(id_col, F.inline(F.transform("claims", placed)))
 
 

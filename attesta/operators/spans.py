@@ -1,8 +1,8 @@
 """Quoted spans found in text as it is: location, exact characters, line and column.
 
-A span is compared in folded form (see :func:`attesta.functions.text.fold`). Instead of folding the text and carrying
-an offset map, the folded span becomes a regular expression over the original text, so the search stays one native
-string scan, the leftmost match is the answer, and what it matched are the exact characters.
+A span is compared in folded form (see :func:`attesta.functions.text.fold`). A text is folded once for all its spans; each
+is then one native string search. What was found is given back in the text's own characters: folding keeps the number of
+characters except in runs of white space, so a place in the folded text is a place in the text plus what the runs before it lost.
 """
 
 from __future__ import annotations
@@ -10,29 +10,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import fold, let, strict_pattern, trim_fold_edges, wide_pattern
+from attesta.functions.text import fold, folded, let, trim_fold_edges
 
 
-def _search(text: Column, folded: Column) -> Column:
-    """The leftmost characters of ``text`` that fold to ``folded``, or null.
+def _place(ready: Column, at: Column) -> Column:
+    """Where a character of the folded text is in the text."""
+    lost = F.aggregate(F.filter(ready["runs"], lambda r: r["at"] < at), F.lit(0), lambda n, r: n + r["extra"])
+    return ready["lead"] + at + F.when(F.size(ready["runs"]) > 0, lost).otherwise(0)
 
-    The wide pattern finds all of these and seldom more, so its leftmost match is the answer where it folds right.
-    """
-    wide = F.when(folded != "", F.regexp_substr(text, wide_pattern(folded)))
-    return let(wide, lambda f: F.when(f.isNull() | (fold(f) == folded), f).otherwise(F.regexp_substr(text, strict_pattern(folded))))
 
+def _search(text: Column, ready: Column, q: Column) -> Column:
+    """``struct<text, at>`` of the leftmost characters that fold to ``q``, or null."""
 
-def find(text: Column, span: Column) -> Column:
-    """The exact characters of a span, or null: the whole span is sought first, then without the signs at its ends."""
-    return let(fold(span), lambda q: F.coalesce(_search(text, q), _search(text, trim_fold_edges(q))))
+    def made(at: Column, spot: Column) -> Column:
+        size = _place(ready, at + F.length(q) - 2) - spot + 1
+        return F.struct(F.substring(text, spot + 1, size).alias("text"), spot.alias("at"))
 
+    found = F.when(q != "", F.instr(ready["hay"], q))
+    return let(found, lambda at: F.when(at > 0, let(_place(ready, at - 1), lambda spot: made(at, spot))))
 
-def locate(text: Column, span: Column) -> Column:
-    """``struct<text, at>`` of a span in a text (``at`` counts characters from 0), or null.
 
-    No earlier place can hold the found characters, as they would have been found there.
-    """
-    return let(find(text, span), lambda f: F.when(f.isNotNull(), F.struct(f.alias("text"), (F.instr(text, f) - 1).alias("at"))))
+def locate(text: Column, span: Column, ready: Column | None = None) -> Column:
+    """``struct<text, at>`` of a span in a text (its own characters, and where they start, from 0), or null: the whole span
+    is sought first, then without the signs at its ends. ``ready`` is :func:`folded` of the text, where that is at hand."""
+    if ready is None:
+        return let(folded(text), lambda made: locate(text, span, made))
+    return let(fold(span), lambda q: F.coalesce(_search(text, ready, q), _search(text, ready, trim_fold_edges(q))))
+
+
+def find(text: Column, span: Column, ready: Column | None = None) -> Column:
+    """The exact characters of a span, or null."""
+    return locate(text, span, ready)["text"]
 
 
 def position(text: Column, at: Column) -> Column:
@@ -46,7 +54,7 @@ def position(text: Column, at: Column) -> Column:
     return F.when(at.isNotNull(), let(F.substring(text, F.lit(1), at), made))
 
 
-def verified(claim: Column, text: Column) -> Column:
+def verified(claim: Column, text: Column, ready: Column | None = None) -> Column:
     """A claim with its span checked: ``claim`` fields plus ``status`` none, exact, repaired or dropped.
 
     A span found otherwise than written is replaced by the text's own characters; one not found becomes null. The
@@ -58,4 +66,4 @@ def verified(claim: Column, text: Column) -> Column:
         status = F.when(span.isNull(), F.lit("none")).when(found.isNull(), F.lit("dropped")).when(found == span, F.lit("exact")).otherwise(F.lit("repaired"))
         return F.struct(*(claim[k].alias(k) for k in ("id", "fact", "type", "confidence")), found.alias("verbatim"), status.alias("status"))
 
-    return let(find(text, span), made)
+    return let(find(text, span, ready), made)

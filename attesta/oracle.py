@@ -110,8 +110,8 @@ SUMMARY = f"{PLACED}, summed AS (SELECT doc_id, {_SUMMARY} FROM placed GROUP BY
 GOLD = f"""
 {MERGED},
 gold_sents AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS gold_no FROM (SELECT doc_id, {sentences('t')} AS s FROM docs)),
-gold AS (SELECT doc_id, gold_no, {shout('s')} AS verbatim, {pick(TYPES, 'gold_no // 10 % 7 + 1')} AS type FROM gold_sents WHERE gold_no % 10 = 0
-  UNION ALL SELECT doc_id, 1000000, benchmark.text, NULL FROM docs JOIN benchmark ON doc_id % 7 = 0 AND doc_id // 7 = item_id),
+gold AS (SELECT doc_id, gold_no, {shout('s')} AS verbatim, {pick(TYPES, 'gold_no % 7 + 1')} AS type FROM gold_sents
+  UNION ALL SELECT doc_id, 1000000, benchmark.text, NULL FROM docs JOIN benchmark ON doc_id = item_id * 7),
 gold_folded AS (SELECT gold.*, docs.text, {fold('docs.text')} AS hay, {fold('verbatim')} AS q FROM gold JOIN docs USING (doc_id)),
 gold_sought AS (SELECT *, CASE WHEN q <> '' AND strpos(hay, q) > 0 THEN q WHEN {fold_edges('q')} <> '' AND strpos(hay, {fold_edges('q')}) > 0 THEN {fold_edges('q')} END AS used FROM gold_folded),
 anchors AS (SELECT doc_id, gold_no, type, CASE WHEN used IS NOT NULL THEN substr(text, strpos(hay, used), length(used)) END AS anchor FROM gold_sought)"""
@@ -128,36 +128,45 @@ scores AS (SELECT doc_id AS "case", CAST(len(golds) AS BIGINT) AS gold, CAST(len
 passed AS (SELECT *, missed <= 3 AND unanchored = 0 AS pass FROM scores)"""
 FLAWED = f"""
 {PLACED},
-flawed AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 AND id = 2 THEN 1 ELSE id END AS id, id - 1 + CASE WHEN verbatim IS NULL THEN 1000000 ELSE 0 END AS ord, fact, CASE WHEN doc_id % 6 = 2 AND id = 1 THEN 'guess' ELSE type END AS type, confidence, text,
-  CASE WHEN doc_id % 6 = 3 AND id = 1 AND verbatim IS NOT NULL THEN 'Zq ' || verbatim WHEN doc_id % 6 = 4 AND id = 1 AND verbatim IS NOT NULL THEN {shout('verbatim')} ELSE verbatim END AS verbatim, verbatim IS NOT NULL AS cited,
-  CASE WHEN doc_id % 6 = 5 AND id = 1 THEN line + 1000 ELSE line END AS line, CASE WHEN spot IS NULL THEN NULL ELSE col END AS col, spot FROM placed),
+marked AS (SELECT *, doc_id % 15 AS way, verbatim IS NOT NULL AS cited, min(id) FILTER (verbatim IS NOT NULL) OVER (PARTITION BY doc_id) AS c1, min(id) FILTER (verbatim IS NULL) OVER (PARTITION BY doc_id) AS i1, min(fact) FILTER (id = 1) OVER (PARTITION BY doc_id) AS f1 FROM placed),
+flawed AS (SELECT doc_id, CASE WHEN way = 14 AND id = 2 THEN 1 ELSE id END AS id, id - 1 + CASE WHEN cited THEN 0 ELSE 1000000 END AS ord,
+  CASE WHEN way = 1 AND id = c1 THEN ' ' WHEN way = 4 AND id = 2 THEN upper(f1) ELSE fact END AS fact, CASE WHEN way = 2 AND id = c1 THEN 'guess' ELSE type END AS type, CASE WHEN way = 3 AND id = c1 THEN 'sure' ELSE confidence END AS confidence, text,
+  CASE WHEN way = 5 AND id = i1 THEN fact WHEN id <> c1 THEN verbatim WHEN way = 7 THEN NULL WHEN way = 8 THEN {shout('verbatim')} WHEN way = 9 THEN '"' || verbatim || '"!' WHEN way = 10 THEN 'Zq ' || verbatim ELSE verbatim END AS verbatim, cited,
+  CASE WHEN way = 11 AND id = c1 THEN 0 WHEN way = 12 AND id = c1 THEN line + 1000 ELSE line END AS line, CASE WHEN spot IS NULL THEN NULL WHEN way = 13 AND id = c1 THEN col + 1 ELSE col END AS col, spot FROM marked),
 classed AS (SELECT *, {squash('text')} AS hay, {squash('verbatim')} AS want, string_split(text, chr(10)) AS lines FROM flawed),
-spanned2 AS (SELECT *, CASE WHEN NOT cited THEN NULL WHEN contains(hay, want) THEN 'exact' WHEN contains(lower(hay), lower(want)) THEN 'recased' WHEN contains(lower(hay), lower({checker_edges('want')})) THEN 'edge' ELSE 'paraphrase' END AS span_class,
-  CASE WHEN NOT cited THEN NULL WHEN spot IS NULL THEN 'none' WHEN line > len(lines) THEN 'past' ELSE 'read' END AS p1,
+spanned2 AS (SELECT *, CASE WHEN NOT cited OR verbatim IS NULL THEN NULL WHEN contains(hay, want) THEN 'exact' WHEN contains(lower(hay), lower(want)) THEN 'recased' WHEN contains(lower(hay), lower({checker_edges('want')})) THEN 'edge' ELSE 'paraphrase' END AS span_class,
+  CASE WHEN NOT cited OR verbatim IS NULL THEN NULL WHEN spot IS NULL THEN 'none' WHEN line < 1 OR col < 1 THEN 'low' WHEN line > len(lines) THEN 'past' ELSE 'read' END AS p1,
   CASE WHEN line <= len(lines) THEN coalesce(list_sum(list_transform(lines[1:line - 1], lambda x: length(x) + 1)), 0) + col - 1 END AS start FROM classed),
-checked AS (SELECT *, CASE WHEN NOT cited THEN NULL WHEN p1 <> 'read' THEN p1 WHEN start > length(text) THEN 'past' WHEN starts_with(lower({squash("substr(text, start::BIGINT + 1, length(want) * 3 + 64)")}), lower(want)) THEN 'right' ELSE 'wrong' END AS position_class FROM spanned2)"""
+checked AS (SELECT *, CASE WHEN p1 IS NULL THEN NULL WHEN p1 <> 'read' THEN p1 WHEN start > length(text) THEN 'past' WHEN starts_with(lower({squash("substr(text, start::BIGINT + 1, length(want) * 3 + 64)")}), lower(want)) THEN 'right' ELSE 'wrong' END AS position_class FROM spanned2)"""
 
 _quote = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 _short = "CASE WHEN length(verbatim) <= 70 THEN verbatim ELSE substr(verbatim, 1, 69) || '…' END"
 _q70 = _quote.format(f"({_short})")
 _fact = "'fact ' || id || ': ' || "
-_at = "'position line ' || line || ' column ' || col"
+_at = "'line ' || line || ' column ' || col"
 _RULES = [
-    (1, "problem", f"type NOT IN ({', '.join(repr(t) for t in TYPES)})", f"'type ' || {_quote.format('type')} || ' is outside the allowed set'"),
-    (5, "warning", "NOT cited AND confidence <> 'low'", f"'citation failed verification: verbatim is null at confidence ' || {_quote.format('confidence')}"),
-    (7, "warning", "span_class = 'recased'", f"'verbatim differs from the source only in capitalization: ' || {_q70}"),
-    (8, "warning", "span_class = 'edge'", f"'verbatim is a real span with added edge punctuation: ' || {_q70}"),
-    (9, "problem", "span_class = 'paraphrase'", f"'verbatim is not a span of the source: ' || {_q70}"),
-    (11, "problem", "position_class = 'past'", f"{_at} || ' is past the end of the source'"),
-    (12, "problem", "position_class = 'wrong'", f"{_at} || ' does not point at the verbatim span: ' || {_q70}"),
+    (0, "problem", f"{trim('fact')} = ''", "'has no text'"),
+    (1, "problem", f"type NOT IN ({', '.join(repr(t) for t in TYPES)})", f"'unknown type ' || {_quote.format('type')}"),
+    (2, "problem", "confidence NOT IN ('high', 'medium', 'low')", f"'unknown confidence ' || {_quote.format('confidence')}"),
+    (4, "problem", "NOT cited AND verbatim IS NOT NULL", "'is listed as inferred, yet quotes a span'"),
+    (5, "warning", "NOT cited AND verbatim IS NULL AND confidence <> 'low'", f"'its citation was not verified: no span, at confidence ' || {_quote.format('confidence')}"),
+    (6, "problem", "cited AND verbatim IS NULL", "'is listed as cited, yet quotes nothing'"),
+    (7, "warning", "span_class = 'recased'", f"'quotes the source in other letter case: ' || {_q70}"),
+    (8, "warning", "span_class = 'edge'", f"'quotes the source with other signs at the ends: ' || {_q70}"),
+    (9, "problem", "span_class = 'paraphrase'", f"'quotes what the source does not say: ' || {_q70}"),
+    (10, "problem", "position_class = 'low'", f"{_at} || ' is no position, as both count from 1'"),
+    (11, "problem", "position_class = 'past'", f"{_at} || ' lies behind the end of the source'"),
+    (12, "problem", "position_class = 'wrong'", f"{_at} || ' is not where the quoted span starts: ' || {_q70}"),
 ]
 _dups = r"""dups AS (SELECT doc_id, ord, id, first_value(id) OVER (PARTITION BY doc_id, regexp_replace(lower(fact), '[^\p{L}\p{N}]', '', 'g') ORDER BY ord) AS f, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(fact), '[^\p{L}\p{N}]', '', 'g') ORDER BY ord) AS k FROM flawed)"""
-_findings = " UNION ALL ".join([f"SELECT doc_id, {k} AS step, '{kind}' AS kind, {_fact}{message} AS message FROM checked WHERE {test}" for k, kind, test, message in _RULES] + [f"SELECT doc_id, 3, 'problem', {_fact}'duplicates fact ' || f FROM dups WHERE k > 1"])
+_findings = " UNION ALL ".join([f"SELECT doc_id, {k} AS step, '{kind}' AS kind, {_fact}{message} AS message FROM checked WHERE {test}" for k, kind, test, message in _RULES] + [f"SELECT doc_id, 3, 'problem', {_fact}'says the same as fact ' || f FROM dups WHERE k > 1"])
 _names = ("total", "verbatim", "inferred", "failed_citations", "unlocated")
 _turn_sents = f"turns AS (SELECT conv_id, turn, unnest(s) AS fact, generate_subscripts(s, 1) - 1 AS k FROM (SELECT conv_id, turn, {sentences(trim('text'))} AS s FROM conversations))"
 _first_mark = "CASE " + " ".join(f"WHEN contains(content, '{m}') THEN '{m}'" for m in ("<|think|>", "<|channel>", "<channel|>")) + " END"
 _marks = "['', '<|think|>', '<|channel>', '<channel|>']"
 
+_reason = "CASE WHEN way = 7 THEN 'truncated' WHEN way = 8 THEN 'leaked' WHEN way BETWEEN 1 AND 6 THEN 'unparsable' END"
+
 SQL = {
     "q_scan_nonblank": f"WITH {DOCS} SELECT doc_id, length(t) AS n_chars FROM docs",
     "q_token_estimate": f"SELECT doc_id, {est('text')} AS tokens FROM documents",
@@ -177,7 +186,9 @@ SQL = {
     "q_merge": rf"WITH {_turn_sents}, keyed AS (SELECT *, regexp_replace(lower(fact), '[^\p{{L}}\p{{Nd}}]', '', 'g') AS key FROM turns), firsts AS (SELECT * FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, key ORDER BY turn, k) = 1) SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS id, turn AS chunk_no, fact FROM firsts",
     "q_guards": f"SELECT conv_id, turn, turn % 3 = 0 AS truncated, {_first_mark} AS leak FROM (SELECT conv_id, turn, {_marks}[conv_id % 4 + 1] || text || {_marks}[turn % 4 + 1] AS content FROM conversations)",
     "q_parse_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "q_parse_replies": f"WITH RECURSIVE {CLAIMS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(NULL AS VARCHAR) AS reason, count(*) AS facts FROM judged GROUP BY doc_id, chunk_no",
+    "q_parse_replies": f"WITH RECURSIVE {CLAIMS} SELECT doc_id, chunk_no, {_reason} AS reason, CASE WHEN {_reason} IS NULL THEN facts END AS facts FROM (SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, (doc_id + chunk_no) % 11 AS way, count(*) AS facts FROM judged GROUP BY doc_id, chunk_no)",
+    "q_dead_letter": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, count(reason) AS rejected, count(*) - count(reason) AS accepted, max(reason) AS reason FROM (SELECT doc_id, {_reason} AS reason FROM (SELECT doc_id, (doc_id + chunk_no) % 11 AS way FROM chunks)) GROUP BY doc_id",
+    "q_extract": f"WITH RECURSIVE {SUMMARY} SELECT docs.doc_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _names)}, coalesce(verbatim, 0) AS cited, coalesce(inferred, 0) AS listed FROM docs LEFT JOIN summed USING (doc_id)",
     "q_verify": f"WITH RECURSIVE {CLAIMS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, ord, status, verbatim FROM judged",
     "q_verify_counts": f"WITH RECURSIVE {CLAIMS} SELECT doc_id, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'repaired') AS repaired, count(*) FILTER (status = 'dropped') AS dropped FROM judged GROUP BY doc_id",
     "q_null_matrix": f"WITH RECURSIVE {CLAIMS} SELECT confidence, CASE WHEN verbatim IS NOT NULL THEN 'verified' WHEN confidence <> 'low' THEN 'failed' ELSE 'inference' END AS state, count(*) AS n FROM judged GROUP BY ALL",
@@ -193,9 +204,9 @@ SQL = {
     "q_locate_items": f"WITH first_s AS (SELECT item_id, text AS item, {sentences(trim('text'))}[1] AS s FROM benchmark), own AS (SELECT doc_id, unnest({sentences(trim('text'))}) AS s FROM documents), pairs AS (SELECT DISTINCT doc_id, item_id, item FROM own JOIN first_s USING (s)), hit AS (SELECT doc_id, item_id, text, CASE WHEN strpos({fold('text')}, {fold('item')}) > 0 THEN strpos({fold('text')}, {fold('item')}) - 1 WHEN strpos({fold('text')}, {fold_edges(fold('item'))}) > 0 THEN strpos({fold('text')}, {fold_edges(fold('item'))}) - 1 END AS spot FROM pairs JOIN documents USING (doc_id)) SELECT doc_id, item_id, spot, spot - length(replace(substr(text, 1, spot), chr(10), '')) + 1 AS line FROM hit",
     "q_check_findings": f"WITH RECURSIVE {FLAWED}, {_dups}, findings AS ({_findings}) SELECT doc_id, kind, CAST(step AS BIGINT) AS step, count(*) AS n, min(message) AS message FROM findings GROUP BY ALL",
     "q_check_spans": f"WITH RECURSIVE {FLAWED} SELECT doc_id, span_class, position_class, count(*) AS n FROM checked WHERE span_class IS NOT NULL GROUP BY ALL",
-    "q_check_ids": f"WITH RECURSIVE {FLAWED}, numbered AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM flawed) SELECT doc_id, 'ids across both arrays should be 1..' || arg_min(total, n) || ' with no gaps or repeats; found ' || arg_min(id, n) || ' where ' || min(n) || ' was expected' AS message FROM numbered WHERE id <> n GROUP BY doc_id",
+    "q_check_ids": f"WITH RECURSIVE {FLAWED}, numbered AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM flawed) SELECT doc_id, 'ids must run from 1 to ' || arg_min(total, n) || ' over both lists: found ' || arg_min(id, n) || ' in place of ' || min(n) AS message FROM numbered WHERE id <> n GROUP BY doc_id",
     "q_check_duplicates": rf"WITH {_turn_sents}, k AS (SELECT conv_id AS doc_id, turn * 10000 + k AS ord, regexp_replace(lower(fact), '[^\p{{L}}\p{{N}}]', '', 'g') AS key FROM turns) SELECT doc_id, ord, f AS duplicate_of FROM (SELECT doc_id, ord, min(ord) OVER (PARTITION BY doc_id, key) AS f FROM k) WHERE ord <> f",
-    "q_check_summary": f"WITH RECURSIVE {SUMMARY} SELECT doc_id, CAST(0 AS BIGINT) AS step, 'summary.total is ' || (total + 1) || ' but the facts count ' || total AS message FROM summed WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, CAST(4 AS BIGINT), 'summary.unlocated is ' || unlocated || ' but the facts count ' || (unlocated + 1) FROM summed WHERE false",
+    "q_check_summary": f"WITH RECURSIVE {SUMMARY} SELECT doc_id, CAST(0 AS BIGINT) AS step, 'summary.total says ' || (total + 1) || ', the facts count ' || total AS message FROM summed WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, CAST(4 AS BIGINT), 'summary.unlocated says ' || unlocated || ', the facts count ' || (unlocated + 1) FROM summed WHERE false",
     "q_result_json": f"WITH RECURSIVE {SUMMARY} SELECT documents.doc_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _names)} FROM documents LEFT JOIN summed USING (doc_id)",
     "q_verify_replies": f"WITH RECURSIVE {CLAIMS} SELECT doc_id, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'repaired') AS repaired, count(*) FILTER (status = 'dropped') AS dropped FROM judged GROUP BY doc_id",
 }
@@ -205,16 +216,28 @@ def _escaped(x: str) -> str:
     return f"replace({_quote.format(x)}, chr(10), '\\n')"
 
 
-_UNFLAWED = FLAWED.replace("doc_id % 6", "-1")
+_UNFLAWED = FLAWED.replace("doc_id % 15", "-1")
 _DUPLICATED = _dups + ", twice AS (SELECT doc_id, count(*) FILTER (k > 1) AS n FROM dups GROUP BY doc_id)"
+_COUNTED = "counted AS (SELECT doc_id, count(*) AS facts, count(verbatim) AS checked, count(*) FILTER (span_class = 'exact') AS exact, count(*) FILTER (span_class = 'recased') AS recased, count(*) FILTER (span_class = 'edge') AS edge_dirty, count(*) FILTER (verbatim IS NULL AND confidence = 'low') AS null_inferred, count(*) FILTER (verbatim IS NULL AND confidence <> 'low') AS failed_citations, count(*) FILTER (position_class IN ('right', 'wrong')) AS positioned, count(*) FILTER (verbatim IS NOT NULL AND spot IS NULL) AS unlocated, bool_and(coalesce(span_class, 'exact') <> 'paraphrase' AND coalesce(position_class, 'none') IN ('none', 'right')) AS good FROM checked GROUP BY doc_id)"
+_NUMBERS = ("facts", "checked", "exact", "recased", "edge_dirty", "null_inferred", "failed_citations", "positioned", "unlocated")
 _content = (
     """'{"facts":[' || string_agg('{"id":' || (ord + 1) || ',"fact":' || """ + _escaped("fact") + """ || ',"type":"' || type || '","confidence":"' || confidence || '","verbatim":' || coalesce("""
     + _escaped("span") + """, 'null') || '}', ',' ORDER BY ord) || ']}'"""
 )
 SQL |= {
-    "q_strict_decode": "SELECT event_id AS doc_id, 'not a valid fact document: unknown field \"k\"' AS error FROM events",
-    "q_check_results": f"""WITH RECURSIVE {_UNFLAWED}, {_DUPLICATED}, counted AS (SELECT doc_id, count(*) AS facts, count(verbatim) AS checked, count(*) FILTER (verbatim IS NULL AND confidence = 'low') AS null_inferred, count(*) FILTER (verbatim IS NULL AND confidence <> 'low') AS failed_citations, count(*) FILTER (verbatim IS NOT NULL AND spot IS NULL) AS unlocated, bool_and(coalesce(span_class, 'exact') <> 'paraphrase' AND coalesce(position_class, 'none') IN ('none', 'right')) AS good FROM checked GROUP BY doc_id)
-SELECT documents.doc_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('facts', 'checked', 'null_inferred', 'failed_citations', 'unlocated'))}, CAST(NULL AS VARCHAR) AS error, coalesce(good AND n = 0, true) AS ok FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN twice USING (doc_id)""",
+    "q_strict_decode": """SELECT event_id AS doc_id, [NULL, 'an older document, with all facts in one list named "facts": extract again for the present form', 'no valid result: result.summary.total has the wrong type', NULL, 'no valid result: result.inferred_facts is no array',
+  'no valid result: result.inferred_facts.fact has the wrong type', 'no valid result: unknown field "positions"', NULL, 'no valid result: result is no object', 'no valid result: unknown field "k"'][(event_id + 9) % 10 + 1] AS error,
+  CAST(CASE event_id % 10 WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 8 THEN 0 END AS BIGINT) AS cited FROM events""",
+    "q_check_results": f"""WITH RECURSIVE {_UNFLAWED}, {_DUPLICATED}, {_COUNTED}
+SELECT documents.doc_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _NUMBERS)}, CAST(NULL AS VARCHAR) AS error, coalesce(good AND n = 0, true) AS ok FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN twice USING (doc_id)""",
+    "q_check_lines": f"""WITH RECURSIVE {_UNFLAWED}, {_DUPLICATED}, {_COUNTED}, kinds AS (SELECT doc_id, string_agg(type || '=' || n || ' ', '' ORDER BY list_position({list(TYPES)}, type)) AS kinds FROM (SELECT doc_id, type, count(*) AS n FROM checked GROUP BY ALL) GROUP BY doc_id)
+SELECT documents.doc_id, format(E'{{}} facts   {{}}\nverbatim: {{}} checked ({{}} exact), {{}} inferred, {{}} failed citation(s), {{}} re-cased, {{}} edge punctuation\nposition: {{}} checked, {{}} not located\n{{}}', coalesce(facts, 0), coalesce(kinds, ''),
+  {', '.join(f'coalesce({c}, 0)' for c in ('checked', 'exact', 'null_inferred', 'failed_citations', 'recased', 'edge_dirty', 'positioned', 'unlocated'))}, CASE WHEN coalesce(good AND n = 0, true) THEN 'pass' ELSE 'fail' END) AS lines
+FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN twice USING (doc_id) LEFT JOIN kinds USING (doc_id)""",
+    "q_case_records": f"""WITH RECURSIVE {SCORES}, counts AS (SELECT doc_id AS "case", count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'repaired') AS repaired, count(*) FILTER (status = 'dropped') AS dropped FROM judged GROUP BY doc_id),
+sent AS (SELECT doc_id, chunk_no, {_content} AS content FROM judged GROUP BY doc_id, chunk_no), tokens AS (SELECT doc_id AS "case", count(*) AS chunks, CAST(sum(length(chunk_text) // 4) AS BIGINT) AS prompt_tokens, CAST(sum(length(content) // 4) AS BIGINT) AS eval_tokens FROM sent JOIN chunks USING (doc_id, chunk_no) GROUP BY doc_id)
+SELECT passed.*, chunks, prompt_tokens, eval_tokens, CAST(0 AS BIGINT) AS extra_requests, exact, repaired, dropped, "case" || CASE WHEN pass THEN ': pass, ' ELSE ': fail, ' END || matched || ' of ' || gold || ' gold spans, ' || extracted || ' facts from ' || chunks || ' chunks' AS line FROM passed JOIN counts USING ("case") JOIN tokens USING ("case")""",
+    "q_run_record": f"WITH RECURSIVE {SCORES} SELECT 'm' AS model, 'false' AS think, CAST(1 AS BIGINT) AS passes, CAST(4096 AS BIGINT) AS num_ctx, bool_and(pass) AS pass, count(*) AS listed, count(*) AS cases, count(*) FILTER (pass) AS passed, CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(extracted) AS BIGINT) AS extracted, CAST(sum(fabricated) AS BIGINT) AS fabricated FROM passed",
     "q_token_accounting": f"""WITH RECURSIVE {CLAIMS}, sent AS (SELECT doc_id, chunk_no, chunk_no % 2 = 0 AS base, {_content} AS content FROM judged GROUP BY doc_id, chunk_no), sized_sent AS (SELECT doc_id, base, length(chunk_text) // 4 AS p, length(content) // 4 AS e, strlen(substr(content, 1, 40)) AS t FROM sent JOIN chunks USING (doc_id, chunk_no))
 SELECT doc_id, {', '.join(f"CAST(coalesce(sum({v}) FILTER ({'' if base else 'NOT '}base), 0) AS BIGINT) AS {n}" for v, n, base in (('p', 'prompt_tokens', True), ('e', 'eval_tokens', True), ('t', 'think_chars', True), ('p', 'extra_prompt_tokens', False), ('e', 'extra_eval_tokens', False), ('t', 'extra_think_chars', False)))}, count(*) FILTER (NOT base) AS extra_requests FROM sized_sent GROUP BY doc_id""",
 }

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+#: The closed vocabularies and field names of replies and results: fixed values.
 TYPES = ("quote", "numeric", "event", "entity", "definition", "causal", "other")
 CONFIDENCES = ("high", "medium", "low")
 
-CLAIM = "struct<id:int,fact:string,type:string,confidence:string,verbatim:string>"
+CLAIM = "struct<id:bigint,fact:string,type:string,confidence:string,verbatim:string>"
 REPLY = f"struct<facts:array<{CLAIM}>>"
 REPLIES = "doc_id bigint, chunk_no int, pass_no int, content string, thinking string, prompt_n int, predicted_n int, eval_duration_ns bigint, done_reason string"
-POSITION = "struct<line:int,column:int>"
-CITED = f"struct<id:int,fact:string,type:string,confidence:string,verbatim:string,position:{POSITION}>"
-INFERRED = "struct<id:int,fact:string,type:string,confidence:string>"
-SUMMARY = "struct<total:int,verbatim:int,inferred:int,failed_citations:int,unlocated:int>"
+POSITION = "struct<line:bigint,column:bigint>"
+CITED = f"struct<id:bigint,fact:string,type:string,confidence:string,verbatim:string,position:{POSITION}>"
+INFERRED = "struct<id:bigint,fact:string,type:string,confidence:string>"
+SUMMARY = "struct<total:bigint,verbatim:bigint,inferred:bigint,failed_citations:bigint,unlocated:bigint>"
 RESULT = f"struct<summary:{SUMMARY},verbatim_facts:array<{CITED}>,inferred_facts:array<{INFERRED}>>"
 GOLD = "struct<source:string,gold:array<struct<verbatim:string,type:string>>>"
 

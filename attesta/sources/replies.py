@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Iterable, Iterator
 from typing import Protocol
@@ -37,16 +38,38 @@ def request(settings, system: str, messages: list[dict], schema: dict = REPLY_JS
     return body if settings.think is None else body | {"think": settings.think}
 
 
-def _post(url: str, body: dict, timeout: float) -> dict:
-    call = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-    with urllib.request.urlopen(call, timeout=timeout) as answer:
-        got = json.load(answer)
-    if got.get("error"):
-        raise RuntimeError(got["error"])
+class ServerError(RuntimeError):
+    """A model server that cannot be reached, or that answers with an error."""
+
+
+def _ask(url: str, body: dict | None, timeout: float) -> dict:
+    """The JSON that a server sends: what it says about its errors is kept."""
+    call = urllib.request.Request(url, None if body is None else json.dumps(body).encode(), {"Content-Type": "application/json"})
+    try:
+        with urllib.request.urlopen(call, timeout=timeout) as answer:
+            raw = answer.read()
+    except urllib.error.HTTPError as e:
+        raise ServerError(f"{url} answered {e.code} {e.reason}: {e.read().decode(errors='replace').strip()}") from None
+    except OSError as e:
+        raise ServerError(f"{url} cannot be reached: {getattr(e, 'reason', e)}. Is the model server running there, and is that the host in the settings?") from None
+    try:
+        got = json.loads(raw)
+    except ValueError as e:
+        raise ServerError(f"{url} sent no JSON: {e}") from None
+    if isinstance(got, dict) and got.get("error"):
+        raise ServerError(f"{url} reports: {got['error']}")
     return got
 
 
-def live(settings, system: str, slots: int = 1, timeout: float = 1800.0, post=_post) -> Extractor:
+def _post(url: str, body: dict, timeout: float) -> dict:
+    return _ask(url, body, timeout)
+
+
+def _get(url: str, timeout: float) -> dict:
+    return _ask(url, None, timeout)
+
+
+def live(settings, system: str, slots: int = 1, timeout: float = 1800.0, post=_post, schema: dict = REPLY_JSON_SCHEMA) -> Extractor:
     """Replies of a model server. A task asks for one chunk at a time, its passes in one growing thread.
 
     The replies are written before anything reads them: a retried task downstream must not ask again.
@@ -62,7 +85,7 @@ def live(settings, system: str, slots: int = 1, timeout: float = 1800.0, post=_p
                 for doc, no, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     messages, rows = [{"role": "user", "content": text}], []
                     for k in range(1, settings.passes + 1):
-                        got = post(f"{settings.host.rstrip('/')}/api/chat", request(settings, system, messages), timeout)
+                        got = post(f"{settings.host.rstrip('/')}/api/chat", request(settings, system, messages, schema), timeout)
                         said = got.get("message", {})
                         rows.append((doc, no, k, said.get("content", ""), said.get("thinking"), got.get("prompt_eval_count", 0), got.get("eval_count", 0), got.get("eval_duration", 0), got.get("done_reason", "")))
                         messages += [{"role": "assistant", "content": said.get("content", "")}, {"role": "user", "content": GLEAN}]
@@ -85,6 +108,21 @@ def has_model(settings, listing: dict) -> bool:
     return any(m.get("name", "").removesuffix(":latest") == bare for m in listing.get("models", []))
 
 
+def preflight(settings, timeout: float = 30.0, get=_get) -> None:
+    """Ask the server for its models; an error where it does not answer or lacks the one that is wanted."""
+    listing = get(f"{settings.host.rstrip('/')}/api/tags", timeout)
+    if not has_model(settings, listing):
+        names = ", ".join(sorted(m.get("name", "") for m in listing.get("models", []))) or "none"
+        raise ServerError(f"the server at {settings.host} has no model {settings.model!r}; it has: {names}")
+
+
+def wanted_thinking(settings, off: bool = False, post=_post):
+    """What a request says about thinking: nothing for a model that cannot, else the settings' value, or false."""
+    if not supports_thinking(settings, post=post):
+        return None
+    return False if off else settings.think
+
+
 def ruled_claims(text: Column, number: Column) -> Column:
     """A rule's claims about a text: each sentence, its span exact, upper-cased, with a full stop added, altered, or missing, in turn.
 

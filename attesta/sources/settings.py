@@ -15,6 +15,26 @@ def valid_think(value: Any) -> bool:
     return value is None or isinstance(value, bool) or value in LEVELS
 
 
+@dataclass(frozen=True)
+class Service:
+    """Whether and how whoever runs a job manages the model server: not done here, but read, defaulted and passed on."""
+
+    manage: bool = False
+    command: str = ""
+    startup_timeout_seconds: float = 0
+    env: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def launch(self) -> str:
+        """The command; a managed server without one has the usual one."""
+        return self.command or ("ollama" if self.manage else "")
+
+    @property
+    def startup_timeout(self) -> float:
+        """Seconds to wait for a start, a minute where none are given."""
+        return self.startup_timeout_seconds if self.startup_timeout_seconds > 0 else 60.0
+
+
 @dataclass(frozen=True)
 class Settings:
     host: str
@@ -25,6 +45,7 @@ class Settings:
     think: bool | str | None = None
     keep_alive: str = ""
     base_dir: str = "."
+    service: Service = field(default_factory=Service)
     extra: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -47,10 +68,17 @@ class Settings:
 
 
 def load(folder: str, name: str = "settings.json") -> Settings:
-    with open(os.path.join(folder, name), encoding="utf-8") as f:
-        raw = json.load(f)
-    server = raw.get("server", {})
+    path = os.path.join(folder, name)
+    try:
+        with open(path, encoding="utf-8") as f:
+            raw = json.load(f)
+    except FileNotFoundError:
+        raise ValueError(f"settings: there is no {path}") from None
+    except ValueError as e:
+        raise ValueError(f"settings: {path} is no JSON: {e}") from None
+    server, service = raw.get("server", {}), raw.get("service") or {}
     return Settings(
         host=server.get("host", ""), model=server.get("model", ""), chunk_tokens=raw.get("chunk_tokens", 0), options=raw.get("options", {}), passes=raw.get("passes", 1),
         think=server.get("think", raw.get("think")), keep_alive=server.get("keep_alive", ""), base_dir=folder, extra=raw,
+        service=Service(bool(service.get("manage", False)), service.get("command", ""), service.get("startup_timeout_seconds", 0) or 0, service.get("env") or {}),
     )

@@ -34,6 +34,16 @@ def test_query(spark, tables, name):
     assert got == sorted(str([r[want.columns.index(c)] for c in columns]) for r in want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the standard tables are not here")
+def test_every_rule_and_class_occurs(spark):
+    made = {n: f(spark, DATA) for n, f in catalogue.queries().items() if n in ("q_check_findings", "q_check_spans", "q_parse_replies", "q_strict_decode")}
+    assert {r.step for r in made["q_check_findings"].select("step").collect()} == set(range(13))
+    spans = made["q_check_spans"].collect()
+    assert {r.span_class for r in spans} == {"exact", "recased", "edge", "paraphrase"} and {r.position_class for r in spans} >= {"right", "wrong", "past", "low"}
+    assert {r.reason for r in made["q_parse_replies"].collect()} == {None, "truncated", "leaked", "unparsable"}
+    assert len({r.error for r in made["q_strict_decode"].collect()}) == 8
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -1,14 +1,18 @@
 """Replies, claims, results, scores and the checker."""
 
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.cli import main
 from attesta.operators import checking, claims, report, scoring
 from attesta.plans import pipeline
-from attesta.sources import replies, sinks
-from attesta.sources.settings import Settings, valid_think
+from attesta.schemas import CONFIDENCES, REPLY_JSON_SCHEMA, TYPES
+from attesta.sources import prompts, replies, sinks
+from attesta.sources.settings import Service, Settings, load, valid_think
 from attesta.sources.texts import read_gold, read_texts
 from attesta.streaming import documents as streams
 
@@ -30,9 +34,10 @@ def docs(spark, *texts):
 
 def test_parse_is_lenient_about_keys_and_strict_about_types(spark):
     good = [' {"FACTS": [{"Id": 1, "fact": "a", "extra": 2}]} ', '{"facts": null}', "{}", '{"facts": []}']
-    bad = ['{"facts": [{"id": "1"}]}', '{"facts": [{"id": 1.5}]}', '{"facts": 3}', '{"facts": []} more', "nope", None, "[]", '{"facts": [{"id": true}]}']
+    good += ['{"FACTS": [{"id": 1}], "facts": [{"id": 3000000000, "fact": "a"}]}', '{"facts": [{"fact": "a"}], "x": "\\ud800"}', '{"facts": [1], "Facts": null}'][:2]
+    bad = ['{"facts": [], "x": NaN}', '{"facts": [{"id": 9223372036854775808}]}', '{"facts": [{"id": "1"}]}', '{"facts": [{"id": 1.5}]}', '{"facts": 3}', '{"facts": []} more', "nope", None, "[]", '{"facts": [{"id": true}]}']
     rows = {r.chunk_no: r for r in claims.parse(reply(spark, *good, *bad)).collect()}
-    assert [len(rows[k].facts) for k in range(len(good))] == [1, 0, 0, 0] and rows[0].facts[0].fact == "a" and rows[0].facts[0].type == ""
+    assert [len(rows[k].facts) for k in range(len(good))] == [1, 0, 0, 0, 1, 1] and rows[4].facts[0].id == 3000000000 and rows[0].facts[0].fact == "a" and rows[0].facts[0].type == ""
     assert [rows[len(good) + k].reason for k in range(len(bad))] == ["unparsable"] * len(bad)
 
 
@@ -121,19 +126,19 @@ def test_checker_accepts_and_counts(spark):
 @pytest.mark.parametrize(
     ("content", "problem"),
     [
-        (result([(fact(1, "a", "a mill closed"), None)]), "fact 1: verbatim is not a span of the source: \"a mill closed\""),
-        (result([(fact(1, " ", "mill"), None)]), "fact 1: fact text is empty"),
-        (result([(fact(1, "a", "mill", kind="guess"), None)]), 'fact 1: type "guess" is outside the allowed set'),
-        (result([(fact(1, "a", "mill", "sure"), None)]), 'fact 1: confidence "sure" is outside the allowed set'),
-        (result([(fact(1, "a!", "mill"), None), (fact(2, "A", "mill"), None)]), "fact 2: duplicates fact 1"),
-        (result([(fact(1, "a", "mill"), None), (fact(3, "b", "mill"), None)]), "ids across both arrays should be 1..2 with no gaps or repeats; found 3 where 2 was expected"),
-        (result([], [fact(1, "a", "mill")]), "fact 1: is in inferred_facts but carries a verbatim span"),
-        (result([(fact(1, "a", None), None)]), "fact 1: is in verbatim_facts but has no verbatim span"),
-        (result([(fact(1, "a", "mill"), {"line": 1, "column": 1})]), 'fact 1: position line 1 column 1 does not point at the verbatim span: "mill"'),
-        (result([(fact(1, "a", "mill"), {"line": 9, "column": 1})]), "fact 1: position line 9 column 1 is past the end of the source"),
-        (result([(fact(1, "a", "mill"), {"line": 0, "column": 1})]), "fact 1: position is line 0 column 1; both are 1-based"),
-        (result(summary=None), "summary is missing"),
-        (result(summary={"total": 2}), "summary.total is 2 but the facts count 0"),
+        (result([(fact(1, "a", "a mill closed"), None)]), "fact 1: quotes what the source does not say: \"a mill closed\""),
+        (result([(fact(1, " ", "mill"), None)]), "fact 1: has no text"),
+        (result([(fact(1, "a", "mill", kind="guess"), None)]), 'fact 1: unknown type "guess"'),
+        (result([(fact(1, "a", "mill", "sure"), None)]), 'fact 1: unknown confidence "sure"'),
+        (result([(fact(1, "a!", "mill"), None), (fact(2, "A", "mill"), None)]), "fact 2: says the same as fact 1"),
+        (result([(fact(1, "a", "mill"), None), (fact(3, "b", "mill"), None)]), "ids must run from 1 to 2 over both lists: found 3 in place of 2"),
+        (result([], [fact(1, "a", "mill")]), "fact 1: is listed as inferred, yet quotes a span"),
+        (result([(fact(1, "a", None), None)]), "fact 1: is listed as cited, yet quotes nothing"),
+        (result([(fact(1, "a", "mill"), {"line": 1, "column": 1})]), 'fact 1: line 1 column 1 is not where the quoted span starts: "mill"'),
+        (result([(fact(1, "a", "mill"), {"line": 9, "column": 1})]), "fact 1: line 9 column 1 lies behind the end of the source"),
+        (result([(fact(1, "a", "mill"), {"line": 0, "column": 1})]), "fact 1: line 0 column 1 is no position, as both count from 1"),
+        (result(summary=None), "the summary is missing"),
+        (result(summary={"total": 2}), "summary.total says 2, the facts count 0"),
     ],
 )
 def test_checker_problems(spark, content, problem):
@@ -142,10 +147,10 @@ def test_checker_problems(spark, content, problem):
 
 
 def test_checker_decoding(spark):
-    assert "older flat" in checked(spark, '{"facts": []}').error
+    assert "older document" in checked(spark, '{"facts": []}').error
     for bad in ('{"x": 1}', "{", '{"verbatim_facts": [{"id": "1"}]}', '{"summary": {"totals": 1}}'):
         r = checked(spark, bad)
-        assert r.error.startswith("not a valid fact document") and not r.ok
+        assert r.error.startswith("no valid result") and not r.ok
     assert checked(spark, result() + " trailing").ok
     assert checked(spark, result([(fact(1, "a", "not there"), {"line": 5, "column": 5})]), None).problems == []
     assert checked(spark, result([(fact(1, "a", ""), None)])).exact == 1
@@ -207,3 +212,119 @@ def test_streams(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == [1, 2] and all(r.result.summary.total > 0 for r in got)
     sinks.write_results(spark.createDataFrame(got), str(tmp_path / "out"), as_text=True)
     assert '"summary"' in spark.read.text(str(tmp_path / "out"), wholetext=True).first().value
+
+
+def test_rows_of_claims_and_whole_results_agree(spark):
+    at = {"line": 1, "column": 1}
+    content = result([(fact(1, "a", "The mill opened"), at), (fact(2, "b", "THE MILL"), None), (fact(2, "A!", "Zq"), {"line": 0, "column": 1})], [fact(4, "d", "mill", "low"), fact(5, "", None, "sure", "guess")])
+    decoded = checking.decode(spark.createDataFrame([(1, content)], "doc_id long, content string"))
+    rows = checking.judged(checking.flattened(decoded), docs(spark, TEXT))
+    notes = [r.message for r in checking.findings(rows).orderBy("ord", "step").collect()]
+    whole = checked(spark, content)
+    assert sorted(notes) == sorted(m for m in whole.problems + whole.warnings if m.startswith("fact ")) and len(notes) == 9
+    assert [r.message for r in checking.id_problems(checking.flattened(decoded)).collect()] == [m for m in whole.problems if m.startswith("ids ")]
+
+
+def settings_folder(tmp_path, **more):
+    (tmp_path / "settings.json").write_text(json.dumps({"server": {"host": "http://h", "model": "m"}, "chunk_tokens": 1000, "options": {"num_ctx": 8192}} | more))
+    return str(tmp_path)
+
+
+def server(said, names=("m:latest",), thinks=True):
+    asked = []
+
+    def post(url, body, timeout):
+        asked.append(body)
+        if url.endswith("/api/show"):
+            return {"capabilities": ["thinking"] if thinks else []}
+        return {"message": {"content": json.dumps({"facts": said})}, "eval_count": 3, "eval_duration": 10**9, "done_reason": "stop"}
+
+    return {"post": post, "get": lambda url, timeout: {"models": [{"name": n} for n in names]}}, asked
+
+
+def test_command_line_run_and_check(spark, tmp_path, capsys):
+    folder = settings_folder(tmp_path)
+    said = [fact(1, "Opened.", "The mill opened in 1901."), fact(2, "Burned.", "IT BURNED DOWN TWICE"), fact(3, "Hurt.", None, "low")]
+    ends, asked = server(said)
+    assert main(["run", "--folder", folder], spark, **ends) == 1 and "error" in capsys.readouterr().err  # no text to read
+    (tmp_path / "prompt.md").write_text(TEXT)
+    assert main(["run", "--folder", folder, "--no-think"], spark, **ends) == 0
+    err = capsys.readouterr().err
+    assert "3 facts, 2 cited and 1 inferred" in err and "spans: 1 exact, 1 put" in err
+    path = str(tmp_path / "result.json")
+    assert main(["check", path, "--source", str(tmp_path / "prompt.md")], spark) == 0 and capsys.readouterr().out.rstrip().endswith("pass")
+    (tmp_path / "result.json").write_text(result([(fact(2, "a", "no such words"), None)]))
+    assert main(["check", path, "--source", str(tmp_path / "prompt.md")], spark) == 1 and "ids must run" in capsys.readouterr().out
+    (tmp_path / "result.json").write_text("nope")
+    assert main(["check", path], spark) == 2 and main(["check", str(tmp_path / "none.json")], spark) == 2 and main(["check"], spark) == 2
+    assert main(["run", "--folder", folder, "--model", "other"], spark, **ends) == 1 and "it has: m:latest" in capsys.readouterr().err
+    ends["get"] = lambda url, timeout: (_ for _ in ()).throw(KeyboardInterrupt())
+    assert main(["run", "--folder", folder], spark, **ends) == 130
+
+
+def test_command_line_benchmark(spark, tmp_path, capsys):
+    folder = settings_folder(tmp_path)
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus" / "a.md").write_text(TEXT)
+    gold = tmp_path / "corpus" / "a.gold.json"
+    gold.write_text(json.dumps({"source": "a.md", "gold": [{"verbatim": "mill opened"}]}))
+    ends, _ = server([fact(1, "Opened.", "The mill opened in 1901.")], thinks=False)
+    assert main(["benchmark", "--folder", folder], spark, **ends) == 0
+    assert "a.gold.json: pass, 1 of 1 gold spans, 1 facts from 1 chunks" in capsys.readouterr().err
+    assert spark.read.json(str(tmp_path / "benchmark.json")).first().totals.matched == 1
+    gold.write_text(json.dumps({"source": "a.md", "gold": [{"verbatim": "no such words"}]}))
+    assert main(["benchmark", "--folder", folder], spark, **ends) == 1 and "1 gold spans are not in the source" in capsys.readouterr().err
+
+
+def test_prompt_schema_and_service(tmp_path):
+    s = load(settings_folder(tmp_path, service={"manage": True}))
+    assert all(w in prompts.prompt(s) for w in (*prompts.FIELDS, *TYPES, *CONFIDENCES)) and prompts.schema(s) == REPLY_JSON_SCHEMA
+    (tmp_path / "system-instruction.md").write_text("Say it.")
+    (tmp_path / "schemas").mkdir()
+    (tmp_path / "schemas" / "facts.json").write_text('{"type": "object"}')
+    assert prompts.prompt(s) == "Say it." and prompts.schema(s) == {"type": "object"}
+    (tmp_path / "schemas" / "facts.json").write_text("{")
+    with pytest.raises(ValueError, match="no JSON"):
+        prompts.schema(s)
+    assert (s.service.launch, s.service.startup_timeout) == ("ollama", 60.0) and Service().launch == "" and Service(True, "x", 5).startup_timeout == 5
+    for name, text in (("nothing.json", None), ("bad.json", "{")):
+        if text:
+            (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError, match="settings"):
+            load(str(tmp_path), name)
+
+
+class Answers(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):  # noqa: N802
+        status, body = {"/ok": (200, '{"a": 1}'), "/odd": (200, "<html>"), "/bad": (404, "no such model"), "/own": (200, '{"error": "too hot"}')}[self.path]
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(body.encode())
+
+    do_POST = do_GET
+
+    def log_message(self, *args):
+        pass
+
+
+def test_server_errors():
+    s = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{s.server_port}"
+    assert replies._get(at + "/ok", 5) == {"a": 1}
+    for path, words in (("/odd", "no JSON"), ("/bad", "404.*no such model"), ("/own", "too hot")):
+        with pytest.raises(replies.ServerError, match=words):
+            replies._post(at + path, {}, 5)
+    s.shutdown()
+    s.server_close()
+    with pytest.raises(replies.ServerError, match="cannot be reached"):
+        replies._get(at + "/ok", 5)
+    with pytest.raises(replies.ServerError, match="it has: b"):
+        replies.preflight(Settings(at, "m", 1, {"num_ctx": 1}), get=lambda *a: {"models": [{"name": "b"}]})
+
+
+def test_rates_and_changes(spark):
+    row = claims.with_rate(reply(spark, "x")).first()
+    assert row.tokens_per_second == 5.0
+    one = lambda *v: spark.range(1).select(claims.any_changed(*map(F.lit, v)).alias("x")).first().x
+    assert [one(3, 0, 0), one(0, 1, 0), one(0, 0, 1)] == [False, True, True]
