@@ -54,7 +54,7 @@ HALF = PIECES + 1
 VOCABULARY = 2 * HALF
 END = VOCABULARY - 1
 #: Ids that training sees at least, in several passes if need be, and the most passes.
-PASS_IDS, PASSES = 12 << 20, 6
+PASS_IDS, PASSES = 12 << 20, 12
 #: Weights that the counts may get.
 WEIGHTS = (0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.7)
 _VALUES = np.random.default_rng(0x1D5).integers(0, 1 << 63, VOCABULARY, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
