@@ -52,18 +52,3 @@ def position(text: Column, at: Column) -> Column:
         return F.struct(line.cast("int").alias("line"), column.cast("int").alias("column"))
 
     return F.when(at.isNotNull(), let(F.substring(text, F.lit(1), at), made))
-
-
-def verified(claim: Column, text: Column, ready: Column | None = None) -> Column:
-    """A claim with its span checked: ``claim`` fields plus ``status`` none, exact, repaired or dropped.
-
-    A span found otherwise than written is replaced by the text's own characters; one not found becomes null. The
-    confidence never changes.
-    """
-    span = claim["verbatim"]
-
-    def made(found: Column) -> Column:
-        status = F.when(span.isNull(), F.lit("none")).when(found.isNull(), F.lit("dropped")).when(found == span, F.lit("exact")).otherwise(F.lit("repaired"))
-        return F.struct(*(claim[k].alias(k) for k in ("id", "fact", "type", "confidence")), found.alias("verbatim"), status.alias("status"))
-
-    return let(find(text, span, ready), made)
