@@ -147,10 +147,8 @@ def hidden(net: Net, inputs: np.ndarray, keep: bool = False):
     x += p["P"]
     q = np.ascontiguousarray(x[:, W - S :])
     last = q.reshape(-1, D)
-    k = (x.reshape(-1, D) @ p["K"]).reshape(x.shape)
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.asarray(D**-0.5, s.dtype)
-    s = bounded(s)
+    k = (x.reshape(-1, D) @ (p["K"] * np.asarray(D**-0.5, x.dtype))).reshape(x.shape)
+    s = bounded(q @ k.transpose(0, 2, 1))
     s += _MASK
     np.exp(s, out=s)
     total = s.reshape(-1, W) @ np.ones(W, s.dtype)
@@ -162,23 +160,23 @@ def hidden(net: Net, inputs: np.ndarray, keep: bool = False):
 
 
 class Dealt:
-    """Rows of states dealt to blocks of ``R`` rows of one weighted cluster each."""
+    """Some rows of states dealt to blocks of ``R`` rows of one weighted cluster each; places of a block that are left hold any row."""
 
-    def __init__(self, clusters: np.ndarray):
+    def __init__(self, clusters: np.ndarray, rows: np.ndarray):
         kinds = 2 * HEAD // M
-        self.order = np.argsort(clusters.astype(np.int16), kind="stable")
+        order = np.argsort(clusters.astype(np.int16), kind="stable")
+        self.order = rows.take(order)
         count = np.bincount(clusters, minlength=kinds)
         many = -(-count // R)
         begin = np.cumsum(many) - many
-        rank = np.arange(len(clusters)) - np.repeat(np.cumsum(count) - count, count)
-        self.slot = np.repeat(begin * R, count) + rank
+        self.slot = np.arange(len(clusters)) + np.repeat(begin * R - np.cumsum(count) + count, count)
         self.which = np.repeat(np.arange(kinds), many)
         self.used, self.heads = np.flatnonzero(many), begin[many > 0]
+        self.source = np.zeros(len(self.which) * R, np.int64)
+        self.source[self.slot] = self.order
 
     def spread(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.which) * R, rows.shape[1]), rows.dtype)
-        out[self.slot] = rows.take(self.order, axis=0)
-        return out.reshape(-1, R, rows.shape[1])
+        return rows.take(self.source, axis=0).reshape(-1, R, rows.shape[1])
 
 
 def member_logits(p: dict[str, np.ndarray], dealt: Dealt, z: np.ndarray, far: float):
@@ -202,11 +200,11 @@ def log_probabilities(net: Net, z: np.ndarray, targets: np.ndarray) -> tuple[np.
     block = net.block.take(targets)
     some = np.flatnonzero(block >= 0)
     if len(some):
-        dealt = Dealt(block[some])
-        g, _, _ = member_logits(p, dealt, z.take(some, axis=0), far)
-        own = np.log(g.ravel().take(dealt.slot * M + net.member.take(targets[some[dealt.order]])))
+        dealt = Dealt(block.take(some), some)
+        g, _, _ = member_logits(p, dealt, z, far)
+        own = np.log(g.ravel().take(dealt.slot * M + net.member.take(targets.take(dealt.order))))
         own -= np.log((g @ np.ones(M, g.dtype)).take(dealt.slot))
-        out[some[dealt.order]] += own
+        out[dealt.order] += own
     return out, begins
 
 
@@ -229,41 +227,43 @@ def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray
     z, (x, q, k, s, total, u) = hidden(net, inputs, keep=True)
     flat = np.zeros_like(net.flat)
     g = views(flat)
-    spots = np.flatnonzero(use.ravel())
-    n = len(spots)
-    zs, ts = z.take(spots, axis=0), targets.ravel()[spots]
-    e, far = zs @ p["C"], longest(zs)
+    used, ts = use.ravel(), targets.ravel()
+    n = np.count_nonzero(used)
+    share = used.astype(z.dtype) / np.asarray(n, z.dtype)  # of a position in the mean
+    e, far = z @ p["C"], longest(z)
     e += p["c"]
     np.exp(e if safe(far, p["C"].T, p["c"]) else bounded(e), out=e)
-    e /= (e @ np.ones(CLUSTERS, e.dtype))[:, None]
-    pick = np.arange(n) * CLUSTERS + net.cluster.take(ts)
-    loss = -np.log(e.ravel().take(pick) + 1e-30).sum(dtype=np.float64) - net.rare.take(ts).sum(dtype=np.float64)
-    e.reshape(-1)[pick] -= 1
-    e *= np.asarray(1 / n, e.dtype)
-    g["C"][:], g["c"][:] = zs.T @ e, e.sum(axis=0)
+    total_e = e @ np.ones(CLUSTERS, e.dtype)
+    pick = np.arange(len(z)) * CLUSTERS + net.cluster.take(ts)
+    lost = np.log(e.ravel().take(pick) / total_e + 1e-30)
+    lost += net.rare.take(ts)
+    loss = -lost.sum(where=used, dtype=np.float64)
+    e *= (share / total_e)[:, None]
+    e.reshape(-1)[pick] -= share
+    g["C"][:], g["c"][:] = z.T @ e, np.ones(len(e), e.dtype) @ e
     dz = e @ p["C"].T
     block = net.block.take(ts)
-    some = np.flatnonzero(block >= 0)
+    some = np.flatnonzero((block >= 0) & used)
     if len(some):
-        dealt = Dealt(block[some])
-        m, states, weights = member_logits(p, dealt, zs.take(some, axis=0), far)
-        m /= (m @ np.ones(M, m.dtype))[:, None]
-        pick = dealt.slot * M + net.member.take(ts[some[dealt.order]])
-        loss -= np.log(m.ravel().take(pick) + 1e-30).sum(dtype=np.float64)
-        m.reshape(-1)[pick] -= 1
-        empty = np.ones(len(m), bool)
-        empty[dealt.slot] = False
-        m[empty] = 0
-        m *= np.asarray(1 / n, m.dtype)
+        dealt = Dealt(block.take(some), some)
+        m, states, weights = member_logits(p, dealt, z, far)
+        total_m = m @ np.ones(M, m.dtype)
+        pick = dealt.slot * M + net.member.take(ts.take(dealt.order))
+        loss -= np.log(m.ravel().take(pick) / total_m.take(dealt.slot) + 1e-30).sum(dtype=np.float64)
+        share_m = np.zeros(len(m), m.dtype)
+        share_m[dealt.slot] = 1 / n
+        m *= (share_m / total_m)[:, None]
+        m.reshape(-1)[pick] -= np.asarray(1 / n, m.dtype)
         m = m.reshape(-1, R, M)
         g["O"][dealt.used] = np.add.reduceat(m.transpose(0, 2, 1) @ states, dealt.heads, axis=0)
-        g["o"][dealt.used] = np.add.reduceat(m.sum(axis=1), dealt.heads, axis=0)
-        to = some[dealt.order]
-        dz[to] += (m @ weights).reshape(-1, D).take(dealt.slot, axis=0)
-    full = np.zeros_like(z)
-    full[spots] = dz
-    g["A"][:] = u.T @ full
-    du = full @ p["A"].T
+        g["o"][dealt.used] = np.add.reduceat((np.ones((1, R), m.dtype) @ m)[:, 0], dealt.heads, axis=0)
+        back = np.zeros((len(share_m) + 1, D), m.dtype)  # the last: rows that are in no block
+        np.matmul(m, weights, out=back[:-1].reshape(-1, R, D))
+        at = np.full(len(z), len(share_m))
+        at[dealt.order] = dealt.slot
+        dz += back.take(at, axis=0)
+    g["A"][:] = u.T @ dz
+    du = dz @ p["A"].T
     du /= total[:, None]
     # with weights w = s / total: ds = w (dw - sum(w dw)), and the sum is that of u du over the columns
     inner = np.einsum("ij,ij->i", u, du)
@@ -272,13 +272,13 @@ def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray
     ds -= inner.reshape(*ds.shape[:2], 1)
     ds *= s
     dx = s.transpose(0, 2, 1) @ du
-    ds *= np.asarray(D**-0.5, ds.dtype)
+    scale = np.asarray(D**-0.5, ds.dtype)
     dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, D)
-    g["K"][:] = x.reshape(-1, D).T @ dk
-    dx += (dk @ p["K"].T).reshape(x.shape)
+    g["K"][:] = (x.reshape(-1, D).T @ dk) * scale
+    dx += (dk @ (p["K"] * scale).T).reshape(x.shape)
     own = dx[:, W - S :]
     own += ds @ k
-    own += full.reshape(q.shape)
+    own += dz.reshape(q.shape)
     g["P"][:] = dx.sum(axis=0)
     dx = dx.reshape(-1, D)
     at = net.row.take(inputs.ravel())

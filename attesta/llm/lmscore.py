@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -317,8 +317,8 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col:
     net = train(texts.where("NOT held").select("block", "no", "ids"), counts)
 
     asked = listed.where("block >= 0")
-    whole = asked.groupBy("h").agg(F.sum("n").alias("c"), F.min("block").alias("owner"))
-    answers = cut(asked.join(whole, "h").select("block", "h", "c", (F.col("block") == F.col("owner")).alias("owns")))
+    of = Window.partitionBy("h")  # one shuffle: a word's blocks are few, and a join would send them twice
+    answers = cut(asked.select("block", "h", F.sum("n").over(of).alias("c"), (F.col("block") == F.min("block").over(of)).alias("owns")))
     n_words, v_words = answers.where("owns AND c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
     n_docs = int(counts[END])
     total, distinct = (n_words or 0) + n_docs, v_words + (n_docs > 0)

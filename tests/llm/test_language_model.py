@@ -188,3 +188,30 @@ def test_beats_the_base_on_held_out_text(spark):
     held = [x for x in lmscore.score(docs, RANKS).collect() if x.held_out]
     base = sum(x.base_score for x in held)
     assert sum(x.network_score for x in held) > base and sum(x.score for x in held) > 0.99 * base
+
+
+def test_words_are_sent_once(spark, monkeypatch):
+    """The words of blocks are counted and given back in one shuffle, without a join with themselves."""
+    plans, kept = [], lmscore.cut
+    monkeypatch.setattr(lmscore, "cut", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df))
+    docs = spark.createDataFrame([(k, "a b c " * (k + 1)) for k in range(10)], "doc_id bigint, text string")
+    rows = lmscore.score(docs, RANKS).collect()
+    learnt = [r for r in rows if not r.held_out]
+    assert {r.train_tokens for r in rows} == {sum(r.n_tokens for r in learnt)} and all(r.n_known == r.n_tokens for r in rows)
+    counted = [plan for columns, plan in plans if "owns" in columns]
+    assert counted and not any("Join" in plan for plan in counted)
+
+
+def test_positions_that_are_not_scored_change_nothing():
+    """Whatever stands at places that are not scored, loss and gradient are the same, and those of the mean over the others."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 50, lmscore.VOCABULARY)
+    net = attention.fresh(counts, lmscore.END)
+    ids = rng.integers(0, lmscore.VOCABULARY, (5, attention.W))
+    to, use = rng.integers(0, lmscore.VOCABULARY, (5, attention.S)), rng.random((5, attention.S)) < 0.6
+    loss, grad = attention.gradients(net, ids, to, use)
+    other, same = attention.gradients(net, ids, np.where(use, to, 0), use)
+    assert abs(loss - other) < 1e-5 and np.allclose(grad, same, atol=1e-6)
+    z = attention.hidden(net, ids)
+    some = np.flatnonzero(use.ravel())
+    assert abs(loss + attention.log_probabilities(net, z[some], to.ravel()[some])[0].mean()) < 1e-4
