@@ -11,6 +11,7 @@ Parameters are one flat vector of fixed size, whatever the corpus, so tasks' res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -19,8 +20,8 @@ import numpy as np
 W, S = 32, 24
 #: Width of states; ids of one cluster; frequent ids of either half; rows shared by the other ids.
 D, M, HEAD, SHARED = 16, 24, 384, 128
-#: Clusters of one half (the last holds its rare ids), and rows of a block of states that are compared with one cluster.
-HALF_CLUSTERS, R = HEAD // M + 1, 64
+#: Clusters of one half; the last holds its rare ids.
+HALF_CLUSTERS = HEAD // M + 1
 CLUSTERS, ROWS = 2 * HALF_CLUSTERS, 2 * HEAD + SHARED
 #: Logits are held within this, so that exponentials need no row maximum, which numpy is slow to find in short rows.
 LIMIT = np.float32(60)
@@ -29,14 +30,14 @@ SHAPES = {
     "E": (ROWS, D), "P": (W, D), "K": (D, D), "A": (D, D),
     "C": (D, CLUSTERS), "c": (CLUSTERS,), "O": (2 * HEAD // M, M, D), "o": (2 * HEAD // M, M),
 }
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+SIZE = sum(math.prod(s) for s in SHAPES.values())
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     """The parameters as named views into the flat vector."""
     out, at = {}, 0
     for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
@@ -130,81 +131,65 @@ def bounded(logits: np.ndarray) -> np.ndarray:
     return np.clip(logits, -LIMIT, LIMIT, out=logits)
 
 
-def longest(rows: np.ndarray) -> float:
-    """The length of the longest row."""
-    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
-
-
-def safe(states: float, weights: np.ndarray, biases: np.ndarray) -> bool:
-    """Whether no logit of a state of at most this length can reach the limit."""
-    return states * longest(weights.reshape(-1, D)) + max(float(np.abs(biases).max()), 0.0) < LIMIT
-
-
 def hidden(net: Net, inputs: np.ndarray, keep: bool = False):
     """States before the softmax of the last ``S`` positions of windows of input ids, a row each."""
-    p = net.p
-    x = p["E"].take(net.row.take(inputs), axis=0)
+    p, rows = net.p, net.row.take(inputs)
+    x = p["E"].take(rows, axis=0)
     x += p["P"]
-    q = np.ascontiguousarray(x[:, W - S :])
-    last = q.reshape(-1, D)
-    k = (x.reshape(-1, D) @ (p["K"] * np.asarray(D**-0.5, x.dtype))).reshape(x.shape)
-    s = bounded(q @ k.transpose(0, 2, 1))
+    last = x[:, W - S :].reshape(-1, D)
+    q = (last @ (p["K"] * np.asarray(D**-0.5, x.dtype)).T).reshape(-1, S, D)  # K on the side of the fewer rows
+    s = bounded(q @ x.transpose(0, 2, 1))
     s += _MASK
     np.exp(s, out=s)
-    total = s.reshape(-1, W) @ np.ones(W, s.dtype)
+    total = (s.reshape(-1, W) @ np.ones(W, s.dtype))[:, None]
     u = (s @ x).reshape(-1, D)
-    u /= total[:, None]
+    u /= total
     z = u @ p["A"]
     z += last
-    return (z, (x, q, k, s, total, u)) if keep else z
+    return (z, (rows, x, last, q, s, total, u)) if keep else z
 
 
-class Dealt:
-    """Some rows of states dealt to blocks of ``R`` rows of one weighted cluster each; places of a block that are left hold any row."""
+def by_cluster(net: Net, z: np.ndarray, targets: np.ndarray, used: np.ndarray | None = None):
+    """The order of states by their target's weighted cluster, those of rare ids and those not used last; where each cluster
+    begins in it and the last one ends; the states in that order, with a column of ones for the biases."""
+    block = net.block.take(targets)
+    kind = np.where(block >= 0 if used is None else (block >= 0) & used, block, 2 * HEAD // M).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=2 * HEAD // M)[: 2 * HEAD // M])])
+    states = np.ones((len(z), D + 1), z.dtype)
+    states[:, :D] = z.take(order, axis=0)
+    return order, bounds, states
 
-    def __init__(self, clusters: np.ndarray, rows: np.ndarray):
-        kinds = 2 * HEAD // M
-        order = np.argsort(clusters.astype(np.int16), kind="stable")
-        self.order = rows.take(order)
-        count = np.bincount(clusters, minlength=kinds)
-        many = -(-count // R)
-        begin = np.cumsum(many) - many
-        self.slot = np.arange(len(clusters)) + np.repeat(begin * R - np.cumsum(count) + count, count)
-        self.which = np.repeat(np.arange(kinds), many)
-        self.used, self.heads = np.flatnonzero(many), begin[many > 0]
-        self.source = np.zeros(len(self.which) * R, np.int64)
-        self.source[self.slot] = self.order
 
-    def spread(self, rows: np.ndarray) -> np.ndarray:
-        return rows.take(self.source, axis=0).reshape(-1, R, rows.shape[1])
+def cluster_exponentials(net: Net, states: np.ndarray) -> np.ndarray:
+    """Exponentials of the clusters' logits."""
+    e = states @ np.concatenate([net.p["C"], net.p["c"][None]])
+    return np.exp(bounded(e), out=e)
 
 
-def member_logits(p: dict[str, np.ndarray], dealt: Dealt, z: np.ndarray, far: float):
-    """Exponentials of the logits within clusters of dealt states, and the states and weights of the blocks."""
-    states, weights = dealt.spread(z), p["O"].take(dealt.which, axis=0)
-    g = states @ weights.transpose(0, 2, 1)
-    g += p["o"].take(dealt.which, axis=0)[:, None]
-    return np.exp(g if safe(far, p["O"], p["o"]) else bounded(g), out=g).reshape(-1, M), states, weights
+def member_exponentials(net: Net, states: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Exponentials of the logits within clusters, of the states that are ordered by weighted cluster."""
+    weights = np.concatenate([net.p["O"], net.p["o"][..., None]], axis=2).transpose(0, 2, 1)
+    g = np.empty((bounds[-1], M), states.dtype)
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        if a < b:
+            np.matmul(states[a:b], weights[k], out=g[a:b])
+    return np.exp(bounded(g), out=g)
 
 
 def log_probabilities(net: Net, z: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probabilities of target ids given states, a row each, and of any id that begins a word."""
-    p = net.p
-    logits, far = z @ p["C"], longest(z)
-    logits += p["c"]
-    e = np.exp(logits if safe(far, p["C"].T, p["c"]) else bounded(logits), out=logits)
+    order, bounds, states = by_cluster(net, z, targets)
+    ts, some = targets.take(order), bounds[-1]
+    e = cluster_exponentials(net, states)
     total = np.log(e @ np.ones(CLUSTERS, e.dtype))
-    begins = np.log(e[:, :HALF_CLUSTERS] @ np.ones(HALF_CLUSTERS, e.dtype)) - total
-    out = np.log(e.ravel().take(np.arange(len(z)) * CLUSTERS + net.cluster.take(targets))) - total
-    out += net.rare.take(targets)
-    block = net.block.take(targets)
-    some = np.flatnonzero(block >= 0)
-    if len(some):
-        dealt = Dealt(block.take(some), some)
-        g, _, _ = member_logits(p, dealt, z, far)
-        own = np.log(g.ravel().take(dealt.slot * M + net.member.take(targets.take(dealt.order))))
-        own -= np.log((g @ np.ones(M, g.dtype)).take(dealt.slot))
-        out[dealt.order] += own
+    first = np.log(e[:, :HALF_CLUSTERS] @ np.ones(HALF_CLUSTERS, e.dtype)) - total
+    own = np.log(e.ravel().take(np.arange(len(z)) * CLUSTERS + net.cluster.take(ts))) - total
+    own += net.rare.take(ts)
+    g = member_exponentials(net, states, bounds)
+    own[:some] += np.log(g.ravel().take(np.arange(some) * M + net.member.take(ts[:some])) / (g @ np.ones(M, g.dtype)))
+    out, begins = np.empty_like(own), np.empty_like(first)
+    out[order], begins[order] = own, first
     return out, begins
 
 
@@ -221,50 +206,51 @@ def score(net: Net, ids: np.ndarray, first: np.ndarray, at_once: int = 256) -> t
     return out, begins
 
 
-def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss over the used positions of some windows, and its gradient as a flat vector."""
+def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, losses: bool = True) -> tuple[float, np.ndarray]:
+    """Mean loss over the used positions of some windows (0 where it is not asked for), and its gradient as a flat vector."""
     p = net.p
-    z, (x, q, k, s, total, u) = hidden(net, inputs, keep=True)
+    z, (rows, x, last, q, s, total, u) = hidden(net, inputs, keep=True)
     flat = np.zeros_like(net.flat)
     g = views(flat)
     used, ts = use.ravel(), targets.ravel()
     n = np.count_nonzero(used)
-    share = used.astype(z.dtype) / np.asarray(n, z.dtype)  # of a position in the mean
-    e, far = z @ p["C"], longest(z)
-    e += p["c"]
-    np.exp(e if safe(far, p["C"].T, p["c"]) else bounded(e), out=e)
+    order, bounds, states = by_cluster(net, z, ts, used)
+    ts, some = ts.take(order), bounds[-1]
+    share = used.take(order).astype(z.dtype) / np.asarray(n, z.dtype)  # of a position in the mean
+    e = cluster_exponentials(net, states)
     total_e = e @ np.ones(CLUSTERS, e.dtype)
     pick = np.arange(len(z)) * CLUSTERS + net.cluster.take(ts)
-    lost = np.log(e.ravel().take(pick) / total_e + 1e-30)
-    lost += net.rare.take(ts)
-    loss = -lost.sum(where=used, dtype=np.float64)
+    loss = 0.0
+    if losses:
+        lost = np.log(e.ravel().take(pick) / total_e + 1e-30)
+        lost += net.rare.take(ts)
+        loss -= lost.sum(where=share > 0, dtype=np.float64)
     e *= (share / total_e)[:, None]
     e.reshape(-1)[pick] -= share
-    g["C"][:], g["c"][:] = z.T @ e, np.ones(len(e), e.dtype) @ e
-    dz = e @ p["C"].T
-    block = net.block.take(ts)
-    some = np.flatnonzero((block >= 0) & used)
-    if len(some):
-        dealt = Dealt(block.take(some), some)
-        m, states, weights = member_logits(p, dealt, z, far)
-        total_m = m @ np.ones(M, m.dtype)
-        pick = dealt.slot * M + net.member.take(ts.take(dealt.order))
-        loss -= np.log(m.ravel().take(pick) / total_m.take(dealt.slot) + 1e-30).sum(dtype=np.float64)
-        share_m = np.zeros(len(m), m.dtype)
-        share_m[dealt.slot] = 1 / n
-        m *= (share_m / total_m)[:, None]
-        m.reshape(-1)[pick] -= np.asarray(1 / n, m.dtype)
-        m = m.reshape(-1, R, M)
-        g["O"][dealt.used] = np.add.reduceat(m.transpose(0, 2, 1) @ states, dealt.heads, axis=0)
-        g["o"][dealt.used] = np.add.reduceat((np.ones((1, R), m.dtype) @ m)[:, 0], dealt.heads, axis=0)
-        back = np.zeros((len(share_m) + 1, D), m.dtype)  # the last: rows that are in no block
-        np.matmul(m, weights, out=back[:-1].reshape(-1, R, D))
-        at = np.full(len(z), len(share_m))
-        at[dealt.order] = dealt.slot
-        dz += back.take(at, axis=0)
+    of = states.T @ e
+    g["C"][:], g["c"][:] = of[:D], of[D]
+    back = e @ p["C"].T
+    m = member_exponentials(net, states, bounds)
+    total_m = m @ np.ones(M, m.dtype)
+    pick = np.arange(some) * M + net.member.take(ts[:some])
+    if losses:
+        loss -= np.log(m.ravel().take(pick) / total_m + 1e-30).sum(dtype=np.float64)
+    m *= (share[:some] / total_m)[:, None]
+    m.reshape(-1)[pick] -= share[:some]
+    of = np.zeros((2 * HEAD // M, M, D + 1), m.dtype)
+    within = np.empty((some, D), m.dtype)
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        if a < b:
+            np.matmul(m[a:b].T, states[a:b], out=of[k])
+            np.matmul(m[a:b], p["O"][k], out=within[a:b])
+    g["O"][:], g["o"][:] = of[..., :D], of[..., D]
+    back[:some] += within
+    at = np.empty(len(z), np.int64)
+    at[order] = np.arange(len(z))
+    dz = back.take(at, axis=0)
     g["A"][:] = u.T @ dz
     du = dz @ p["A"].T
-    du /= total[:, None]
+    du /= total
     # with weights w = s / total: ds = w (dw - sum(w dw)), and the sum is that of u du over the columns
     inner = np.einsum("ij,ij->i", u, du)
     du = du.reshape(q.shape)
@@ -272,20 +258,18 @@ def gradients(net: Net, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray
     ds -= inner.reshape(*ds.shape[:2], 1)
     ds *= s
     dx = s.transpose(0, 2, 1) @ du
+    dx += ds.transpose(0, 2, 1) @ q
+    met = (ds @ x).reshape(-1, D)
     scale = np.asarray(D**-0.5, ds.dtype)
-    dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, D)
-    g["K"][:] = (x.reshape(-1, D).T @ dk) * scale
-    dx += (dk @ (p["K"] * scale).T).reshape(x.shape)
-    own = dx[:, W - S :]
-    own += ds @ k
-    own += dz.reshape(q.shape)
+    g["K"][:] = (met.T @ last) * scale
+    dz += met @ (p["K"] * scale)
+    dx[:, W - S :] += dz.reshape(q.shape)
     g["P"][:] = dx.sum(axis=0)
-    dx = dx.reshape(-1, D)
-    at = net.row.take(inputs.ravel())
+    at = rows.ravel()
     order = np.argsort(at.astype(np.int16), kind="stable")
     at = at[order]
     heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    g["E"][at[heads]] = np.add.reduceat(dx.take(order, axis=0), heads, axis=0)
+    g["E"][at[heads]] = np.add.reduceat(dx.reshape(-1, D).take(order, axis=0), heads, axis=0)
     return float(loss) / n, flat
 
 
@@ -305,8 +289,13 @@ def fit(net: Net, parts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = 25
         for k in range(0, len(order), size):
             t += 1
             inputs, places, use = own.batch(order[k : k + size])
-            _, g = gradients(new, inputs, ids.take(np.where(use, places, 0)), use)
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            new.flat -= (rate / (1 - 0.9**t)) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            _, g = gradients(new, inputs, ids.take(np.where(use, places, 0)), use, losses=False)
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            v += 0.01 * np.square(g, out=g)
+            step = np.sqrt(v, out=g)
+            step *= (1 - 0.99**t) ** -0.5
+            step += 1e-6
+            new.flat -= np.divide(m, step, out=step) * (rate / (1 - 0.9**t))
     return new, seen

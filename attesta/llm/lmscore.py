@@ -298,8 +298,10 @@ def mixed(network: np.ndarray, probability: np.ndarray, frequency: np.ndarray, w
     x = probability * np.float32(1 - weight)
     x += frequency * np.float32(weight)
     tiny = np.flatnonzero(x < 1e-30)  # long words that were never seen: too little for a float
-    out = np.log10(np.maximum(x, np.float32(1e-30), out=x), out=x).astype(np.float64)
-    out[tiny] = np.logaddexp(network[tiny] + math.log1p(-weight), np.log(np.maximum(frequency[tiny], 1e-300)) + math.log(weight)) / math.log(10)
+    out = np.log(np.maximum(x, np.float32(1e-30), out=x), out=x).astype(np.float64)  # numpy's log10 takes four times as long
+    with np.errstate(divide="ignore"):  # words of count 0 have the network's share alone
+        out[tiny] = np.logaddexp(network[tiny] + math.log1p(-weight), np.log(frequency[tiny]) + math.log(weight))
+    out /= math.log(10)
     return out
 
 
@@ -329,21 +331,23 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col:
     types = [to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lookup, known = Lookup(right.column("h").to_numpy().view(np.uint64)), right.column("c").to_numpy()
+        lookup, known = Lookup(right.column("h").to_numpy().view(np.uint64)), np.append(right.column("c").to_numpy(), n_docs)  # the last: the end
+        logs = np.log10((known + 0.5) / bottom)  # once for each distinct word
+        shares, less = (known / max(total, 1)).astype(np.float32), (np.maximum(known - 1, 0) / max(total - 1, 1)).astype(np.float32)
         out = []
         for part, ids, first in streams(left):
             begin, h = word_hashes(ids)
-            c = np.full(len(begin), n_docs, np.int64)
+            place = np.full(len(begin), len(known) - 1)
             word = np.flatnonzero(ids.take(begin) != END)
-            c[word] = known.take(lookup.find(h.take(word)))
+            place[word] = lookup.find(h.take(word))
             network = network_tokens(shared.value, ids, first, begin)
             at = np.searchsorted(begin, first)
 
             def by_text(x: np.ndarray, at=at) -> np.ndarray:
                 return np.add.reduceat(x, at[:-1])
 
-            base = by_text(np.log10((c + 0.5) / bottom))
-            probability, share, others = (x.astype(np.float32) for x in (np.exp(network), c / max(total, 1), np.maximum(c - 1, 0) / max(total - 1, 1)))
+            base = by_text(logs.take(place))
+            probability, share, others = np.exp(network.astype(np.float32)), shares.take(place), less.take(place)
             scores, without = np.zeros((len(first) - 1, len(WEIGHTS))), np.zeros((len(first) - 1, len(WEIGHTS)))
             learnt = np.repeat(~part.column("held").to_numpy(zero_copy_only=False), np.diff(at))
             for k, w in enumerate(WEIGHTS if total else ()):
@@ -351,7 +355,7 @@ def score(docs: DataFrame, path: str, folds: int = 5, held_out: int = 1, id_col:
                 if total > 1:  # what the text itself has added to the counts is left out, a word at a time
                     without[:, k] = by_text(mixed(network, probability, others, w) * learnt)
             lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(WEIGHTS)), pa.array(x.ravel())) for x in (scores, without))
-            columns = (part.column("key"), part.column("held"), np.diff(at), by_text((c > 0).astype(np.int64)), base, by_text(network) / math.log(10), *lists)
+            columns = (part.column("key"), part.column("held"), np.diff(at), by_text((known.take(place) > 0).astype(np.int64)), base, by_text(network) / math.log(10), *lists)
             out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names))
         schema = pa.schema(list(zip(names, types, strict=True)))
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()

@@ -215,3 +215,26 @@ def test_positions_that_are_not_scored_change_nothing():
     z = attention.hidden(net, ids)
     some = np.flatnonzero(use.ravel())
     assert abs(loss + attention.log_probabilities(net, z[some], to.ravel()[some])[0].mean()) < 1e-4
+
+
+def test_words_never_seen_mix_without_warnings():
+    """A word of count 0 whose network probability is too small for a float: the mixture stays a finite logarithm, and no log of 0 is taken."""
+    network = np.array([-800.0, -2.0])
+    with np.errstate(divide="raise", invalid="raise"):
+        got = lmscore.mixed(network, np.exp(network).astype(np.float32), np.array([0, 0.25], np.float32), 0.1)
+    assert got == pytest.approx([(-800 + log(0.9)) / log(10), log10(0.9 * np.exp(-2) + 0.025)], rel=1e-6)
+
+
+def test_training_needs_no_losses():
+    """The gradient is the same where the loss, which training does not read, is not computed, and Adam's step is that of the formula."""
+    net, g = net_of(1400, 2), np.random.default_rng(3)
+    ids, to, use = g.integers(0, 1400, (4, attention.W)), g.integers(0, 1400, (4, attention.S)), g.random((4, attention.S)) < 0.7
+    loss, grad = attention.gradients(net, ids, to, use)
+    none, same = attention.gradients(net, ids, to, use, losses=False)
+    assert loss > 0 == none and (grad == same).all()
+    ids = g.integers(0, 1400, 100).astype(np.int32)
+    new, _ = attention.fit(net, [(ids, np.array([0, 100]))], rate=0.02)  # five windows: one batch
+    own = attention.Windows(ids, np.array([0, 100]), net.start)
+    inputs, places, use = own.batch(slice(None))
+    _, grad = attention.gradients(net, inputs, ids.take(np.where(use, places, 0)), use)
+    assert np.allclose(new.flat, net.flat - 0.02 * grad / (np.abs(grad) + 1e-6), atol=2e-4)
